@@ -38,3 +38,89 @@ class Tables:
     @cached_property
     def normalized_documents(self) -> DataFrame:
         return self.basis_documents.withColumn("text", tx.basis_normalize(F.col("text")))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """Passages of the normalised documents (no blank lines in the data, so windows alone)."""
+        from bidlens.operators import chunks as ch
+        from bidlens.operators import index as ix
+
+        out = ch.describe(ch.long_windows(self.normalized_documents.select("doc_id", "text")))
+        out = out.withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index"))
+        return out.withColumns({"vector_id": ix.vector_id(), "vector_status": F.lit("indexed")})
+
+    @cached_property
+    def searchable_chunks(self) -> DataFrame:
+        from bidlens.operators import index as ix
+
+        return ix.searchable(self.chunks, self.basis_documents)
+
+    @cached_property
+    def benchmark_queries(self) -> DataFrame:
+        return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+    @cached_property
+    def expected_citations(self) -> DataFrame:
+        """Passages that hold a benchmark text whole."""
+        from bidlens.operators import search as se
+        from bidlens.operators.containment import text_pairs
+
+        needles = self.benchmark.select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+        hay = self.chunks.select(F.col("chunk_id").alias("hay_id"), "doc_id", "chunk_id", F.col("chunk_text").alias("hay"))
+        pairs = text_pairs(needles, hay)
+        return pairs.select(
+            F.col("needle_id").alias("query_id"),
+            se.citation_id(F.col("doc_id"), F.col("chunk_id")).alias("citation_candidate_id"),
+        )
+
+    @cached_property
+    def index_items(self) -> DataFrame:
+        """An index that has drifted: low-quality documents are gone, German hashes are old, Spanish token maps lost."""
+        lang = F.col("category")
+        rows = self.chunks.join(self.basis_documents.select("doc_id", "category", "quality"), "doc_id")
+        return rows.filter(F.coalesce("quality", F.lit(1)) == 1).select(
+            "vector_id", "doc_id", "chunk_id",
+            F.when(lang == "de", F.concat(F.lit("old-"), "chunk_hash")).otherwise(F.col("chunk_hash")).alias("chunk_hash"),
+            (lang != "es").alias("tokens_ok"),
+        )
+
+    @cached_property
+    def pages_of_documents(self) -> DataFrame:
+        """1,000-character slices as pages; English ones carry offsets, others only counts."""
+        text = F.col("text")
+        rows = self.normalized_documents.select(
+            "doc_id", "category", F.length(text).alias("n"),
+            F.posexplode(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(1000))).alias("p", "s"),
+            text,
+        )
+        english = F.col("category") == "en"
+        end = F.least(F.col("s") + 1000, F.col("n"))
+        return rows.select(
+            "doc_id", (F.col("p") + 1).alias("page_number"), F.when(english, F.col("s")).alias("char_start"),
+            F.when(english, end).alias("char_end"), (end - F.col("s")).alias("char_count"),
+            F.substring(text, F.col("s") + 1, F.lit(1000)).alias("page_text"),
+        )
+
+    @cached_property
+    def parsed_tables(self) -> DataFrame:
+        """Reference rows as small tables of ten: header row first, one table per page."""
+        def cells(frame, name, key, columns):
+            page = F.floor(F.col(key) / 10).cast("int")
+            body = frame.select(
+                F.lit(name).alias("doc_id"), page.alias("page_number"), (F.col(key) % 10 + 2).cast("int").alias("row_index"),
+                F.array(*[F.col(c).cast("string") for c in columns]).alias("cells"),
+            )
+            head = body.select("doc_id", "page_number").distinct().select(
+                "doc_id", "page_number", F.lit(1).alias("row_index"), tx.str_array(["", *columns[1:]]).alias("cells")
+            )
+            return body.unionByName(head)
+
+        rows = (
+            cells(self.nation, "nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
+            .unionByName(cells(self.region, "region", "r_regionkey", ["r_regionkey", "r_name"]))
+            .unionByName(cells(self.part, "part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]))
+        )
+        grouped = rows.groupBy("doc_id", "page_number").agg(
+            F.array_sort(F.collect_list(F.struct("row_index", "cells"))).alias("rows")
+        )
+        return grouped.withColumn("table_id", F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-t1")))
