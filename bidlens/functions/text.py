@@ -11,6 +11,9 @@ from bidlens.functions import fixed_values as fv
 
 # white space as Unicode understands it (plain trim() strips U+0020 only)
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 # the same without the line feed
 BLANK = r"[\t\x{0b}-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_BREAK = r"\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -47,7 +50,12 @@ def first_present(*cols: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"^{WS}+|{WS}+$", "")
+    return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(WS_CHARS))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` where a costly value is used more than once: it is evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def compact_key(c: Column) -> Column:
@@ -70,21 +78,42 @@ def numeric_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NUMBER), F.lit(0))
 
 
-def _line_base(c: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"\x00", "")
-    text = F.regexp_replace(text, LINE_BREAK, "\n")
-    return F.regexp_replace(text, r"[ \t]+", " ")
+RARE_BREAK = r"[\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+RARE_BLANK = r"[\x{1f}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+
+
+def _stripped_lines(c: Column, gap: str, after: str) -> Column:
+    """Unified line feeds, single blanks, stripped lines; ``gap`` says what follows a line feed and is dropped.
+
+    Most texts need few of the steps.  Plain byte searches decide whether a pattern has to run at all.
+    """
+    text = F.replace(F.coalesce(c, F.lit("")), F.lit("\0"), F.lit(""))
+    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    text = let(text, lambda t: F.when(t.rlike(RARE_BREAK), F.regexp_replace(t, RARE_BREAK, "\n")).otherwise(t))
+    text = let(
+        text, lambda t: F.when(t.contains("  ") | t.contains("\t"), F.regexp_replace(t, r"[ \t]{2,}|\t", " ")).otherwise(t)
+    )
+    ragged = (" \n", "\n ", after)
+    return let(
+        text,
+        lambda t: F.when(
+            contains_any(t, ragged) | t.rlike(RARE_BLANK), F.regexp_replace(t, f"{BLANK}*\n{gap}*", "\n")
+        ).otherwise(t),
+    )
 
 
 def basis_normalize(c: Column) -> Column:
     """Stripped lines, at most one blank line in a row, none at the ends."""
-    text = F.regexp_replace(_line_base(c), f"{BLANK}*\n{BLANK}*", "\n")
-    return clean_text(F.regexp_replace(text, "\n{3,}", "\n\n"))
+    text = let(
+        _stripped_lines(c, BLANK, "\n "),
+        lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t),
+    )
+    return clean_text(text)
 
 
 def evidence_normalize(c: Column) -> Column:
     """Stripped lines without any blank line."""
-    return clean_text(F.regexp_replace(_line_base(c), f"{BLANK}*\n{WS}*", "\n"))
+    return clean_text(_stripped_lines(c, WS, "\n\n"))
 
 
 def reference_normalize(c: Column) -> Column:
@@ -93,7 +122,7 @@ def reference_normalize(c: Column) -> Column:
 
 def procurement_boundary_restore(c: Column) -> Column:
     """Give back the line breaks lost in front of numbered items, dates and sentence ends."""
-    text = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("․"), F.lit(".")), r"[ \t]+", " ")
+    text = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("․"), F.lit(".")), r"[ \t]{2,}|\t", " ")
     for pattern in (
         rf"(?<!\n)(?=[0-9]+\.{WS}*[가-힣A-Za-z])",
         rf"(?<!\n)(?=[가-힣]\.{WS}*[가-힣A-Za-z])",
@@ -271,11 +300,13 @@ def alias_key(alias: str) -> str:
 
 def heading(c: Column) -> Column:
     """First short line that looks like a heading, else the first line cut to 80 characters."""
-    candidates = F.filter(
-        lines(c),
-        lambda x: (F.length(x).between(1, 80)) & x.rlike(rf"^(제{WS}*[0-9]+{WS}*[장조절관항]|[0-9]+[.)]|[가-힣]\.)"),
-    )
-    return F.coalesce(F.get(candidates, F.lit(0)), F.substring(F.get(lines(c), F.lit(0)), 1, 80))
+    def pick(rows):
+        candidates = F.filter(
+            rows, lambda x: (F.length(x).between(1, 80)) & x.rlike(rf"^(제{WS}*[0-9]+{WS}*[장조절관항]|[0-9]+[.)]|[가-힣]\.)")
+        )
+        return F.coalesce(F.get(candidates, F.lit(0)), F.substring(F.get(rows, F.lit(0)), 1, 80))
+
+    return let(lines(c), pick)
 
 
 def extractive_summary(c: Column) -> Column:

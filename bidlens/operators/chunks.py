@@ -39,7 +39,7 @@ def long_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = F.when(n > fv.CHUNK_CHARS, window_spans(n)).otherwise(
         F.array(F.struct(F.lit(0).alias("s"), n.alias("e"))).cast(f"array<{SPAN}>")
     )
-    return _cut(docs.filter(F.col(text_col) != ""), spans, id_col, text_col)
+    return _cut(docs, spans, id_col, text_col)
 
 
 def paragraph_spans(text: Column, size: int = fv.CHUNK_CHARS, overlap: int = fv.CHUNK_OVERLAP) -> Column:
@@ -82,7 +82,6 @@ def paragraph_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows keep the other columns of ``docs``; a ``pages`` array of (page_number, start, end) is
     turned into page_start / page_end.
     """
-    docs = docs.filter(F.col(text_col) != "")
     out = _cut(docs, paragraph_spans(F.col(text_col)), id_col, text_col)
     return describe(out)
 

@@ -14,6 +14,16 @@ TABLE_NAMES = (
 ).split()
 
 
+# text tables: costly per row, so a file with fewer splits than cores is dealt out first
+WIDE_TEXT = ("documents", "pages", "conversations")
+
+
+def spread_small(frame: DataFrame) -> DataFrame:
+    """Deal out an input that has fewer splits than the session has cores; leave any other as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 class Tables:
     """Lazy readers of one data folder; attribute access gives a DataFrame."""
 
@@ -23,6 +33,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in WIDE_TEXT:
+                frame = spread_small(frame)
             self.__dict__[name] = frame
             return frame
         raise AttributeError(name)
@@ -37,7 +49,10 @@ class Tables:
 
     @cached_property
     def normalized_documents(self) -> DataFrame:
-        return self.basis_documents.withColumn("text", tx.basis_normalize(F.col("text")))
+        return self.documents.select(
+            "doc_id", tx.basis_normalize(F.col("text")).alias("text"), F.col("lang").alias("category"),
+            F.col("source").alias("document_version"),
+        )
 
     @cached_property
     def chunks(self) -> DataFrame:
