@@ -139,3 +139,43 @@ class Tables:
             F.array_sort(F.collect_list(F.struct("row_index", "cells"))).alias("rows")
         )
         return grouped.withColumn("table_id", F.concat(F.lit("p"), F.col("page_number").cast("string"), F.lit("-t1")))
+
+    @cached_property
+    def rule_passages(self) -> DataFrame:
+        return self.searchable_chunks.select("doc_id", "chunk_id", "chunk_index", "chunk_hash", "chunk_text")
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        """Rules mined from all searchable passages, with an id and a review state from the labels."""
+        from bidlens.functions.dictionaries import DEMO
+        from bidlens.operators import rules as ru
+
+        mined = ru.candidates(self.rule_passages, DEMO)
+        labels = self.labels.select("doc_id", "quality", "toxic")
+        out = mined.join(labels, "doc_id", "left").withColumn(
+            "rule_id", F.col("chunk_id") * 100 + F.col("pos") * 8 + F.col("type_pos")
+        )
+        status = (
+            F.when(F.col("quality").isNull(), "needs_review")
+            .when(F.col("rule_type") == "basis_rule", "archived")
+            .when((F.col("quality") == 1) & (F.col("rule_type") == "region"), "rejected")
+            .when(F.col("quality") == 1, "approved").otherwise("needs_review")
+        )
+        return out.withColumns({"status": status, "updated_at": F.col("pos"), "review_note": F.lit("")})
+
+    @cached_property
+    def stored_rules(self) -> DataFrame:
+        """What an older run left behind: rules of labelled documents, partly drifted."""
+        rows = self.rules.filter(F.col("quality").isNotNull())
+        poor = F.col("quality") == 0
+        legacy = F.col("rule_type") == "company_type"
+        moved = (F.col("rule_type") == "license") & (F.col("pos") == 0)
+        return rows.select(
+            "rule_id", "doc_id", "chunk_id", "rule_type", "target_scope", "confidence", "status",
+            F.when(poor, F.concat(F.lit("old "), "condition_text")).otherwise(F.col("condition_text")).alias("condition_text"),
+            F.when(legacy, "").when(poor, F.concat("extraction_key", F.lit("-old"))).otherwise(F.col("extraction_key")).alias("extraction_key"),
+            F.when(moved, "basis:0:chunk:0").otherwise(F.col("citation_candidate_id")).alias("citation_candidate_id"),
+            F.when(F.col("pos") == 0, "").otherwise("seen").alias("review_note"),
+            F.when(F.col("status").isin("approved", "rejected"), "2024-01-01").otherwise("").alias("old_reviewed_at"),
+            F.when(F.col("status").isin("approved", "rejected"), "kim").otherwise("").alias("reviewer_name"),
+        )

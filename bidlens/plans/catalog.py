@@ -1,4 +1,4 @@
 """All named queries.  Importing this module fills the registry."""
 
-from bidlens.plans import chunk_queries, text_queries  # noqa: F401
+from bidlens.plans import chunk_queries, rule_queries, text_queries  # noqa: F401
 from bidlens.plans.registry import ORACLES, QUERIES  # noqa: F401
