@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions import text as tx
+from bidlens.functions.dictionaries import Dictionaries
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
 
+TRADE = Dictionaries(
+    regions={"North": ["NATION_1"], "South": ["NATION_2", "NATION-22"]}, licenses={"Brand A": ["Brand#1"], "Brand B": ["Brand#2"]},
+    companies={"Eco": ["ECONOMY"], "Std": ["STANDARD", "PROMO"]}, documents={"Widgets": ["widget"], "Rings": ["ring"]}, shadowed={},
+    company_evidence=((("Eco",), "Eco confirmation"),), region_word="NATION_[0-9]", region_false=(),
+)
+
 # text tables: costly per row, so a file with fewer splits than cores is dealt out first
 WIDE_TEXT = ("documents", "pages", "conversations")
 
@@ -179,3 +186,142 @@ class Tables:
             F.when(F.col("status").isin("approved", "rejected"), "2024-01-01").otherwise("").alias("old_reviewed_at"),
             F.when(F.col("status").isin("approved", "rejected"), "kim").otherwise("").alias("reviewer_name"),
         )
+
+    # ---- notices with text: a document and the order of the same number ---------------------------------
+    @cached_property
+    def notices(self) -> DataFrame:
+        when = F.col("o_orderdate")
+        rows = self.documents.join(self.orders, F.col("doc_id") == F.col("o_orderkey"))
+        return rows.select(
+            F.col("doc_id").alias("notice_id"), F.col("doc_id").cast("string").alias("bid_ntce_no"), F.lit("000").alias("bid_ntce_ord"),
+            F.concat(F.lit("notice "), F.col("o_orderpriority")).alias("bid_ntce_nm"), F.col("source").alias("ntce_instt_nm"),
+            F.col("lang").alias("dminstt_nm"), F.date_format(when, "yyyyMMddHHmm").alias("bid_ntce_dt"), F.lit("").alias("bid_begin_dt"),
+            F.date_format(F.date_add(when, 7), "yyyy-MM-dd HH:mm").alias("bid_clse_dt"), F.lit("").alias("openg_dt"),
+            F.round("o_totalprice").cast("long").cast("string").alias("presmpt_prce"), F.lit("").alias("bdgt_amt"),
+            F.when(F.col("o_orderstatus") == "F", F.round("o_totalprice").cast("long").cast("string")).otherwise("").alias("bssamt"),
+            F.concat(F.lit(" region of "), F.col("source")).alias("region_text"), F.col("lang").alias("license_text"), "text",
+        )
+
+    @cached_property
+    def notice_requirements(self) -> DataFrame:
+        from bidlens.functions.dictionaries import DEMO
+        from bidlens.operators import requirements as rq
+
+        return rq.requirement_candidates(rq.notice_requirements(self.notices, DEMO))
+
+    # ---- trade notices: an order's lines state requirements, a company's own orders are its profile --------
+    @cached_property
+    def trade_requirements(self) -> DataFrame:
+        line = F.col("l_linenumber") % 5
+        rows = (
+            self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(self.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        )
+        kind = (
+            F.when(line == 0, "region").when(line == 1, "license").when(line == 2, "company_type").when(line == 3, "required_document")
+            .otherwise("money")
+        )
+        value = (
+            F.when(line == 0, F.col("n_name")).when(line == 1, F.col("p_brand")).when(line == 2, F.col("p_type"))
+            .when(line == 3, F.col("p_name")).otherwise(F.floor("l_extendedprice").cast("string"))
+        )
+        rows = rows.select(F.col("l_orderkey").alias("notice_id"), kind.alias("requirement_type"), value.alias("required_value")).distinct()
+        return rows.withColumns(
+            {
+                "requirement_id": F.concat_ws(":", "notice_id", "requirement_type", "required_value"),
+                "label": F.col("requirement_type"),
+                "source_text": F.when(F.col("requirement_type") == "money", "amount").otherwise(F.concat(F.lit("the "), F.col("requirement_type"), F.lit(" of that part"))),
+            }
+        )
+
+    @cached_property
+    def trade_pairs(self) -> DataFrame:
+        return self.orders.select(F.col("o_orderkey").alias("notice_id"), F.floor(F.col("o_orderkey") / 10).alias("company_id"))
+
+    @cached_property
+    def trade_profile(self) -> DataFrame:
+        own = (
+            self.orders.join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(self.part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(self.customer, F.col("o_custkey") == F.col("c_custkey")).join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        )
+        kit = F.when(F.col("p_size") < 10, F.concat(F.upper("p_name"), F.lit(" kit"))).otherwise(F.col("p_name"))
+        listed = F.array(
+            F.struct(F.lit("region").alias("requirement_type"), F.concat("n_name", F.lit(" city")).alias("value")),
+            F.struct(F.lit("license"), F.col("p_brand")),
+            F.struct(F.when(F.col("c_acctbal") > 3000, "company_type"), F.col("p_type")),
+            F.struct(F.lit("required_document"), kit),
+        )
+        rows = own.select(F.col("o_custkey").alias("company_id"), "p_partkey", F.explode(listed).alias("v"))
+        return rows.filter(F.col("v.requirement_type").isNotNull()).groupBy("company_id", "v.requirement_type", "v.value").agg(
+            F.min("p_partkey").alias("pos")
+        )
+
+    @cached_property
+    def compared(self) -> DataFrame:
+        from bidlens.operators import matching as ma
+        from bidlens.operators import requirements as rq
+
+        inputs = rq.requirement_inputs(self.trade_requirements, TRADE).drop("needs_review", "comparison_strategy")
+        return ma.compare(inputs, self.trade_pairs, self.trade_profile, TRADE)
+
+    @cached_property
+    def judged(self):
+        """(items, citations) of every trade notice and its company."""
+        from bidlens.operators import index as ix
+        from bidlens.operators import judgment as ju
+        from bidlens.operators import search as se
+
+        joined = F.concat_ws(
+            " ", "condition_text", "target_scope", F.array_join("required_evidence_types", " "), F.array_join("related_profile_fields", " ")
+        )
+        healthy = se.healthy_rules(self.rules, self.searchable_chunks, self.index_items).withColumn("rule_text", joined)
+        postings = ix.postings(self.searchable_chunks.select("doc_id", "chunk_id", "chunk_index", "chunk_text"))
+        items, cited = ju.judgment_items(self.compared, healthy, postings)
+        return items.withColumn("item_pos", F.conv(F.substring(F.sha2("requirement_id", 256), 1, 12), 16, 10).cast("long")), cited
+
+    # ---- companies and their certificates --------------------------------------------------------------------
+    @cached_property
+    def companies(self) -> DataFrame:
+        rows = self.customer.join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        bal = F.col("c_acctbal")
+        listed = F.concat(F.lit('["'), "c_mktsegment", F.lit('", "'), "n_name", F.lit('", "'), F.lower("c_mktsegment"), F.lit('"]'))
+        return rows.select(
+            F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"),
+            F.when(bal < 0, "").otherwise(F.col("c_mktsegment")).alias("management_group_name"), F.col("n_name").alias("region"),
+            F.concat(F.lit("no. "), F.lpad((F.col("c_custkey") % 900).cast("string"), 10, "0")).alias("business_registration_number"),
+            F.when(bal > 2000, F.col("c_name")).otherwise("").alias("representative_name"),
+            F.when(bal > 1000, F.concat(F.lit("Thhation "), "n_name", F.lit(" Thonention Thedtion"))).otherwise("").alias("business_address"),
+            F.lit("").alias("headquarters_address"), F.when(bal > 500, F.col("c_mktsegment")).otherwise("").alias("business_category"),
+            listed.alias("business_type"), F.lit(" ").alias("business_item"), F.when(bal > 7000, "중소기업").otherwise("").alias("company_size_classification"),
+            F.when(bal > 4000, '["여성기업확인서", " "]').otherwise("[]").alias("certifications_json"),
+            F.when(bal > 6000, "장애인기업,우대").otherwise("").alias("preference_tags_json"),
+            F.when(bal > 5000, listed).otherwise("[]").alias("direct_production_items_json"),
+            F.when(bal > 3000, F.concat("c_mktsegment", F.lit(", "), "n_name")).otherwise("").alias("license_summary"),
+            F.when(bal > 8000, "registered").otherwise("").alias("procurement_registration_status"),
+            F.when(bal > 9000, "evidence_reviewed").otherwise("none").alias("evidence_verification_status"),
+        )
+
+    @cached_property
+    def evidence_documents(self) -> DataFrame:
+        p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+        kind = (
+            F.when(p == "1-URGENT", "tax_payment_certificate").when(p == "2-HIGH", "patent_certificate").when(p == "3-MEDIUM", "iso_quality_certificate")
+            .when(p == "5-LOW", "unlisted_paper").otherwise("")
+        )
+        return self.orders.select(
+            F.col("o_orderkey").alias("evidence_id"), F.col("o_custkey").alias("company_id"), kind.alias("document_type"),
+            F.when(s == "F", "approved").when(s == "O", "pending").otherwise("rejected").alias("review_status"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"), F.concat(F.lit("file-"), F.col("o_orderkey").cast("string")).alias("file_name"),
+        )
+
+    @cached_property
+    def profile_candidates(self) -> DataFrame:
+        """Proposed field values: one per order line."""
+        flag = F.col("l_returnflag")
+        rows = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return rows.select(
+            F.col("l_orderkey").alias("evidence_id"), F.col("o_custkey").alias("company_id"),
+            F.when(F.col("l_linestatus") == "F", "license_summary").otherwise("region").alias("field_key"),
+            F.concat(F.lit("v"), (F.col("l_partkey") % 5).cast("string")).alias("extracted_value"),
+            F.when(flag == "A", "approved").when(flag == "N", "pending").otherwise("rejected").alias("status"),
+        )

@@ -1,4 +1,10 @@
 """All named queries.  Importing this module fills the registry."""
 
-from bidlens.plans import chunk_queries, rule_queries, text_queries  # noqa: F401
+from bidlens.plans import (  # noqa: F401
+    chunk_queries,
+    matching_queries,
+    requirement_queries,
+    rule_queries,
+    text_queries,
+)
 from bidlens.plans.registry import ORACLES, QUERIES  # noqa: F401

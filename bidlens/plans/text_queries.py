@@ -301,10 +301,3 @@ def _(t):
 def _(t):
     kept = tx.ordered_distinct(F.split(F.col("text"), tx.LINE_BREAK))
     return _per_document(t, value=F.array_join(kept, "|"), n=F.size(kept).cast("long"))
-
-
-@query("notice_summary_text", None)
-def _(t):
-    from bidlens.operators import requirements as rq
-
-    return rq.notice_summary_text(t.notices.join(t.notice_texts, "notice_id", "left"), "attachment_texts")
