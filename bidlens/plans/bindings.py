@@ -245,14 +245,13 @@ class Tables:
             .join(self.customer, F.col("o_custkey") == F.col("c_custkey")).join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         )
         kit = F.when(F.col("p_size") < 10, F.concat(F.upper("p_name"), F.lit(" kit"))).otherwise(F.col("p_name"))
-        listed = F.array(
-            F.struct(F.lit("region").alias("requirement_type"), F.concat("n_name", F.lit(" city")).alias("value")),
-            F.struct(F.lit("license"), F.col("p_brand")),
-            F.struct(F.when(F.col("c_acctbal") > 3000, "company_type"), F.col("p_type")),
-            F.struct(F.lit("required_document"), kit),
-        )
+        kinds = {
+            "region": F.concat("n_name", F.lit(" city")), "license": F.col("p_brand"),
+            "company_type": F.when(F.col("c_acctbal") > 3000, F.col("p_type")), "required_document": kit,
+        }
+        listed = F.array(*[F.struct(F.lit(k).alias("requirement_type"), v.alias("value")) for k, v in kinds.items()])
         rows = own.select(F.col("o_custkey").alias("company_id"), "p_partkey", F.explode(listed).alias("v"))
-        return rows.filter(F.col("v.requirement_type").isNotNull()).groupBy("company_id", "v.requirement_type", "v.value").agg(
+        return rows.filter(F.col("v.value").isNotNull()).groupBy("company_id", "v.requirement_type", "v.value").agg(
             F.min("p_partkey").alias("pos")
         )
 

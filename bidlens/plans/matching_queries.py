@@ -41,8 +41,8 @@ def _(t):
 
 _DEMO_WORDS = r"regexp_extract_all(addr, 'NATION_[0-9]')"
 PROFILE = f"""{COMPANIES}, {EVIDENCE},
-lb AS (SELECT company_id, {_LABEL} AS lab, max((updated_at, evidence_id)) AS at, count(*) AS n FROM ev WHERE review_status = 'approved' AND document_type <> '' GROUP BY ALL),
-la AS (SELECT company_id, list(lab ORDER BY at DESC) AS labels, sum(n)::BIGINT AS approved_evidence_count FROM lb GROUP BY 1),
+lb AS (SELECT company_id, {_LABEL} AS lab, max((updated_at, evidence_id)) AS seen_at, count(*) AS n FROM ev WHERE review_status = 'approved' AND document_type <> '' GROUP BY ALL),
+la AS (SELECT company_id, list(lab ORDER BY seen_at DESC) AS labels, sum(n)::BIGINT AS approved_evidence_count FROM lb GROUP BY 1),
 p0 AS (SELECT co.*, coalesce(labels, []::VARCHAR[]) AS labels, coalesce(approved_evidence_count, 0) AS approved_evidence_count,
   [seg, region, lower(seg)] AS bt, CASE WHEN bal > 500 THEN [seg] ELSE []::VARCHAR[] END AS bc, CASE WHEN bal > 5000 THEN [seg, region, lower(seg)] ELSE []::VARCHAR[] END AS dp,
   CASE WHEN bal > 4000 THEN ['여성기업확인서'] ELSE []::VARCHAR[] END AS certs, CASE WHEN bal > 6000 THEN ['장애인기업', '우대'] ELSE []::VARCHAR[] END AS tags,
@@ -366,8 +366,8 @@ def _(t):
     l AS (SELECT notice_id, company_id, 'corporation_evidence' AS link_type, evidence_id::VARCHAR AS ref_id, -1::BIGINT AS ip, sub_pos AS sp FROM top12 JOIN runs USING (company_id)
       UNION ALL SELECT notice_id, company_id, 'notice_requirement', requirement_id, item_pos, 0 FROM item
       UNION ALL SELECT notice_id, company_id, 'basis_chunk', doc_id || ':' || chunk_id, item_pos, position FROM item JOIN cit USING (requirement_key)),
-    u AS (SELECT notice_id, company_id, link_type, ref_id, min((ip, sp)) AS at FROM l GROUP BY ALL)
-    SELECT notice_id, company_id, link_type, ref_id, row_number() OVER (PARTITION BY notice_id, company_id ORDER BY at, link_type, ref_id) AS position FROM u QUALIFY position <= 40""",
+    u AS (SELECT notice_id, company_id, link_type, ref_id, min((ip, sp)) AS first_at FROM l GROUP BY ALL)
+    SELECT notice_id, company_id, link_type, ref_id, row_number() OVER (PARTITION BY notice_id, company_id ORDER BY first_at, link_type, ref_id) AS position FROM u QUALIFY position <= 40""",
 )
 def _(t):
     items, cited = t.judged
@@ -408,7 +408,7 @@ def _(t):
     )
     none = F.array().cast("array<string>")
     runs = t.trade_pairs.join(t.trade_requirements.select("notice_id").distinct(), "notice_id")
-    words = runs.select("notice_id", "company_id", F.explode(F.array(
-        F.struct(F.lit("words-review").alias("id"), F.lit("금액 검토").alias("text")), F.struct(F.lit("words-missing"), F.lit("증빙 서류를 갖춤")),
-    )).alias("a")).select("notice_id", "company_id", F.col("a.id").alias("action_id"), F.col("a.text").alias("action_text"), none.alias("related_ids"))
+    words = runs.select("notice_id", "company_id", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("id"), F.lit(v).alias("text")) for k, v in (("words-review", "금액 검토"), ("words-missing", "증빙 서류를 갖춤"))
+    ])).alias("a")).select("notice_id", "company_id", F.col("a.id").alias("action_id"), F.col("a.text").alias("action_text"), none.alias("related_ids"))
     return ju.action_items(named.unionByName(words), items)
