@@ -5,6 +5,7 @@ from bidlens.plans import (  # noqa: F401
     matching_queries,
     requirement_queries,
     rule_queries,
+    source_queries,
     text_queries,
 )
 from bidlens.plans.registry import ORACLES, QUERIES  # noqa: F401
