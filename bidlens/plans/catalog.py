@@ -2,6 +2,7 @@
 
 from bidlens.plans import (  # noqa: F401
     chunk_queries,
+    evidence_queries,
     matching_queries,
     requirement_queries,
     rule_queries,
