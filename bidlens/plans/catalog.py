@@ -4,6 +4,7 @@ from bidlens.plans import (  # noqa: F401
     chunk_queries,
     evidence_queries,
     matching_queries,
+    office_queries,
     requirement_queries,
     rule_queries,
     source_queries,
