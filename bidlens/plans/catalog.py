@@ -5,6 +5,7 @@ from bidlens.plans import (  # noqa: F401
     evidence_queries,
     matching_queries,
     office_queries,
+    quality_queries,
     requirement_queries,
     rule_queries,
     source_queries,
