@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bidlens.functions import fixed_values as fv
 from bidlens.functions import text as tx
 from bidlens.operators import search as se
+from bidlens.session import materialize
 
 RUN = ["notice_id", "company_id"]
 UNMET = ["missing", "needs_review", "uncertain"]
@@ -61,6 +62,7 @@ def citations(texts: DataFrame, rules: DataFrame, postings: DataFrame, k: int =
     """
     columns = ["requirement_key", "rank", "citation_candidate_id", "doc_id", "chunk_id", "score", "source_type", "rule_id"]
     primary = se.approved_topk(texts, rules, k).withColumn("source_type", F.lit("approved_rule_candidate")).select(*columns)
+    primary = materialize(primary)  # k rows per text at most; read twice below
     ready = primary.filter(se.review_ready(primary)).select("requirement_key").distinct()
     still_open = texts.join(ready, "requirement_key", "left_anti")
     queries = still_open.select(F.col("requirement_key").alias("query_id"), F.col("requirement_text").alias("query"))
@@ -78,9 +80,9 @@ def judgment_items(compared: DataFrame, rules: DataFrame, postings: DataFrame, k
     ``compared``: comparison items with required_evidence_types.  Citations depend on the requirement text alone, so they
     are found once per distinct text, however many notices repeat it, and joined back.
     """
-    items = with_text_key(compared)
-    texts = items.select("requirement_key", "requirement_type", "requirement_text").distinct()
-    cited = citations(texts, rules, postings, k)
+    items = materialize(with_text_key(compared))
+    texts = materialize(items.select("requirement_key", "requirement_type", "requirement_text").distinct())
+    cited = materialize(citations(texts, rules, postings, k))
     state = se.citation_readiness(texts.select("requirement_key"), cited)
     rows = items.join(state, "requirement_key", "left").withColumn("match_status", judged(F.col("status")))
     ready = F.col("ready_count") > 0

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from bidlens.functions import fixed_values as fv
 from bidlens.functions import text as tx
 from bidlens.functions.dictionaries import KOREAN, Dictionaries
-from bidlens.operators.containment import key_pairs
 
 MIN_CONTAINED = 5
 
@@ -42,51 +41,61 @@ def typed_group_key(type_: Column, value: Column, d: Dictionaries = KOREAN) -> C
     )
 
 
+def _tagged(kind: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+
+def _pieces(key: Column) -> Column:
+    """Every piece of MIN_CONTAINED characters of a key that is long enough."""
+    cut = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(key) - MIN_CONTAINED + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(MIN_CONTAINED))
+    )
+    return F.when(F.length(key) >= MIN_CONTAINED, F.array_distinct(cut)).otherwise(tx.str_array([]))
+
+
+def _head(key: Column) -> Column:
+    return F.when(F.length(key) >= MIN_CONTAINED, F.array(F.substring(key, 1, MIN_CONTAINED))).otherwise(tx.str_array([]))
+
+
+def meeting_keys(type_: Column, value: Column, key: Column, is_demand: bool, d: Dictionaries = KOREAN) -> Column:
+    """Everything two values may meet on: (kind, key) pairs.
+
+    region: equal region keys.  Others: equal dictionary label, equal key, or a piece of the longer key that equals the
+    head of the shorter one (``in_value``: the demand is the shorter, ``in_demand``: the value is).
+    """
+    group = typed_group_key(type_, value, d)
+    demand_side, value_side = ("in_value", "in_demand") if is_demand else ("in_demand", "in_value")
+    plain = F.concat(
+        tx.let(group, lambda g: F.when(g != "", _tagged("label", F.array(g))).otherwise(_tagged("label", tx.str_array([])))),
+        _tagged("same", F.array(key)), _tagged(demand_side, _head(key)), _tagged(value_side, _pieces(key)),
+    )
+    return F.when(type_ == "region", _tagged("region", region_keys(value, d))).otherwise(plain)
+
+
 def first_matches(demands: DataFrame, profile: DataFrame, d: Dictionaries = KOREAN) -> DataFrame:
     """First profile value that meets each demand.
 
     ``demands``: distinct (company_id, requirement_type, required_value); ``profile``: company_id, requirement_type,
-    pos, value.  Every rule is an equi join on (company, type, key): equal region keys, equal dictionary label, equal
-    compact key; containment meets on a piece of the key.  Before each join the profile side is cut to the first
-    position per key, so no group of rows is multiplied.  Output: the demand with match_pos and matched_value.
+    pos, value.  All rules share one equi join on (company, type, kind, key).  The profile side is cut to the first
+    position per key before it, and only containment is verified after it, so no group of rows is multiplied.
+    Output: the demand with match_pos and matched_value.
     """
     ids = ["company_id", "requirement_type"]
-    found = F.struct("pos", "value")
-    demand = demands.withColumn("rkey", tx.compact_key(F.col("required_value"))).filter(F.col("rkey") != "")
-    profile = profile.withColumn("vkey", tx.compact_key(F.col("value")))
-    is_region = F.col("requirement_type") == "region"
-
-    def first_by(rows, key):
-        return rows.groupBy(*ids, key).agg(F.min(found).alias("hit"))
-
-    wanted = [*ids, "required_value"]
-    regions = demand.filter(is_region).withColumn("k", F.explode(region_keys(F.col("required_value"), d))).join(
-        first_by(profile.filter(is_region).withColumn("k", F.explode(region_keys(F.col("value"), d))), "k"), [*ids, "k"]
-    )
-    grouped = demand.filter(~is_region).withColumn("g", typed_group_key(F.col("requirement_type"), F.col("required_value"), d))
-    groups = grouped.filter(F.col("g") != "").join(
-        first_by(
-            profile.filter(~is_region & (F.col("vkey") != "")).withColumn("g", typed_group_key(F.col("requirement_type"), F.col("value"), d))
-            .filter(F.col("g") != ""), "g",
-        ),
-        [*ids, "g"],
-    )
-    by_key = first_by(profile.filter(~is_region & (F.col("vkey") != "")), "vkey")
-    plain = demand.filter(~is_region)
-    equal = plain.join(by_key.withColumnRenamed("vkey", "rkey"), [*ids, "rkey"])
-    left = plain.select(*wanted, F.col("rkey"))
-    value_in = key_pairs(
-        by_key.select(*ids, F.col("vkey").alias("short_key"), "hit"), left.withColumnRenamed("rkey", "long_key"), ids, MIN_CONTAINED
-    )
-    value_has = key_pairs(
-        left.withColumnRenamed("rkey", "short_key"), by_key.select(*ids, F.col("vkey").alias("long_key"), "hit"), ids, MIN_CONTAINED
+    contained = F.col("m.kind").isin("in_value", "in_demand")
+    type_ = F.col("requirement_type")
+    values = profile.withColumn("vkey", tx.compact_key(F.col("value"))).filter(F.col("vkey") != "")
+    values = values.groupBy(*ids, "vkey").agg(F.min(F.struct("pos", "value")).alias("hit"))
+    values = values.select(*ids, "vkey", "hit", F.explode(meeting_keys(type_, F.col("hit.value"), F.col("vkey"), False, d)).alias("m"))
+    values = values.groupBy(*ids, "m", F.when(contained, F.col("vkey")).otherwise("").alias("vkey")).agg(F.min("hit").alias("hit"))
+    wanted = demands.withColumn("rkey", tx.compact_key(F.col("required_value"))).filter(F.col("rkey") != "")
+    wanted = wanted.select(
+        *ids, "required_value", "rkey", F.explode(meeting_keys(type_, F.col("required_value"), F.col("rkey"), True, d)).alias("m")
     )
-    every = [frame.select(*wanted, "hit") for frame in (regions, groups, equal, value_in, value_has)]
-    union = every[0]
-    for frame in every[1:]:
-        union = union.unionByName(frame)
-    return union.groupBy(*wanted).agg(F.min("hit").alias("hit")).select(
-        *wanted, F.col("hit.pos").alias("match_pos"), F.col("hit.value").alias("matched_value")
+    met = wanted.join(values, [*ids, "m"])
+    kind, rkey, vkey = F.col("m.kind"), F.col("rkey"), F.col("vkey")
+    good = F.when(kind == "in_value", vkey.contains(rkey)).when(kind == "in_demand", rkey.contains(vkey)).otherwise(F.lit(True))
+    return met.filter(good).groupBy(*ids, "required_value").agg(F.min("hit").alias("hit")).select(
+        *ids, "required_value", F.col("hit.pos").alias("match_pos"), F.col("hit.value").alias("matched_value")
     )
 
 

@@ -127,7 +127,7 @@ def parse_queries(inputs: DataFrame) -> DataFrame:
     ).filter(F.col("query") != "")
 
 
-def match_scores(requirements: DataFrame, rules: DataFrame, salts: int = 1) -> DataFrame:
+def match_scores(requirements: DataFrame, rules: DataFrame, salts: int = 1, carry: tuple = ()) -> DataFrame:
     """Score of every (requirement text, rule) pair that shares a token.
 
     ``requirements``: requirement_key, requirement_type, requirement_text (distinct texts, so a text that many
@@ -137,18 +137,18 @@ def match_scores(requirements: DataFrame, rules: DataFrame, salts: int = 1) -> D
     left = requirements.select(
         "requirement_key", "requirement_type", F.size(wanted).alias("query_size"), F.explode(wanted).alias("token")
     )
-    right = rules.select("rule_id", "rule_type", "confidence", F.explode(F.array_distinct(tx.tokenize(F.col("rule_text")))).alias("token"))
+    right = rules.select("rule_id", "rule_type", "confidence", *carry, F.explode(F.array_distinct(tx.tokenize(F.col("rule_text")))).alias("token"))
     if salts > 1:
         right = right.withColumn("salt", F.pmod(F.xxhash64("rule_id"), F.lit(salts)).cast("int"))
         left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keys = ["token", "salt"] if salts > 1 else ["token"]
     shared = left.join(right, keys).groupBy(
-        "requirement_key", "requirement_type", "query_size", "rule_id", "rule_type", "confidence"
+        "requirement_key", "requirement_type", "query_size", "rule_id", "rule_type", "confidence", *carry
     ).agg(F.count("*").alias("shared"))
     bonus = F.when(F.col("rule_type") == F.col("requirement_type"), 0.15).when(F.col("rule_type") == "basis_rule", 0.05).otherwise(0.0)
     sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 0.1
     score = F.least(F.lit(1.0), F.col("shared") / F.col("query_size") + bonus + sure)
-    return shared.select("requirement_key", "rule_id", "shared", round4(score).alias("score"))
+    return shared.select("requirement_key", "rule_id", *carry, "shared", round4(score).alias("score"))
 
 
 def healthy_rules(rules: DataFrame, searchable: DataFrame, index: DataFrame) -> DataFrame:
@@ -161,10 +161,9 @@ def healthy_rules(rules: DataFrame, searchable: DataFrame, index: DataFrame) ->
 
 
 def approved_topk(requirements: DataFrame, rules: DataFrame, k: int = 3, salts: int = 1) -> DataFrame:
-    """Best approved rules per requirement text; newest rule first on equal scores."""
-    scores = match_scores(requirements, rules, salts).join(
-        rules.select("rule_id", "updated_at", "doc_id", "chunk_id", "citation_candidate_id"), "rule_id"
-    )
+    """Best approved rules per requirement text; newest rule first on equal scores.  ``rules`` cite their own passage."""
+    scores = match_scores(requirements, rules, salts, carry=("updated_at", "doc_id", "chunk_id"))
+    scores = scores.withColumn("citation_candidate_id", citation_id(F.col("doc_id"), F.col("chunk_id")))
     order = W.partitionBy("requirement_key").orderBy(F.desc("score"), F.desc("updated_at"), F.desc("rule_id"))
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= clamp_k(k))
 

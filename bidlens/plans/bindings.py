@@ -37,6 +37,14 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def freeze(self, *names: str) -> "Tables":
+        """Write derived tables that a query reads several times (stored tables in production)."""
+        from bidlens.session import materialize
+
+        for name in names:
+            self.__dict__[name] = materialize(getattr(self, name))
+        return self
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -273,6 +281,7 @@ class Tables:
         joined = F.concat_ws(
             " ", "condition_text", "target_scope", F.array_join("required_evidence_types", " "), F.array_join("related_profile_fields", " ")
         )
+        self.freeze("chunks", "rules", "trade_requirements", "trade_profile")
         healthy = se.healthy_rules(self.rules, self.searchable_chunks, self.index_items).withColumn("rule_text", joined)
         postings = ix.postings(self.searchable_chunks.select("doc_id", "chunk_id", "chunk_index", "chunk_text"))
         items, cited = ju.judgment_items(self.compared, healthy, postings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -43,3 +43,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if folder:
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """Write an intermediate once and go on from there: for results that several branches of a plan read.
+
+    A reliable checkpoint: it outlives the executors that wrote it, and the plan above it stays short.
+    """
+    checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint()
