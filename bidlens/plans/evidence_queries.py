@@ -10,6 +10,7 @@ from bidlens.operators import evidence as ev
 from bidlens.plans import sql as q
 from bidlens.plans.matching_queries import COMPANIES, EVIDENCE
 from bidlens.plans.registry import query
+from bidlens.session import materialize
 
 _NUM = "lpad(c_custkey::VARCHAR, 10, '1')"
 _HEADS = {
@@ -98,7 +99,7 @@ def _(t):
       CASE WHEN text = '' OR kind = 'unknown' THEN 'needs_review' WHEN manual THEN 'manual' ELSE 'classified' END AS status FROM s""",
 )
 def _(t):
-    rows = ev.status(certificates(t))
+    rows = materialize(ev.status(certificates(t)))  # read by both kinds of field reading and again below
     found = ev.certificate_fields(rows.select("evidence_id", "text", "document_type"), kinds=_USED).unionByName(
         ev.registration_fields(rows.filter(F.col("document_type").isin(*et.REGISTRATION_KINDS)).select("evidence_id", "text"))
     )
