@@ -131,7 +131,7 @@ def swap_runs(chunks: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def write_runs(chunks: DataFrame, path: str) -> None:
-    """Replace only the written documents' partitions (bucketed by document hash)."""
+    """Write passages by run; only the partitions of the runs written are replaced, readers pick with ``swap_runs``."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
