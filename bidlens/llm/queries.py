@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bidlens.llm import quality_rules, sharding
 from bidlens.llm.tables import read
 from bidlens.llm.token_counts import token_table
 
-ORACLES: dict[str, str] = {}
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(read(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts,)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rule_table(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op10_quality_rules)}
+ORACLES = {"op1_sharding": sharding.SQL, "op10_quality_rules": quality_rules.SQL}
