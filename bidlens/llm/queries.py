@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm import quality_rules, sharding
+from bidlens.llm import byte_bpe, quality_rules, sharding
 from bidlens.llm.tables import read
 from bidlens.llm.token_counts import token_table
 
@@ -17,9 +17,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_table(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op8_byte_bpe, op10_quality_rules)}
 ORACLES = {"op1_sharding": sharding.SQL, "op10_quality_rules": quality_rules.SQL}
