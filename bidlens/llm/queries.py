@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm import byte_bpe, quality_rules, sharding
+from bidlens.llm import byte_bpe, jaccard_join, quality_crf, quality_rules, sharding, token_counts, toxicity
 from bidlens.llm.tables import read
-from bidlens.llm.token_counts import token_table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +13,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_table(read(spark, sf_dir, "documents"))
+    return token_counts.token_table(read(spark, sf_dir, "documents"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +36,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_table(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op8_byte_bpe, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_token_counts, op3_jaccard_join, op4_toxicity, op6_quality_crf, op8_byte_bpe, op10_quality_rules)
+}
 ORACLES = {"op1_sharding": sharding.SQL, "op10_quality_rules": quality_rules.SQL}
