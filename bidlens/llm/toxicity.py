@@ -127,7 +127,7 @@ def logit(model: Model, ids: np.ndarray) -> float:
 
 
 def start_model(texts: list[np.ndarray], y: np.ndarray, seed: int) -> Model:
-    """Random weights, but for one embedding column: log odds of texts with the bucket, shrunk where it is rare."""
+    """Random weights, but embeddings hold the log odds of texts with their bucket, shrunk where it is rare."""
     rng = np.random.default_rng(seed)
     counts = np.zeros((2, 2 * BUCKETS + 1))
     for ids, label in zip(texts, y):
@@ -135,12 +135,17 @@ def start_model(texts: list[np.ndarray], y: np.ndarray, seed: int) -> Model:
     totals = np.array([(y == 0).sum(), (y == 1).sum()])
     odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
     embedding = rng.normal(0, 0.05, (2 * BUCKETS + 1, DIM)).astype(np.float32)
-    embedding[:, 0] = np.clip(odds * counts[1] / (counts[1] + 5), -2, 5)
+    signs = np.clip(odds * counts[1] / (counts[1] + 5), -2, 5)
+    embedding[:, 0] = signs
+    for k in range(1, DIM):  # every other column sees a part of the buckets, so that different signs add up
+        mine = np.arange(len(signs)) % (DIM - 1) == k - 1
+        embedding[mine, k] = signs[mine]
     embedding[-1] = 0
-    filters = [rng.normal(0, 0.1, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    for weights in filters:
-        weights[::DIM] = np.abs(weights[::DIM]) + 0.5 / (len(weights) / DIM)
-    return Model(embedding, filters, [np.full(FILTERS, -0.5, np.float32) for _ in WIDTHS], np.full(len(WIDTHS) * FILTERS, 0.05, np.float32), -2.0, {})
+    filters = [rng.normal(0, 0.05, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    for width, weights in zip(WIDTHS, filters):
+        for k in range(width):
+            weights[k * DIM + np.arange(FILTERS) % DIM, np.arange(FILTERS)] += 0.5 / width
+    return Model(embedding, filters, [np.full(FILTERS, -0.5, np.float32) for _ in WIDTHS], np.full(len(WIDTHS) * FILTERS, 0.2, np.float32), -2.0, {})
 
 
 def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 5, epochs: int = 8, batch: int = 32, rate: float = 0.01) -> Model:
@@ -198,7 +203,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
         model = train(ids, y, seed)
     else:
         model = train([v for v, k in zip(ids, kept) if not k], y[~kept], seed)
-    share = 2 * share / (1 + share)  # to miss a toxic text counts as two false alarms
+    share = 1.5 * share / (1 + share / 2)  # to miss a toxic text counts as one and a half false alarms
     scores = np.array([logit(model, v) for v, k in zip(ids, kept) if k])
     langs = np.array([language(words, listed) for words, k in zip(cut, kept) if k])
     target, common = np.log(CUT / (1 - CUT)), best_threshold(scores, y[kept], share)
