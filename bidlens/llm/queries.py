@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm import byte_bpe, jaccard_join, quality_crf, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from bidlens.llm import byte_bpe, decontamination, jaccard_join, quality_crf, quality_rules, sharding, substring_dedup, token_counts, toxicity
 from bidlens.llm.tables import read
 
 
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.quality_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -42,6 +46,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_counts, op3_jaccard_join, op4_toxicity, op6_quality_crf, op7_substring_dedup, op8_byte_bpe, op10_quality_rules)
+    for f in (op1_sharding, op2_token_counts, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_quality_crf, op7_substring_dedup, op8_byte_bpe, op10_quality_rules)
 }
 ORACLES = {"op1_sharding": sharding.SQL, "op10_quality_rules": quality_rules.SQL}
