@@ -89,13 +89,13 @@ def rules() -> dict[str, Column]:
     }
 
 
-def cascade_order(measured: DataFrame, sample_rows: int = 2000, seed: int = 7) -> list[str]:
+def cascade_order(documents: DataFrame, sample_rows: int = 2000, seed: int = 7) -> list[str]:
     """Rule names by rejection per second, both estimated on a random sample of about ``sample_rows`` rows."""
-    scratch = Scratch(measured.sparkSession, "rules")
-    total = measured.select("doc_id").count()
+    scratch = Scratch(documents.sparkSession, "rules")
+    total = documents.select("doc_id").count()
     if not total:
         return list(rules())
-    sample = scratch.keep(measured.sample(min(1.0, sample_rows / total), seed), "sample")
+    sample = scratch.keep(measures(documents.sample(min(1.0, sample_rows / total), seed)), "sample")
     rejects = sample.select(*[F.avg(rule.cast("int")).alias(name) for name, rule in rules().items()]).first().asDict()
     seconds = {}
     for name, rule in rules().items():
@@ -116,8 +116,7 @@ def cascade(order: list[str]) -> Column:
 
 def judge(documents: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """Measures of every row, whether the base rule failed and whether the cascade keeps the row."""
-    measured = measures(documents)
-    return measured.withColumns({"base_failed": base_failed(), "kept": cascade(cascade_order(measured, sample_rows))})
+    return measures(documents).withColumns({"base_failed": base_failed(), "kept": cascade(cascade_order(documents, sample_rows))})
 
 
 def rule_table(documents: DataFrame) -> DataFrame:
