@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidlens.llm import byte_bpe, decontamination, jaccard_join, quality_crf, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from bidlens.llm import byte_bpe, decontamination, html_extraction, jaccard_join, quality_crf, quality_rules, sharding, substring_dedup, token_counts, toxicity
 from bidlens.llm.tables import read
 
 
@@ -40,12 +40,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_table(read(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.page_table(read(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_table(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_token_counts, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_quality_crf, op7_substring_dedup, op8_byte_bpe, op10_quality_rules)
+    for f in (
+        op1_sharding, op2_token_counts, op3_jaccard_join, op4_toxicity, op5_decontamination, op6_quality_crf, op7_substring_dedup, op8_byte_bpe,
+        op9_html_extraction, op10_quality_rules,
+    )
 }
 ORACLES = {"op1_sharding": sharding.SQL, "op10_quality_rules": quality_rules.SQL}

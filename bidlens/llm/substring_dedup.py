@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidlens.llm.shingles import STEP, WordDigests, grams, mixed, words_of
 from bidlens.llm.tables import Scratch
@@ -186,18 +187,21 @@ def pieces(words: list[bytes], gone: np.ndarray) -> bytes:
     return b" ".join([w for w, g in zip(words, gone) if not g]) if gone.any() else b" ".join(words)
 
 
-def without_repeats(documents: DataFrame, size: int = 13) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every row: ``kept`` is what stays, words joined by one space."""
+def without_repeats(documents: DataFrame, size: int = 13, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every row: ``kept`` is what stays, words joined by one space.
+
+    Columns named in ``carry`` stay with their row.  With ``whole``, texts that lose nothing stay as they are.
+    """
     spark = documents.sparkSession
     scratch = Scratch(spark, "substrings")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     chars, count = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     n_blocks = max(1, min(chars // BLOCK_CHARS + 1, count))
     buckets = int(min(max(1, n_blocks // 4), 10_000))
     bits = max(4, int(chars // 6 // 5 // RANGE_ENTRIES).bit_length())
     name = f"blocks_{uuid.uuid4().hex}"
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_blocks)).alias("block")
-    dealt = rows.select(block, "doc_id", "text").repartition(buckets, "block")
+    dealt = rows.select(block, "doc_id", "text", *carry).repartition(buckets, "block")
     dealt.write.bucketBy(buckets, "block").option("path", f"{scratch.folder}/blocks").saveAsTable(name)
     blocks = spark.table(name)
 
@@ -217,7 +221,8 @@ def without_repeats(documents: DataFrame, size: int = 13) -> DataFrame:
         return pa.table({
             "doc_id": table.column("doc_id"), "n_words": pa.array([len(w) for w in found.words], pa.int64()),
             "n_removed": pa.array([int(g.sum()) for g in each], pa.int64()),
-            "kept": pa.array([pieces(w, g).decode("utf-8", "replace") for w, g in zip(found.words, each)], pa.string()),
+            "kept": pa.array([t if whole and not g.any() else pieces(w, g).decode() for t, w, g in zip(table.column("text").to_pylist(), found.words, each)], pa.string()),
+            **{c: table.column(c) for c in carry},
         })
 
     def of_range(kind: str):
@@ -228,7 +233,11 @@ def without_repeats(documents: DataFrame, size: int = 13) -> DataFrame:
     windows = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(suspects, ENTRIES)
     known = scratch.keep(windows.groupBy("range").applyInArrow(of_range("windows"), ANSWER), "known")
     answers = shared.union(known)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(result, "doc_id long, n_words long, n_removed long, kept string")
+    schema = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("kept", T.StringType()), *[rows.schema[c] for c in carry],
+    ])
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(result, schema)
 
 
 def repeat_table(documents: DataFrame, size: int = 13) -> DataFrame:
