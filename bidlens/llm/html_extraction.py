@@ -113,6 +113,8 @@ def parse(page: str) -> tuple[Node, list[tuple[list[Node], list[str]]]]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if tag in BLOCK:
+                current = None
             for i in range(len(path) - 1, 0, -1):
                 if path[i].tag == tag:
                     close(i)

@@ -36,7 +36,10 @@ def lone_tokens(model_file: str) -> frozenset[str]:
         raise ValueError("a piece crosses words; pre-tokens can't be counted apart")
     marked = [(i, p) for i, p in plain if p.startswith(MARK)]
     encoded = model.encode([p[1:].replace(MARK, " ") for _, p in marked], num_threads=1)
-    return frozenset(p.replace(MARK, " ") for (i, p), ids in zip(marked, encoded) if ids == [i])
+    lone = {p.replace(MARK, " ") for (i, p), ids in zip(marked, encoded) if ids == [i]}
+    if len(model.encode("a ")) == len(model.encode("a")) + 1:
+        lone.add(" ")  # the library takes a lone blank for no text
+    return frozenset(lone)
 
 
 def count_tokens(text: str | Column = "text", model_file: str | None = None, cache_size: int = 500_000) -> Column:
