@@ -202,19 +202,28 @@ def json_list(c: Column) -> Column:
     return ordered_distinct(items)
 
 
+def first_items(c: Column, n: int | None) -> Column:
+    """The first ``n`` items of an array; all without ``n``."""
+    return c if n is None else F.slice(c, 1, n)
+
+
+def first_chars(c: Column, n: int | None) -> Column:
+    return c if n is None else F.substring(c, 1, n)
+
+
 def json_list_merge(existing: Column, incoming: Column) -> Column:
     return F.array_distinct(F.concat(json_list(existing), json_list(incoming)))
 
 
-def pii_mask(c: Column) -> Column:
-    """Mask credentials, resident ids and business ids; cut very long values."""
+def pii_mask(c: Column, max_chars: int | None = None) -> Column:
+    """Mask credentials, resident ids and business ids; with ``max_chars`` (a log line's), cut longer values."""
     head, tail = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     text = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i){head}(Bearer|Basic){WS}+[A-Za-z0-9._~+/=-]+", "$1 " + fv.REDACTED)
     text = F.regexp_replace(text, rf"{head}[0-9]{{6}}-[0-9]{{7}}{tail}", fv.REDACTED_RRN)
     text = F.regexp_replace(text, rf"{head}([0-9]{{3}})-?[0-9]{{2}}-?[0-9]{{5}}{tail}", r"$1-**-*****")
-    return F.when(
-        F.length(text) > fv.MASK_MAX_CHARS, F.concat(F.substring(text, 1, fv.MASK_MAX_CHARS), F.lit("...[truncated]"))
-    ).otherwise(text)
+    if max_chars is None:
+        return text
+    return F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars), F.lit("...[truncated]"))).otherwise(text)
 
 
 def is_sensitive_key(c: Column) -> Column:

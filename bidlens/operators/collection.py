@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from bidlens.functions import fixed_values as fv
 from bidlens.functions import text as tx
 
+MAX_PAGE = 100
+
 
 def first_by_source(items: DataFrame) -> DataFrame:
     """One row per (no, ord): the earlier source wins, then arrival.  Items without a number are dropped."""
@@ -18,13 +20,20 @@ def first_by_source(items: DataFrame) -> DataFrame:
     return rows.groupBy("no", "ord").agg(F.min_by(F.struct(*others), F.struct("source_rank", "arrival")).alias("r")).select("no", "ord", "r.*")
 
 
+def checked_page(page: int, page_size: int) -> tuple[int, int]:
+    """Both as they are; an error outside the bounds, never fewer rows than asked for."""
+    if page < 1 or not 1 <= page_size <= MAX_PAGE:
+        raise ValueError(f"pages start at 1 and hold 1 to {MAX_PAGE} rows")
+    return page, page_size
+
+
 def search_page(items: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
     """One page over all sources, newest date text first.
 
     ``items``: no, ord, source_rank, arrival, date_text.  Equal dates keep source and arrival order.  The page is a
     limit in order, so each task keeps at most offset + size rows.
     """
-    page, size = max(page, 1), min(max(page_size, 1), 100)
+    page, size = checked_page(page, page_size)
     ordered = first_by_source(items).orderBy(F.desc("date_text"), "source_rank", "arrival", "no", "ord")
     return ordered.offset((page - 1) * size).limit(size)
 
@@ -34,7 +43,7 @@ def search_totals(items: DataFrame, totals: DataFrame, page: int = 1, page_size:
 
     ``totals``: source_rank, total_count, error.
     """
-    page, size = max(page, 1), min(max(page_size, 1), 100)
+    page, size = checked_page(page, page_size)
     good = F.col("error") == ""
     told = totals.agg(
         F.coalesce(F.sum(F.when(good, F.col("total_count"))), F.lit(0)).alias("total_count"), F.count_if(~good).alias("failed_sources"),
@@ -85,14 +94,21 @@ def time_value(c: Column) -> Column:
     return F.when(F.length(d) >= 12, F.substring(d, 1, 12).cast("long"))
 
 
-def multi_sort(notices: DataFrame, rules) -> DataFrame:
-    """Order by any of posted, deadline, amount, each asc or desc; missing values always last."""
+def sort_values() -> dict[str, Column]:
     amount = tx.first_present(*[F.col(c) for c in fv.MONEY_LABELS])
-    keys = {
+    return {
         "posted": time_value(F.col("bid_ntce_dt")), "deadline": time_value(F.col("bid_clse_dt")),
         "amount": F.when(amount != "", tx.money_decimal(amount)),
     }
-    order = [keys[name].asc_nulls_last() if direction == "asc" else keys[name].desc_nulls_last() for name, direction in rules]
+
+
+def multi_sort(notices: DataFrame, rules) -> DataFrame:
+    """All notices by any of posted, deadline, amount, each asc or desc: a range sort over all tasks.
+
+    Missing values come last, equal ones by id.
+    """
+    values = sort_values()
+    order = [values[name].asc_nulls_last() if direction == "asc" else values[name].desc_nulls_last() for name, direction in rules]
     return notices.orderBy(*order, "notice_id")
 
 

@@ -6,32 +6,46 @@ part (an anchor) and only those pairs are verified.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.functions import text as tx
 
 ANCHOR_TOKENS = 3
+SHORT_PIECE = 5
+
+
+def _piece(size: int, text: str, end) -> Column:
+    """All pieces of ``size`` characters."""
+    return F.transform(F.sequence(F.lit(1), end), lambda i: F.substring(F.col(text), i, F.lit(size)))
 
 
 def text_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """Pairs where ``hay`` contains ``needle``.  Needles need ``ANCHOR_TOKENS`` + 2 tokens or more.
+    """Pairs where ``hay`` contains ``needle``; other columns of both sides are kept.
 
-    Anchor: three neighbouring tokens inside the needle (not its edges, which may be part of a longer word in the
-    hay).  The longest such run is taken: long tokens are rarer.  Other columns of both sides are kept.
+    Anchor of a needle of five tokens or more: three neighbouring tokens inside it (not its edges, which may be part of a
+    longer word in the hay), the longest such run: long tokens are rarer.  Anchor of a shorter one: its first five
+    characters, or all if it has fewer; the sizes that occur (five at most) are looked up first, so that no hay is cut
+    into characters for nothing.  Empty needles are in every text and no pair is listed for them.
     """
-    tokens = tx.raw_tokens(F.col("needle"))
+    tokens = needles.withColumn("_t", tx.raw_tokens(F.col("needle")))
     inner = F.sequence(F.lit(2), F.size("_t") - ANCHOR_TOKENS)
     runs = F.transform(inner, lambda i: F.array_join(F.slice("_t", i, ANCHOR_TOKENS), " "))
     best = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
-    left = needles.withColumn("_t", tokens).filter(F.size("_t") >= ANCHOR_TOKENS + 2).withColumn("anchor", best).drop("_t")
+    left = tokens.filter(F.size("_t") >= ANCHOR_TOKENS + 2).select("needle_id", best.alias("anchor"))
     hay_tokens = hays.withColumn("_t", tx.raw_tokens(F.col("hay"))).filter(F.size("_t") >= ANCHOR_TOKENS)
     hay_runs = F.transform(
         F.sequence(F.lit(1), F.size("_t") - ANCHOR_TOKENS + 1), lambda i: F.array_join(F.slice("_t", i, ANCHOR_TOKENS), " ")
     )
     # only ids travel with the anchors; the wide text is joined back for the few candidate pairs
     anchors = hay_tokens.select("hay_id", F.explode(F.array_distinct(hay_runs)).alias("anchor"))
-    candidates = anchors.join(left.select("needle_id", "anchor"), "anchor").select("hay_id", "needle_id")
+    candidates = anchors.join(left, "anchor").select("hay_id", "needle_id")
+    few = tokens.filter((F.size("_t") < ANCHOR_TOKENS + 2) & (F.length("needle") > 0)).withColumn("size", F.least(F.length("needle"), F.lit(SHORT_PIECE)))
+    for size in sorted(r[0] for r in few.select("size").distinct().collect()):
+        short = few.filter(F.col("size") == size).select("needle_id", F.substring("needle", 1, size).alias("anchor"))
+        long = hays.filter(F.length("hay") >= size)
+        pieces = long.select("hay_id", F.explode(F.array_distinct(_piece(size, "hay", F.length("hay") - size + 1))).alias("anchor"))
+        candidates = candidates.unionByName(pieces.join(short, "anchor").select("hay_id", "needle_id"))
     pairs = candidates.join(hays, "hay_id").join(needles, "needle_id")
     return pairs.filter(F.col("hay").contains(F.col("needle")))
 

@@ -389,7 +389,7 @@ def kind_pair(lines: Column) -> Column:
             return F.get(starts, F.lit(0))
 
         def cut(s):
-            part = F.when(s.isNotNull(), F.slice(rows, s + 1, F.lit(36))).otherwise(tx.str_array([]))
+            part = F.when(s.isNotNull(), F.slice(rows, s + 1, F.size(rows))).otherwise(tx.str_array([]))
             stop = F.filter(
                 F.transform(part, lambda x, i: F.when((i > 0) & _is_kind_stop(x), i)), lambda i: i.isNotNull()
             )

@@ -180,14 +180,14 @@ def priority_group(type_: Column, text: Column, groups=None) -> Column:
 
 
 def priority_groups(items: DataFrame, status: str = "match_status", unmet=tuple(UNMET), groups=None) -> DataFrame:
-    """Unmet items by kind of work: count, first item, and order of appearance; eight groups, five of them as actions."""
+    """Unmet items by kind of work: count, first item, and order of appearance."""
     text = F.concat_ws(" ", "label", "required_value", "source_text")
     rows = items.filter(F.col(status).isin(*unmet)).withColumn("priority_group", priority_group(F.col("requirement_type"), text, groups))
     first = rows.groupBy(*RUN, "priority_group").agg(
         F.count("*").alias("item_count"), F.min("item_pos").alias("first_pos"), F.min_by("requirement_id", "item_pos").alias("first_requirement")
     )
     order = F.row_number().over(W.partitionBy(*RUN).orderBy("first_pos"))
-    return first.withColumn("position", order).filter(F.col("position") <= 8).withColumn("is_action", F.col("position") <= 5)
+    return first.withColumn("position", order)
 
 
 def headline(prepared: Column, missing: Column, review: Column, not_found: Column) -> Column:
@@ -198,12 +198,9 @@ def headline(prepared: Column, missing: Column, review: Column, not_found: Colum
 
 
 def evidence_links(items: DataFrame, evidence: DataFrame, citations: DataFrame, runs: DataFrame) -> DataFrame:
-    """What a result rests on: up to 12 certificates, then each item's requirement and its citations; 40 per run.
-
-    Both cuts are ranks, so every task passes on at most that many rows per run.
-    """
+    """What a result rests on: the company's certificates, newest first, then each item's requirement and its citations."""
     latest = F.row_number().over(W.partitionBy("company_id").orderBy(F.desc("updated_at"), F.desc("evidence_id")))
-    certificates = evidence.withColumn("sub_pos", latest).filter(F.col("sub_pos") <= 12).select(
+    certificates = evidence.withColumn("sub_pos", latest).select(
         "company_id", F.lit("corporation_evidence").alias("link_type"), F.col("evidence_id").cast("string").alias("ref_id"), "sub_pos"
     ).join(runs, "company_id").withColumn("item_pos", F.lit(-1).cast("long"))
     needs = items.select(
@@ -217,7 +214,7 @@ def evidence_links(items: DataFrame, evidence: DataFrame, citations: DataFrame,
     rows = certificates.unionByName(needs).unionByName(cited)
     first = rows.groupBy(*RUN, "link_type", "ref_id").agg(F.min(F.struct("item_pos", "sub_pos")).alias("at"))
     order = F.row_number().over(W.partitionBy(*RUN).orderBy("at", "link_type", "ref_id"))
-    return first.withColumn("position", order).filter(F.col("position") <= 40).drop("at")
+    return first.withColumn("position", order).drop("at")
 
 
 def action_items(actions: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@ from bidlens.functions import fixed_values as fv
 from bidlens.functions import text as tx
 from bidlens.functions.dictionaries import KOREAN, Dictionaries
 
-MIN_LINE, MAX_LINES, MAX_MISSES = 12, 8000, 10
-MAX_ROWS, MAX_TOKEN_ROWS, MIN_ROW_RECALL = 20000, 30000, 0.65
+MIN_LINE, MIN_ROW_RECALL = 12, 0.65
 
 
 def char_ngrams(text: Column, n: int = 5) -> Column:
@@ -64,7 +63,7 @@ def _coverage(items: Column, target: Column) -> Column:
 
         return F.struct(
             F.size(s["i"]).alias("total"), F.size(F.filter(s["i"], hit)).alias("hits"),
-            F.slice(F.filter(s["i"], lambda x: ~hit(x)), 1, MAX_MISSES).alias("misses"),
+            F.filter(s["i"], lambda x: ~hit(x)).alias("misses"),
         )
 
     return tx.let(F.struct(items.alias("i"), tx.space_compact(target).alias("t")), measure)
@@ -72,7 +71,7 @@ def _coverage(items: Column, target: Column) -> Column:
 
 def line_items(text: Column) -> Column:
     tidy = F.transform(F.split(F.coalesce(text, F.lit("")), tx.LINE_BREAK), lambda x: tx.clean_text(F.regexp_replace(x, f"{tx.WS}+", " ")))
-    return F.slice(F.filter(tidy, lambda x: F.length(x) >= MIN_LINE), 1, MAX_LINES)
+    return F.filter(tidy, lambda x: F.length(x) >= MIN_LINE)
 
 
 def _as_ratio(c: Column) -> Column:
@@ -80,7 +79,7 @@ def _as_ratio(c: Column) -> Column:
 
 
 def line_coverage(pairs: DataFrame) -> DataFrame:
-    """Share of the lines of a found in b, with up to ten misses.  Both texts sit in the row: no join."""
+    """Share of the lines of a found in b, with those that are not.  Both texts sit in the row: no join."""
     rows = pairs.select("pair_id", _coverage(line_items(F.col("a")), F.col("b")).alias("c"))
     return rows.select("pair_id", F.col("c.total").alias("line_count"), _as_ratio(F.col("c")).alias("coverage"), F.col("c.misses").alias("misses"))
 
@@ -110,13 +109,13 @@ def markdown_table_count(text: Column) -> Column:
 
 
 def row_coverage(pairs: DataFrame) -> DataFrame:
-    rows = pairs.select("pair_id", _coverage(F.slice(markdown_rows(F.col("a")), 1, MAX_ROWS), F.col("b")).alias("c"))
+    rows = pairs.select("pair_id", _coverage(markdown_rows(F.col("a")), F.col("b")).alias("c"))
     return rows.select("pair_id", F.col("c.total").alias("row_count"), _as_ratio(F.col("c")).alias("coverage"))
 
 
 def row_token_coverage(pairs: DataFrame, rows_of=markdown_rows, min_recall: float = MIN_ROW_RECALL) -> DataFrame:
     """Share of rows of a of which enough tokens occur in b; a row without tokens counts as found."""
-    rows = pairs.select("pair_id", F.posexplode(F.slice(rows_of(F.col("a")), 1, MAX_TOKEN_ROWS)).alias("row", "line"))
+    rows = pairs.select("pair_id", F.posexplode(rows_of(F.col("a"))).alias("row", "line"))
     tokens = rows.select("pair_id", "row", F.explode_outer(F.array_distinct(tx.tokenize(F.col("line")))).alias("token"))
     target = pairs.select("pair_id", F.explode(F.array_distinct(tx.tokenize(F.col("b")))).alias("token")).withColumn("hit", F.lit(1))
     per_row = tokens.join(target, ["pair_id", "token"], "left").groupBy("pair_id", "row").agg(
@@ -145,8 +144,8 @@ def line_score(line: Column, raw: Column, d: Dictionaries = KOREAN) -> Column:
     )
 
 
-def table_like_lines(text: Column, page_of, d: Dictionaries = KOREAN, limit: int = 80) -> Column:
-    """Best table-like lines of a text: array of (neg_score, page_number, text), best first.  ``page_of``: line index -> page."""
+def table_like_lines(text: Column, page_of, d: Dictionaries = KOREAN, limit: int | None = None) -> Column:
+    """Table-like lines of a text: array of (neg_score, page_number, text), best first.  ``page_of``: line index -> page."""
     def scored(raw, i):
         line = tx.clean_text(F.regexp_replace(raw, r"[ \t]+", " "))
         return tx.let(
@@ -155,17 +154,17 @@ def table_like_lines(text: Column, page_of, d: Dictionaries = KOREAN, limit: int
         )
 
     rows = F.transform(F.split(F.coalesce(text, F.lit("")), tx.LINE_BREAK), scored)
-    return F.slice(F.array_sort(F.filter(rows, lambda r: (r["neg_score"] <= -3) & (r["text"] != ""))), 1, limit)
+    return tx.first_items(F.array_sort(F.filter(rows, lambda r: (r["neg_score"] <= -3) & (r["text"] != ""))), limit)
 
 
-def line_queries(lines: Column, defaults=tuple(fv.DEFAULT_LINE_QUERIES), limit: int = 5) -> Column:
-    """Search texts from the first lines: six tokens each that are no numbers; filled up with defaults."""
+def line_queries(lines: Column, defaults=tuple(fv.DEFAULT_LINE_QUERIES), limit: int | None = None, words_each: int | None = None) -> Column:
+    """Search texts from the lines: their tokens that are no numbers, then defaults; both limits are for callers that try a few."""
     def words(line):
         tokens = F.filter(tx.raw_tokens(line), lambda t: ~t.rlike("^[0-9]+$"))
-        return F.array_join(F.slice(tokens, 1, 6), " ")
+        return F.array_join(tx.first_items(tokens, words_each), " ")
 
-    made = F.slice(F.array_distinct(F.filter(F.transform(lines, words), lambda q: F.length(q) >= 4)), 1, limit)
-    return F.slice(F.array_distinct(F.concat(made, tx.str_array(defaults))), 1, limit)
+    made = F.array_distinct(F.filter(F.transform(lines, words), lambda q: F.length(q) >= 4))
+    return tx.first_items(F.array_distinct(F.concat(made, tx.str_array(defaults))), limit)
 
 
 def top_terms(texts: DataFrame, by: str, stopwords=tuple(fv.TERM_STOPWORDS), k: int = 20, min_length: int = 2) -> DataFrame:
@@ -201,11 +200,11 @@ def metric_rollup(rows: DataFrame, metrics) -> DataFrame:
     )
 
 
-def encoding_findings(texts: DataFrame, tokens=tuple(fv.MOJIBAKE_TOKENS), limit: int = 20) -> DataFrame:
-    """First lines per document that hold a sign of broken encoding."""
+def encoding_findings(texts: DataFrame, tokens=tuple(fv.MOJIBAKE_TOKENS)) -> DataFrame:
+    """Every line that holds a sign of broken encoding."""
     lines = F.transform(F.split("text", tx.LINE_BREAK), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line")))
-    bad = F.slice(F.filter(lines, lambda r: tx.contains_any(r["line"], tokens)), 1, limit)
-    return texts.select("doc_id", F.explode(bad).alias("f")).select("doc_id", "f.line_number", F.substring("f.line", 1, 160).alias("excerpt"))
+    bad = F.filter(lines, lambda r: tx.contains_any(r["line"], tokens))
+    return texts.select("doc_id", F.explode(bad).alias("f")).select("doc_id", "f.line_number", F.col("f.line").alias("excerpt"))
 
 
 def forbidden_terms(rows: DataFrame, text: str, d: Dictionaries = KOREAN) -> DataFrame:

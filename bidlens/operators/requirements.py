@@ -10,7 +10,6 @@ from bidlens.functions import text as tx
 from bidlens.functions.dictionaries import KOREAN, Dictionaries
 from bidlens.operators import rules as ru
 
-LINE_CHARS, MAX_LINES, MAX_LINE_REQUIREMENTS, ATTACHMENT_CHARS = 260, 16, 12, 20000
 RESULT_COLUMNS = ("regions", "licenses", "company_types", "required_documents", "requirement_lines")
 
 
@@ -18,10 +17,10 @@ def notice_regions(region_text: Column, text: Column, d: Dictionaries = KOREAN)
     return tx.ordered_distinct(F.concat(F.array(F.coalesce(region_text, F.lit(""))), ru.region_terms(text, d)))
 
 
-def requirement_lines(text: Column, d: Dictionaries = KOREAN) -> Column:
-    """First 16 lines that hold a keyword, cut, then distinct."""
+def requirement_lines(text: Column, d: Dictionaries = KOREAN, max_lines: int | None = None, line_chars: int | None = None) -> Column:
+    """Distinct lines that hold a keyword; both limits are for callers that show lines."""
     wanted = F.filter(tx.filled_lines(text), lambda x: tx.contains_any(x, d.requirement_keywords))
-    return tx.ordered_distinct(F.transform(F.slice(wanted, 1, MAX_LINES), lambda x: F.substring(x, 1, LINE_CHARS)))
+    return tx.ordered_distinct(F.transform(tx.first_items(wanted, max_lines), lambda x: tx.first_chars(x, line_chars)))
 
 
 def notice_requirements(notices: DataFrame, d: Dictionaries = KOREAN, saved: DataFrame | None = None) -> DataFrame:
@@ -70,9 +69,7 @@ def candidate_array(extracted: DataFrame) -> Column:
         each("region", "regions"), each("license", "licenses"), each("company_type", "company_types"),
         each("required_document", "required_documents"),
         named("money", fv.MONEY_LABELS, tx.won_format), named("date", fv.DATE_LABELS, lambda c: c),
-        F.transform(
-            F.slice("requirement_lines", 1, MAX_LINE_REQUIREMENTS), lambda v: _candidate("requirement_line", v, None, v)
-        ),
+        F.transform("requirement_lines", lambda v: _candidate("requirement_line", v, None, v)),
     )
 
     def first_of_each(rows):
@@ -161,7 +158,7 @@ def preserve_on_partial(previous: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def notice_summary_text(notices: DataFrame, texts: str = "attachment_texts") -> DataFrame:
+def notice_summary_text(notices: DataFrame, texts: str = "attachment_texts", attachment_chars: int | None = None) -> DataFrame:
     """Label lines of a notice followed by its numbered attachment texts."""
     shown = [
         ("공고명", F.col("bid_ntce_nm")), ("공고번호", F.concat("bid_ntce_no", F.lit("-"), "bid_ntce_ord")),
@@ -173,6 +170,6 @@ def notice_summary_text(notices: DataFrame, texts: str = "attachment_texts") ->
     head = F.concat_ws("\n", *[F.concat(F.lit(k + ": "), F.coalesce(v, F.lit(""))) for k, v in shown], F.lit(""), F.lit("첨부문서 추출 내용:"))
     parts = F.transform(
         F.coalesce(texts, F.array().cast("array<string>")),
-        lambda x, i: F.concat(F.lit("[첨부 "), (i + 1).cast("string"), F.lit("]\n"), F.substring(x, 1, ATTACHMENT_CHARS), F.lit("\n")),
+        lambda x, i: F.concat(F.lit("[첨부 "), (i + 1).cast("string"), F.lit("]\n"), tx.first_chars(x, attachment_chars), F.lit("\n")),
     )
     return notices.select("notice_id", tx.clean_text(F.concat_ws("\n", head, F.array_join(parts, "\n"))).alias("summary_text"))

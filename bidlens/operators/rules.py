@@ -10,19 +10,20 @@ from bidlens.functions import text as tx
 from bidlens.functions.dictionaries import KOREAN, Dictionaries
 from bidlens.operators import search as se
 
-LINE_CHARS, MAX_LINES, SCOPE = 420, 12, "procurement_readiness"
+SCOPE = "procurement_readiness"
 REVIEWED = ("approved", "rejected")
 NOTE_CITATION = "재추출 결과 citation 후보가 변경되어 재검토 필요"
 NOTE_VANISHED = "재추출 결과 현재 청크에서 같은 조건을 찾지 못해 재검토 필요"
 
 
-def source_line_array(text: Column, d: Dictionaries = KOREAN) -> Column:
+def source_line_array(text: Column, d: Dictionaries = KOREAN, max_lines: int | None = None, line_chars: int | None = None) -> Column:
+    """Lines with a keyword; a passage without one counts whole.  Both limits are for callers that show lines."""
     def wanted(line):
         return tx.contains_any(line, d.rule_keywords) | tx.contains_any(F.lower(line), d.rule_keywords)
 
-    picked = F.transform(F.slice(F.filter(tx.filled_lines(text), wanted), 1, MAX_LINES), lambda x: F.substring(x, 1, LINE_CHARS))
-    short = F.length(text).between(1, LINE_CHARS)
-    return tx.let(picked, lambda p: F.when((F.size(p) == 0) & short, F.array(text)).otherwise(p))
+    picked = F.transform(tx.first_items(F.filter(tx.filled_lines(text), wanted), max_lines), lambda x: tx.first_chars(x, line_chars))
+    whole = F.length(text) > 0 if line_chars is None else F.length(text).between(1, line_chars)
+    return tx.let(picked, lambda p: F.when((F.size(p) == 0) & whole, F.array(text)).otherwise(p))
 
 
 def source_lines(chunks: DataFrame, d: Dictionaries = KOREAN) -> DataFrame:
@@ -305,7 +306,7 @@ def rule_filter(rules: DataFrame, doc_id=None, status="", rule_type="", keyword=
 def rule_list(rules: DataFrame, limit: int = 0, offset: int = 0, **filters) -> DataFrame:
     """Newest first; a page of at most 500 (the total is a count of ``rule_filter``)."""
     out = rule_filter(rules, **filters).orderBy(F.desc("rule_id"))
-    return out.offset(max(offset, 0)).limit(min(limit, 500)) if limit > 0 else out
+    return out.offset(max(offset, 0)).limit(limit) if limit > 0 else out
 
 
 def rule_detail(rules: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:

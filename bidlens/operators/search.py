@@ -10,8 +10,11 @@ from bidlens.functions import fixed_values as fv
 from bidlens.functions import text as tx
 
 
-def clamp_k(k: int) -> int:
-    return max(1, min(k, fv.MAX_TOP_K))
+def checked_k(k: int) -> int:
+    """``k`` as it is; an error outside 1 to 20, never fewer rows than asked for."""
+    if not 1 <= k <= fv.MAX_TOP_K:
+        raise ValueError(f"k must lie between 1 and {fv.MAX_TOP_K}")
+    return k
 
 
 def round4(c: Column) -> Column:
@@ -47,7 +50,7 @@ def topk(queries: DataFrame, postings: DataFrame, k: int = 5, salts: int = 1) ->
     becomes a group limit below the shuffle, so at most k rows per query and task travel.
     """
     order = W.partitionBy("query_id").orderBy(F.desc("shared"), F.desc("doc_id"), "chunk_index")
-    ranked = overlaps(queries, postings, salts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= clamp_k(k))
+    ranked = overlaps(queries, postings, salts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= checked_k(k))
     return ranked.select(
         "query_id", "rank", "doc_id", "chunk_id", "chunk_index", "shared", (F.col("shared") / F.col("query_size")).alias("score")
     )
@@ -165,7 +168,7 @@ def approved_topk(requirements: DataFrame, rules: DataFrame, k: int = 3, salts:
     scores = match_scores(requirements, rules, salts, carry=("updated_at", "doc_id", "chunk_id"))
     scores = scores.withColumn("citation_candidate_id", citation_id(F.col("doc_id"), F.col("chunk_id")))
     order = W.partitionBy("requirement_key").orderBy(F.desc("score"), F.desc("updated_at"), F.desc("rule_id"))
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= clamp_k(k))
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= checked_k(k))
 
 
 def merge_citations(primary: DataFrame, fallback: DataFrame, k: int = 3) -> DataFrame:
@@ -179,7 +182,7 @@ def merge_citations(primary: DataFrame, fallback: DataFrame, k: int = 3) -> Data
     )
     order = W.partitionBy("requirement_key").orderBy("r.src", "r.rank")
     return (
-        first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= clamp_k(k))
+        first.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= checked_k(k))
         .select("requirement_key", "position", "citation_candidate_id", "r.doc_id", "r.chunk_id", "r.score", "r.source_type", "r.rule_id")
     )
 

@@ -168,7 +168,7 @@ class Tables:
         mined = ru.candidates(self.rule_passages, DEMO)
         labels = self.labels.select("doc_id", "quality", "toxic")
         out = mined.join(labels, "doc_id", "left").withColumn(
-            "rule_id", F.col("chunk_id") * 100 + F.col("pos") * 8 + F.col("type_pos")
+            "rule_id", F.col("chunk_id") * 32768 + F.col("pos") * 16 + F.col("type_pos")
         )
         status = (
             F.when(F.col("quality").isNull(), "needs_review")

@@ -341,7 +341,7 @@ def _group_case() -> str:
     f"""WITH {JUDGE}, a AS (SELECT *, label || ' ' || required_value || ' ' || source_text AS txt FROM item WHERE match_status IN ('missing', 'needs_review', 'uncertain')),
     b AS (SELECT *, {_group_case()} AS priority_group FROM a),
     c AS (SELECT notice_id, company_id, priority_group, count(*) AS item_count, min(item_pos) AS first_pos, arg_min(requirement_id, item_pos) AS first_requirement FROM b GROUP BY ALL)
-    SELECT *, row_number() OVER w AS position, row_number() OVER w <= 5 AS is_action FROM c WINDOW w AS (PARTITION BY notice_id, company_id ORDER BY first_pos) QUALIFY position <= 8""",
+    SELECT *, row_number() OVER w AS position FROM c WINDOW w AS (PARTITION BY notice_id, company_id ORDER BY first_pos)""",
 )
 def _(t):
     rows = ju.priority_groups(t.judged[0], groups=_GROUPS)
@@ -362,12 +362,12 @@ def _(t):
 @query(
     "evidence_links",
     f"""WITH {JUDGE}, {EVIDENCE}, runs AS (SELECT DISTINCT notice_id, company_id FROM item),
-    top12 AS (SELECT company_id, evidence_id, row_number() OVER (PARTITION BY company_id ORDER BY updated_at DESC, evidence_id DESC) AS sub_pos FROM ev WHERE review_status = 'approved' QUALIFY sub_pos <= 12),
+    top12 AS (SELECT company_id, evidence_id, row_number() OVER (PARTITION BY company_id ORDER BY updated_at DESC, evidence_id DESC) AS sub_pos FROM ev WHERE review_status = 'approved'),
     l AS (SELECT notice_id, company_id, 'corporation_evidence' AS link_type, evidence_id::VARCHAR AS ref_id, -1::BIGINT AS ip, sub_pos AS sp FROM top12 JOIN runs USING (company_id)
       UNION ALL SELECT notice_id, company_id, 'notice_requirement', requirement_id, item_pos, 0 FROM item
       UNION ALL SELECT notice_id, company_id, 'basis_chunk', doc_id || ':' || chunk_id, item_pos, position FROM item JOIN cit USING (requirement_key)),
     u AS (SELECT notice_id, company_id, link_type, ref_id, min((ip, sp)) AS first_at FROM l GROUP BY ALL)
-    SELECT notice_id, company_id, link_type, ref_id, row_number() OVER (PARTITION BY notice_id, company_id ORDER BY first_at, link_type, ref_id) AS position FROM u QUALIFY position <= 40""",
+    SELECT notice_id, company_id, link_type, ref_id, row_number() OVER (PARTITION BY notice_id, company_id ORDER BY first_at, link_type, ref_id) AS position FROM u""",
 )
 def _(t):
     items, cited = t.judged

@@ -97,7 +97,8 @@ def _(t):
 
 @query(
     "notice_multi_sort",
-    """SELECT o_orderkey AS notice_id, row_number() OVER (ORDER BY CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y%m%d')::BIGINT END DESC NULLS LAST, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END ASC NULLS LAST, o_orderkey) AS position FROM orders QUALIFY position <= 500""",
+    """SELECT o_orderkey AS notice_id, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y%m%d%H%M')::BIGINT END AS posted,
+      CASE WHEN o_orderpriority <> '5-LOW' THEN round(o_totalprice * 100)::BIGINT END AS cents FROM orders""",
 )
 def _(t):
     rows = t.orders.select(
@@ -105,12 +106,10 @@ def _(t):
         F.lit("").alias("bid_clse_dt"), F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.format_number("o_totalprice", 2), F.lit(" 원"))).otherwise("").alias("presmpt_prce"),
         F.lit("").alias("bdgt_amt"), F.lit(" ").alias("bssamt"),
     )
-    first = co.multi_sort(rows, [("posted", "desc"), ("amount", "asc")]).limit(500)
-    # a report of the first 500: numbering them is a window over the report only
-    from pyspark.sql import Window as W
-
-    order = W.orderBy(co.time_value(F.col("bid_ntce_dt")).desc_nulls_last(), F.when(F.trim("presmpt_prce") != "", F.regexp_replace("presmpt_prce", "[^0-9.]", "").cast("double")).asc_nulls_last(), "notice_id")
-    return first.select("notice_id", F.row_number().over(order).cast("long").alias("position"))
+    # every notice in order; the keys that order it are shown, a number for each row would need one task
+    values = co.sort_values()
+    ordered = co.multi_sort(rows, [("posted", "desc"), ("amount", "asc")])
+    return ordered.select("notice_id", values["posted"].alias("posted"), F.round(values["amount"] * 100).cast("long").alias("cents"))
 
 
 @query(

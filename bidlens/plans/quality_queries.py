@@ -64,7 +64,7 @@ def _(t):
     return qa.multiset_recall(_pairs(t), tx.numeric_tokens)
 
 
-_TIDY = f"list_filter(list_transform(regexp_split_to_array(a, '{q.LINE_BREAK}'), lambda y: {q.clean(f'''regexp_replace(y, '{q.WS}+', ' ', 'g')''')}), lambda y: length(y) >= 12)[1:8000]"
+_TIDY = f"list_filter(list_transform(regexp_split_to_array(a, '{q.LINE_BREAK}'), lambda y: {q.clean(f'''regexp_replace(y, '{q.WS}+', ' ', 'g')''')}), lambda y: length(y) >= 12)"
 LINES = f"""{PAIRS},
 lc0 AS (SELECT pair_id, {_TIDY} AS ls, {q.space_compact('b')} AS bc FROM pr),
 lc AS (SELECT pair_id, len(ls)::BIGINT AS line_count, list_filter(ls, lambda y: NOT contains(bc, {q.space_compact('y')})) AS miss FROM lc0)"""
@@ -72,7 +72,7 @@ lc AS (SELECT pair_id, len(ls)::BIGINT AS line_count, list_filter(ls, lambda y:
 
 @query(
     "line_coverage",
-    f"WITH {LINES} SELECT pair_id, line_count, CASE WHEN line_count > 0 THEN (line_count - len(miss)) / line_count ELSE 1.0::DOUBLE END AS coverage, array_to_string(miss[1:10], '|') AS misses FROM lc",
+    f"WITH {LINES} SELECT pair_id, line_count, CASE WHEN line_count > 0 THEN (line_count - len(miss)) / line_count ELSE 1.0::DOUBLE END AS coverage, array_to_string(miss, '|') AS misses FROM lc",
 )
 def _(t):
     return qa.line_coverage(_pairs(t)).select("pair_id", F.col("line_count").cast("long").alias("line_count"), "coverage", F.array_join("misses", "|").alias("misses"))
@@ -113,7 +113,7 @@ tr AS (SELECT pair_id, b, list_filter({q.lines('a')}, lambda y: {_IS_ROW} AND NO
 
 @query(
     "row_coverage",
-    f"""WITH {TPAIRS}, c AS (SELECT pair_id, rows[1:20000] AS rows, {q.space_compact('b')} AS bc FROM tr)
+    f"""WITH {TPAIRS}, c AS (SELECT pair_id, rows, {q.space_compact('b')} AS bc FROM tr)
     SELECT pair_id, len(rows)::BIGINT AS row_count, CASE WHEN len(rows) > 0 THEN len(list_filter(rows, lambda y: contains(bc, {q.space_compact('y')}))) / len(rows) ELSE 1.0::DOUBLE END AS coverage FROM c""",
 )
 def _(t):
@@ -146,7 +146,7 @@ TABLE_LINES = f"""tl0 AS (SELECT doc_id, regexp_split_to_array(text, '{q.LINE_BR
 tl1 AS (SELECT doc_id, unnest(ls) AS raw, (generate_subscripts(ls, 1) - 1) // 10 + 1 AS page_number FROM tl0),
 tl2 AS (SELECT *, {q.clean("regexp_replace(raw, '[ ]+', ' ', 'g')")} AS l FROM tl1),
 tl3 AS (SELECT doc_id, page_number, l, {_SCORE} AS score FROM tl2 WHERE l <> ''),
-tl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_number, l) AS position FROM tl3 WHERE score >= 3 QUALIFY position <= 80)"""
+tl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_number, l) AS position FROM tl3 WHERE score >= 3)"""
 
 
 def _table_lines(t):
@@ -166,10 +166,10 @@ _NONNUM = f"list_filter({q.raw_tokens('l')}, lambda w: NOT regexp_matches(w, '^[
 
 @query(
     "line_queries",
-    f"""WITH {TABLE_LINES}, lq AS (SELECT doc_id, position, array_to_string({_NONNUM}[1:6], ' ') AS qry FROM tl),
-    lf AS (SELECT doc_id, qry, min(position) AS p FROM lq WHERE length(qry) >= 4 GROUP BY 1, 2), lg AS (SELECT doc_id, list(qry ORDER BY p)[1:5] AS qs FROM lf GROUP BY 1),
+    f"""WITH {TABLE_LINES}, lq AS (SELECT doc_id, position, array_to_string({_NONNUM}, ' ') AS qry FROM tl),
+    lf AS (SELECT doc_id, qry, min(position) AS p FROM lq WHERE length(qry) >= 4 GROUP BY 1, 2), lg AS (SELECT doc_id, list(qry ORDER BY p) AS qs FROM lf GROUP BY 1),
     lm AS (SELECT d.doc_id, list_concat(coalesce(qs, []::VARCHAR[]), {q.slist(fv.DEFAULT_LINE_QUERIES)}) AS v FROM documents d LEFT JOIN lg USING (doc_id))
-    SELECT doc_id, array_to_string({q.distinct_ordered('v')}[1:5], '|') AS queries FROM lm""",
+    SELECT doc_id, array_to_string({q.distinct_ordered('v')}, '|') AS queries FROM lm""",
 )
 def _(t):
     rows = _table_lines(t)
@@ -231,7 +231,7 @@ def _(t):
 @query(
     "encoding_findings",
     f"""WITH a AS (SELECT doc_id, regexp_split_to_array(text, '{q.LINE_BREAK}') AS ls FROM documents), b AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_number FROM a)
-    SELECT doc_id, line_number::BIGINT AS line_number, left(line, 160) AS excerpt FROM b WHERE {q.contains_any('line', fv.MOJIBAKE_TOKENS)} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_number) <= 20""",
+    SELECT doc_id, line_number::BIGINT AS line_number, line AS excerpt FROM b WHERE {q.contains_any('line', fv.MOJIBAKE_TOKENS)}""",
 )
 def _(t):
     return qa.encoding_findings(t.documents.select("doc_id", "text")).withColumn("line_number", F.col("line_number").cast("long"))

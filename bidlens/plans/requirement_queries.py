@@ -21,7 +21,7 @@ ex0 AS (SELECT *, {_CK} AS ck,
   list_filter(list_concat([{q.clean('region_text')}], list_concat({q.labels('ck', DEMO.regions, {})}, {region_words('text')})), lambda z: z <> '') AS r0,
   list_concat([{q.clean('license_text')}], {q.labels('ck', DEMO.licenses, DEMO.shadowed)}) AS l0,
   {q.labels('ck', DEMO.companies, DEMO.shadowed)} AS company_types, {q.labels('ck', DEMO.documents, DEMO.shadowed)} AS required_documents,
-  list_transform(list_transform(list_filter({q.filled_lines('text')}, lambda z: {q.contains_any('z', DEMO.requirement_keywords)})[1:16], lambda z: left(z, 260)), lambda z: {q.clean('z')}) AS n0 FROM nt),
+  list_transform(list_transform(list_filter({q.filled_lines('text')}, lambda z: {q.contains_any('z', DEMO.requirement_keywords)}), lambda z: z), lambda z: {q.clean('z')}) AS n0 FROM nt),
 ex AS (SELECT *, {q.distinct_ordered('r0')} AS regions, {q.distinct_ordered('l0')} AS licenses, {q.distinct_ordered('n0')} AS requirement_lines FROM ex0)"""
 _SRC = {k: q.s(v) for k, v in fv.REQUIREMENT_SOURCE_TEXT.items()}
 _PART = "SELECT notice_id, {o} AS o, unnest(range(1, len({c}) + 1)) AS i, '{t}' AS requirement_type, unnest({c}) AS v, NULL AS k, {s} AS src FROM ex"
@@ -32,7 +32,7 @@ cv AS ({' UNION ALL '.join(_PART.format(o=o, c=c, t=t, s=_SRC[t]) for o, (t, c)
   UNION ALL SELECT notice_id, 4, 3, 'money', '기초금액: ' || format('{{:,}}', amount) || '원', 'bssamt', {_SRC['money']} FROM ex WHERE o_orderstatus = 'F'
   UNION ALL SELECT notice_id, 5, 1, 'date', '공고일시: ' || bid_ntce_dt, 'bid_ntce_dt', {_SRC['date']} FROM ex
   UNION ALL SELECT notice_id, 5, 3, 'date', '입찰마감: ' || bid_clse_dt, 'bid_clse_dt', {_SRC['date']} FROM ex
-  UNION ALL SELECT notice_id, 6, unnest(range(1, len(requirement_lines[1:12]) + 1)), 'requirement_line', unnest(requirement_lines[1:12]), NULL, unnest(requirement_lines[1:12]) FROM ex),
+  UNION ALL SELECT notice_id, 6, unnest(range(1, len(requirement_lines) + 1)), 'requirement_line', unnest(requirement_lines), NULL, unnest(requirement_lines) FROM ex),
 cw AS (SELECT *, {q.compact('v')} AS nv FROM cv WHERE v <> ''),
 cand AS (SELECT notice_id, requirement_type, coalesce(k, nv) AS requirement_key, v AS required_value, nv AS normalized_value, src AS source_text, o, i,
   CASE requirement_type {' '.join(f"WHEN '{t}' THEN {c}::DOUBLE" for t, c in fv.REQUIREMENT_CONFIDENCE.items())} END AS confidence,
@@ -164,7 +164,7 @@ def _(t):
 
 @query(
     "notice_summary_text",
-    f"""WITH {NOTICES} SELECT notice_id, {q.clean("array_to_string(['공고명: ' || bid_ntce_nm, '공고번호: ' || bid_ntce_no || '-' || bid_ntce_ord, '공고기관: ' || ntce_instt_nm, '수요기관: ' || dminstt_nm, '공고일시: ' || bid_ntce_dt, '입찰개시: ' || bid_begin_dt, '입찰마감: ' || bid_clse_dt, '개찰일시: ' || openg_dt, '추정가격: ' || format('{:,}', amount) || '원', '기초금액: ' || CASE WHEN o_orderstatus = 'F' THEN format('{:,}', amount) || '원' ELSE '' END, '지역: ' || region_text, '면허/업종 제한: ' || license_text, '', '첨부문서 추출 내용:', '[첨부 1]', left(text, 20000), '', '[첨부 2]', left(region_text, 20000), ''], chr(10))")} AS summary_text FROM nt""",
+    f"""WITH {NOTICES} SELECT notice_id, {q.clean("array_to_string(['공고명: ' || bid_ntce_nm, '공고번호: ' || bid_ntce_no || '-' || bid_ntce_ord, '공고기관: ' || ntce_instt_nm, '수요기관: ' || dminstt_nm, '공고일시: ' || bid_ntce_dt, '입찰개시: ' || bid_begin_dt, '입찰마감: ' || bid_clse_dt, '개찰일시: ' || openg_dt, '추정가격: ' || format('{:,}', amount) || '원', '기초금액: ' || CASE WHEN o_orderstatus = 'F' THEN format('{:,}', amount) || '원' ELSE '' END, '지역: ' || region_text, '면허/업종 제한: ' || license_text, '', '첨부문서 추출 내용:', '[첨부 1]', text, '', '[첨부 2]', region_text, ''], chr(10))")} AS summary_text FROM nt""",
 )
 def _(t):
     return rq.notice_summary_text(t.notices.withColumn("attachment_texts", F.array("text", "region_text")))

@@ -32,8 +32,8 @@ def fields_sql(col: str, table: dict) -> str:
 
 LINES = f"""{SEARCHABLE},
 ln0 AS (SELECT doc_id, chunk_id, chunk_index, chunk_hash, chunk_text, list_transform(list_filter({q.filled_lines('chunk_text')},
-   lambda z: {q.contains_any('z', DEMO.rule_keywords)} OR {q.contains_any('lower(z)', DEMO.rule_keywords)})[1:12], lambda z: left(z, 420)) AS ls FROM good),
-ln1 AS (SELECT *, CASE WHEN len(ls) = 0 AND length(chunk_text) <= 420 THEN [chunk_text] ELSE ls END AS l2 FROM ln0),
+   lambda z: {q.contains_any('z', DEMO.rule_keywords)} OR {q.contains_any('lower(z)', DEMO.rule_keywords)}), lambda z: z) AS ls FROM good),
+ln1 AS (SELECT *, CASE WHEN len(ls) = 0 AND length(chunk_text) > 0 THEN [chunk_text] ELSE ls END AS l2 FROM ln0),
 ln AS (SELECT doc_id, chunk_id, chunk_index, chunk_hash, unnest(l2) AS line, generate_subscripts(l2, 1) - 1 AS pos FROM ln1)"""
 
 TYPES = f"""{LINES},
@@ -61,7 +61,7 @@ cd AS (SELECT doc_id, chunk_id, chunk_index, pos, type_pos, rule_type, line AS c
   FROM ck1 QUALIFY row_number() OVER (PARTITION BY extraction_key ORDER BY chunk_index, pos, type_pos) = 1)"""
 
 RULES = f"""{CANDS},
-rules AS (SELECT cd.*, quality, chunk_id * 100 + pos * 8 + type_pos AS rule_id, pos AS updated_at, '' AS review_note,
+rules AS (SELECT cd.*, quality, chunk_id * 32768 + pos * 16 + type_pos AS rule_id, pos AS updated_at, '' AS review_note,
   CASE WHEN quality IS NULL THEN 'needs_review' WHEN rule_type = 'basis_rule' THEN 'archived'
     WHEN quality = 1 AND rule_type = 'region' THEN 'rejected' WHEN quality = 1 THEN 'approved' ELSE 'needs_review' END AS status
   FROM cd LEFT JOIN labels USING (doc_id))"""

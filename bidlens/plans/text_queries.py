@@ -197,7 +197,7 @@ def mask_sql(x: str) -> str:
 @query(
     "pii_mask",
     f"""WITH a AS (SELECT doc_id, {mask_sql(_MASK_SOURCE_SQL)} AS v FROM documents)
-    SELECT doc_id, CASE WHEN length(v) > {fv.MASK_MAX_CHARS} THEN v[1:{fv.MASK_MAX_CHARS}] || '...[truncated]' ELSE v END AS value FROM a""",
+    SELECT doc_id, v AS value FROM a""",
 )
 def _(t):
     source = F.concat(
