@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidlens.functions import fixed_values as fv
 
@@ -216,9 +218,12 @@ def json_list_merge(existing: Column, incoming: Column) -> Column:
 
 
 def pii_mask(c: Column, max_chars: int | None = None) -> Column:
-    """Mask credentials, resident ids and business ids; with ``max_chars`` (a log line's), cut longer values."""
+    """Mask credentials, resident ids and business ids; with ``max_chars`` (a log line's), cut longer values.
+
+    A value with a query part is first taken as a URL, whose sensitive keys lose their values.
+    """
     head, tail = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i){head}(Bearer|Basic){WS}+[A-Za-z0-9._~+/=-]+", "$1 " + fv.REDACTED)
+    text = F.regexp_replace(url_redact(c), rf"(?i){head}(Bearer|Basic){WS}+[A-Za-z0-9._~+/=-]+", "$1 " + fv.REDACTED)
     text = F.regexp_replace(text, rf"{head}[0-9]{{6}}-[0-9]{{7}}{tail}", fv.REDACTED_RRN)
     text = F.regexp_replace(text, rf"{head}([0-9]{{3}})-?[0-9]{{2}}-?[0-9]{{5}}{tail}", r"$1-**-*****")
     if max_chars is None:
@@ -256,11 +261,26 @@ def url_redact(c: Column) -> Column:
     ).otherwise(url)
 
 
-def sensitive_keys_mask(c: Column) -> Column:
-    """Mask a map's values: sensitive keys whole, other values by pattern."""
-    return F.transform_values(
-        c, lambda k, v: F.when(is_sensitive_key(k), F.lit(fv.REDACTED)).otherwise(pii_mask(url_redact(v)))
-    )
+def sensitive_keys_mask(c: Column, kind: T.DataType | None = None) -> Column:
+    """Mask values of a map (of strings, or of type ``kind``): sensitive keys whole, other strings by pattern.
+
+    Maps, arrays and structs inside are masked alike; under a sensitive key every string is hidden.
+    """
+    return _masked(c, kind or T.MapType(T.StringType(), T.StringType()), F.lit(False))
+
+
+def _masked(c: Column, kind: T.DataType, hidden: Column) -> Column:
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNull(), c).when(hidden, F.lit(fv.REDACTED)).otherwise(pii_mask(c))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: _masked(v, kind.valueType, hidden | is_sensitive_key(k)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: _masked(v, kind.elementType, hidden))
+    if isinstance(kind, T.StructType):
+        secret = re.compile(fv.SENSITIVE_KEY)
+        fields = [_masked(c[f.name], f.dataType, F.lit(True) if secret.search(f.name) else hidden).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return c
 
 
 def content_hash(c: Column) -> Column:

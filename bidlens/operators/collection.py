@@ -39,7 +39,8 @@ def search_page(items: DataFrame, page: int = 1, page_size: int = 20) -> DataFra
 
 
 def search_totals(items: DataFrame, totals: DataFrame, page: int = 1, page_size: int = 20) -> DataFrame:
-    """One row: total (sum of what the sources say), failing sources, and whether another page follows.
+    """One row: total (sum of what the sources say), failing sources, and whether another page follows,
+    here or because a source has more than it delivered.
 
     ``totals``: source_rank, total_count, error.
     """
@@ -49,9 +50,12 @@ def search_totals(items: DataFrame, totals: DataFrame, page: int = 1, page_size:
         F.coalesce(F.sum(F.when(good, F.col("total_count"))), F.lit(0)).alias("total_count"), F.count_if(~good).alias("failed_sources"),
         F.count_if(good).alias("answered_sources"),
     )
+    delivered = items.groupBy("source_rank").agg(F.count("*").alias("n"))
+    unread = totals.join(delivered, "source_rank", "left").filter(good & (F.col("total_count") > F.coalesce("n", F.lit(0))))
     found = first_by_source(items).agg(F.count("*").alias("n"))
-    return told.withColumn("distinct_items", found.select("n").scalar()).select(
-        "total_count", "failed_sources", "distinct_items", (F.col("distinct_items") > page * size).alias("has_next_page"),
+    told = told.withColumns({"distinct_items": found.select("n").scalar(), "unread_sources": unread.agg(F.count("*").alias("u")).select("u").scalar()})
+    return told.select(
+        "total_count", "failed_sources", "distinct_items", ((F.col("distinct_items") > page * size) | (F.col("unread_sources") > 0)).alias("has_next_page"),
         F.when(F.col("answered_sources") == 0, "failed").when(F.col("failed_sources") > 0, "partial_failed").otherwise("00").alias("result_code"),
     )
 

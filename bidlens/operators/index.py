@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from bidlens.functions import text as tx
 
 
+def token_counts(text: Column) -> Column:
+    """array<struct<token, tf>> of a passage: equal tokens are neighbours once sorted, so all stays in the row."""
+    def counted(tokens: Column) -> Column:
+        starts = F.array_compact(F.transform(tokens, lambda x, i: F.when((i == 0) | (F.get(tokens, i - 1) != x), i)))
+        return tx.let(starts, lambda at: F.zip_with(
+            at, F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(tokens))),
+            lambda i, end: F.struct(F.get(tokens, i).alias("token"), (end - i).cast("long").alias("tf")),
+        ))
+
+    return F.filter(tx.let(F.array_sort(tx.tokenize(text)), counted), lambda r: r["token"].isNotNull())
+
+
 def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, token, tf).  Rows of a passage leave one task, so partial counts are final per task."""
-    return chunks.select("chunk_id", F.explode(tx.raw_tokens(F.col("chunk_text"))).alias("token")).groupBy(
-        "chunk_id", F.lower("token").alias("token")
-    ).agg(F.count("*").alias("tf"))
+    """(chunk_id, token, tf), counted in the row that owns the passage: no shuffle."""
+    return chunks.select("chunk_id", F.explode(token_counts(F.col("chunk_text"))).alias("r")).select("chunk_id", "r.token", "r.tf")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -26,32 +36,27 @@ def vector_id(chunks: DataFrame | None = None) -> Column:
 
 
 def build(chunks: DataFrame) -> DataFrame:
-    """Index items with their token map.
-
-    Passages are spread by chunk id once; counting by (chunk, token) and folding into a map
-    by chunk both keep that layout, so the exploded tokens never travel.
-    """
-    spread = chunks.repartition("chunk_id")
-    tf = term_frequencies(spread)
-    maps = tf.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("tokens"))
-    items = spread.select(
+    """Index items with their token map; a passage never leaves its row."""
+    return chunks.select(
         "doc_id", "chunk_id", "chunk_index", "chunk_hash", vector_id().alias("vector_id"),
         F.substring("chunk_text", 1, 400).alias("text_preview"), "section_title", "char_start", "char_end",
-    )
-    return items.join(maps, "chunk_id", "left").withColumn(
-        "tokens", F.coalesce("tokens", F.create_map().cast("map<string,bigint>"))
+        F.map_from_entries(token_counts(F.col("chunk_text"))).alias("tokens"),
     )
 
 
-def searchable(chunks: DataFrame, documents: DataFrame, category: str = "", version: str = "") -> DataFrame:
-    """Passages that may be searched: completed documents, indexed passages, optional category / version."""
-    docs = documents.filter((F.col("processing_status") == "completed") & (F.col("index_status") == "completed"))
+def searchable(chunks: DataFrame, category: str = "", version: str = "") -> DataFrame:
+    """Passages that may be searched: completed documents, indexed passages, optional category / version.
+
+    ``chunks`` carry their document's category, document_version, processing_status and index_status, so nothing is
+    joined and the filters on documents sink below the cutting.
+    """
+    good = chunks.filter((F.col("processing_status") == "completed") & (F.col("index_status") == "completed"))
     if category:
-        docs = docs.filter(F.col("category") == category)
+        good = good.filter(F.col("category") == category)
     if version:
-        docs = docs.filter(F.col("document_version") == version)
-    good = chunks.filter((F.col("vector_status") == "indexed") & (F.col("vector_id") != ""))
-    return good.join(docs.select("doc_id", "category", "document_version"), "doc_id")
+        good = good.filter(F.col("document_version") == version)
+    good = good.filter((F.col("vector_status") == "indexed") & (F.col("vector_id") != ""))
+    return good.drop("processing_status", "index_status", "quality")
 
 
 def differences(table: DataFrame, index: DataFrame) -> DataFrame:

@@ -45,6 +45,12 @@ class Tables:
             self.__dict__[name] = materialize(getattr(self, name))
         return self
 
+    def freeze_passages(self) -> "Tables":
+        """Write the passages once, with and without their document's columns read from there."""
+        self.freeze("labelled_chunks")
+        self.__dict__["chunks"] = self.labelled_chunks.drop("category", "document_version", "processing_status", "index_status", "quality")
+        return self
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_NAMES:
             frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -72,10 +78,19 @@ class Tables:
     @cached_property
     def chunks(self) -> DataFrame:
         """Passages of the normalised documents (no blank lines in the data, so windows alone)."""
+        return self._passages(self.normalized_documents.select("doc_id", "text"))
+
+    @cached_property
+    def labelled_chunks(self) -> DataFrame:
+        """Passages that carry their document's columns through the cutting."""
+        return self._passages(self.basis_documents.withColumn("text", tx.basis_normalize(F.col("text"))))
+
+    @staticmethod
+    def _passages(documents: DataFrame) -> DataFrame:
         from bidlens.operators import chunks as ch
         from bidlens.operators import index as ix
 
-        out = ch.describe(ch.long_windows(self.normalized_documents.select("doc_id", "text")))
+        out = ch.describe(ch.long_windows(documents))
         out = out.withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("chunk_index"))
         return out.withColumns({"vector_id": ix.vector_id(), "vector_status": F.lit("indexed")})
 
@@ -83,7 +98,7 @@ class Tables:
     def searchable_chunks(self) -> DataFrame:
         from bidlens.operators import index as ix
 
-        return ix.searchable(self.chunks, self.basis_documents)
+        return ix.searchable(self.labelled_chunks)
 
     @cached_property
     def benchmark_queries(self) -> DataFrame:
@@ -107,8 +122,7 @@ class Tables:
     def index_items(self) -> DataFrame:
         """An index that has drifted: low-quality documents are gone, German hashes are old, Spanish token maps lost."""
         lang = F.col("category")
-        rows = self.chunks.join(self.basis_documents.select("doc_id", "category", "quality"), "doc_id")
-        return rows.filter(F.coalesce("quality", F.lit(1)) == 1).select(
+        return self.labelled_chunks.filter(F.coalesce("quality", F.lit(1)) == 1).select(
             "vector_id", "doc_id", "chunk_id",
             F.when(lang == "de", F.concat(F.lit("old-"), "chunk_hash")).otherwise(F.col("chunk_hash")).alias("chunk_hash"),
             (lang != "es").alias("tokens_ok"),
@@ -281,7 +295,7 @@ class Tables:
         joined = F.concat_ws(
             " ", "condition_text", "target_scope", F.array_join("required_evidence_types", " "), F.array_join("related_profile_fields", " ")
         )
-        self.freeze("chunks", "rules", "trade_requirements", "trade_profile")
+        self.freeze_passages().freeze("rules", "trade_requirements", "trade_profile")
         healthy = se.healthy_rules(self.rules, self.searchable_chunks, self.index_items).withColumn("rule_text", joined)
         postings = ix.postings(self.searchable_chunks.select("doc_id", "chunk_id", "chunk_index", "chunk_text"))
         items, cited = ju.judgment_items(self.compared, healthy, postings)

@@ -188,7 +188,7 @@ def _(t):
     f"WITH {SEARCHABLE} SELECT vector_id, doc_id, chunk_id, chunk_index, category, document_version FROM good WHERE category = 'en'",
 )
 def _(t):
-    rows = ix.searchable(t.chunks, t.basis_documents, category="en")
+    rows = ix.searchable(t.labelled_chunks, category="en")
     return rows.select("vector_id", "doc_id", "chunk_id", "chunk_index", "category", "document_version")
 
 
@@ -285,7 +285,7 @@ def _(t):
 
 
 def search_results(t, k=5, category=""):
-    rows = ix.searchable(t.chunks, t.basis_documents, category=category)
+    rows = ix.searchable(t.labelled_chunks, category=category)
     return se.topk(t.benchmark_queries, ix.postings(rows.select("doc_id", "chunk_id", "chunk_index", "chunk_text")), k)
 
 

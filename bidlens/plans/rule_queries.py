@@ -147,7 +147,7 @@ rec AS (SELECT rule_id, doc_id, rule_type, CASE WHEN action IN ('revalidate_cita
 
 
 def _reconciled(t):
-    t.freeze("chunks")
+    t.freeze_passages()
     ready = ru.ready_documents(t.basis_documents, t.chunks)
     return ru.reconcile(ru.candidates(t.rule_passages, DEMO), t.stored_rules, ready)
 
@@ -298,7 +298,7 @@ apk AS (SELECT * FROM ap WHERE rank <= 3)"""
 
 
 def approved(t):
-    t.freeze("chunks")
+    t.freeze_passages()
     healthy = se.healthy_rules(t.rules, t.searchable_chunks, t.index_items)
     return se.approved_topk(requirement_texts(t), rule_texts(healthy), 3)
 
