@@ -1,16 +1,21 @@
 """Facts that must hold on tiny frames."""
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidlens.functions import text as tx
-from bidlens.functions.dictionaries import KOREAN
+from bidlens.functions.dictionaries import DEMO, KOREAN
 from bidlens.operators import chunks as ch
 from bidlens.operators import collection as co
+from bidlens.operators import index as ix
 from bidlens.operators import judgment as ju
 from bidlens.operators import matching as ma
+from bidlens.operators import quality as qa
 from bidlens.operators import requirements as rq
 from bidlens.operators import rules as ru
 from bidlens.operators import search as se
+from bidlens.operators.containment import text_pairs
 
 
 def one(spark, column, **values):
@@ -134,3 +139,70 @@ def test_suggestions_never_invent_a_match(spark):
     frame = spark.createDataFrame(rows, ["rule", "sug", "sure", "value", "cited", "want"])
     final, _source = ju.merged_status(*[F.col(c) for c in ("rule", "sug", "sure", "value", "cited")])
     assert all(r.final == r.want for r in frame.select("want", final.alias("final")).collect())
+
+
+# ---- nothing is cut -------------------------------------------------------------------------------------------
+def test_all_rule_lines_of_a_passage(spark):
+    text = "\n".join(f"license thing number {i} " + "x" * 500 for i in range(13))
+    chunks = spark.createDataFrame([(1, text)], "chunk_id long, chunk_text string")
+    rows = ru.source_lines(chunks, DEMO).collect()
+    assert [r.pos for r in rows] == list(range(13)) and all(len(r.line) > 500 for r in rows)
+    plain = spark.createDataFrame([(1, "nothing here " * 100)], "chunk_id long, chunk_text string")
+    assert ru.source_lines(plain, DEMO).count() == 1
+
+
+def test_all_requirement_lines_and_findings(spark):
+    text = "\n".join(f"attion {i} " + "y" * 300 for i in range(20))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(frame.select(rq.requirement_lines(F.col("text"), DEMO).alias("l")).first().l) == 20
+    broken = spark.createDataFrame([(1, "\n".join(["\ufffd " + "z" * 200] * 21))], "doc_id long, text string")
+    found = qa.encoding_findings(broken, ("\ufffd",)).collect()
+    assert len(found) == 21 and all(len(r.excerpt) == 202 for r in found)
+
+
+def test_all_table_like_lines(spark):
+    text = "\n".join(f"attion nicht {i:04d} | {i} | eauou" for i in range(81))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = frame.select(qa.table_like_lines(F.col("text"), lambda i: F.floor(i / 10) + 1, DEMO).alias("r")).first().r
+    assert len(rows) == 81
+
+
+def test_short_needles_are_found(spark):
+    needles = spark.createDataFrame([(1, "b c"), (2, "beta gamma delta eps"), (3, "q"), (4, "zz zz"), (5, "")], "needle_id long, needle string")
+    hays = spark.createDataFrame([(1, "a b c d"), (2, "alpha beta gamma delta epsilon"), (3, "qqq")], "hay_id long, hay string")
+    assert {(r.needle_id, r.hay_id) for r in text_pairs(needles, hays).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_a_larger_k_or_page_is_an_error():
+    for call in (lambda: se.checked_k(21), lambda: se.checked_k(0), lambda: co.checked_page(1, 101), lambda: co.checked_page(0, 10)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_every_notice_is_sorted(spark):
+    rows = spark.range(501).selectExpr("id AS notice_id", "date_format(date_add(date'2024-01-01', int(id)), 'yyyy-MM-dd HH:mm') AS bid_ntce_dt", "'' AS bid_clse_dt", "'' AS presmpt_prce", "'' AS bdgt_amt", "'' AS bssamt")
+    assert [r.notice_id for r in co.multi_sort(rows, [("posted", "desc")]).collect()] == list(range(500, -1, -1))
+
+
+# ---- masking --------------------------------------------------------------------------------------------------
+def test_masking_reaches_inside(spark):
+    frame = spark.sql("""SELECT map('user', map('name', array('call 900101-1234567'), 'api_key', array('k')), 'token', map('x', array('secret'))) AS m,
+      'https://h/p?access_token=abc&x=1' AS url""")
+    kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
+    got = frame.select(tx.sensitive_keys_mask(F.col("m"), kind).alias("m"), tx.pii_mask(F.col("url")).alias("u")).first()
+    assert got.m == {"user": {"name": ["call [REDACTED_RRN]"], "api_key": ["[REDACTED]"]}, "token": {"x": ["[REDACTED]"]}}
+    assert "abc" not in got.u and "x=1" in got.u
+
+
+def test_unread_rows_of_a_source_make_a_next_page(spark):
+    items = spark.createDataFrame([("1", "000", 0, 1, "2024")], "no string, ord string, source_rank int, arrival int, date_text string")
+    for told, want in ((1, False), (5, True)):
+        totals = spark.createDataFrame([(0, told, "")], "source_rank int, total_count long, error string")
+        assert co.search_totals(items, totals, 1, 10).first().has_next_page is want
+
+
+def test_token_counts_stay_in_the_row(spark):
+    frame = spark.createDataFrame([(1, "bb aa BB cc aa aa"), (2, ""), (3, None)], "chunk_id long, chunk_text string")
+    got = sorted(map(tuple, ix.term_frequencies(frame).collect()))
+    assert got == [(1, "aa", 3), (1, "bb", 2), (1, "cc", 1)]
+    assert "Exchange" not in ix.term_frequencies(frame)._jdf.queryExecution().executedPlan().toString()
