@@ -56,6 +56,17 @@ def topk(queries: DataFrame, postings: DataFrame, k: int = 5, salts: int = 1) ->
     )
 
 
+def gated(hits: DataFrame, check: DataFrame) -> DataFrame:
+    """Search results of an index whose check (``index.validate``) allows search; none of any other."""
+    return hits.filter(check.select("can_search").scalar())
+
+
+def refusal(check: DataFrame) -> DataFrame:
+    """One row: the check's status, whether search is allowed, and why it is not."""
+    found = [F.when(F.col(c) > 0, F.concat(F.lit(c + ": "), F.col(c).cast("string"))) for c in ("missing_from_index", "missing_from_table", "mismatched", "invalid_items")]
+    return check.select("status", "can_search", F.concat_ws("; ", *found).alias("reason"))
+
+
 def citation_id(doc: Column, chunk: Column) -> Column:
     return F.concat(F.lit("basis:"), doc.cast("string"), F.lit(":chunk:"), chunk.cast("string"))
 

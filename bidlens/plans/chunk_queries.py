@@ -294,6 +294,28 @@ def _(t):
     return search_results(t).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "search_gate",
+    f"""WITH {_DRIFT}, n AS (SELECT
+      (SELECT count(*) FROM good WHERE vector_id NOT IN (SELECT vector_id FROM idx)) AS a, (SELECT count(*) FROM idx WHERE vector_id NOT IN (SELECT vector_id FROM good)) AS b,
+      (SELECT count(*) FROM idx i JOIN good g USING (vector_id) WHERE i.tokens_ok AND i.chunk_hash <> g.chunk_hash) AS c, (SELECT count(*) FROM idx WHERE NOT tokens_ok) AS d),
+    top AS ({topk_sql(5).replace(SEARCHABLE + ",", "WITH ", 1)} SELECT * FROM top)
+    SELECT 'drifted' AS index_name, 'inconsistent' AS status, false AS can_search, concat_ws('; ', CASE WHEN a > 0 THEN 'missing_from_index: ' || a END, CASE WHEN b > 0 THEN 'missing_from_table: ' || b END,
+      CASE WHEN c > 0 THEN 'mismatched: ' || c END, CASE WHEN d > 0 THEN 'invalid_items: ' || d END) AS reason, 0::BIGINT AS results FROM n
+    UNION ALL SELECT 'own', 'ok', true, '', count(*) FROM top""",
+)
+def _(t):
+    """Results of the drifted index, and of the index of the passages themselves, as far as each may be searched."""
+    table, out = t.searchable_chunks, None
+    own = table.select("vector_id", "doc_id", "chunk_id", "chunk_hash", F.lit(True).alias("tokens_ok"))
+    for name, index in (("drifted", t.index_items), ("own", own)):
+        check = ix.validate(table, index)
+        results = se.gated(search_results(t), check).agg(F.count("*").alias("n")).select("n").scalar()
+        row = se.refusal(check).select(F.lit(name).alias("index_name"), "status", "can_search", "reason", results.alias("results"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _FILTER = "category = 'en'"
 
 
