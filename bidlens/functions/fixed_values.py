@@ -211,6 +211,8 @@ PRIORITY_GROUPS = [
     ("지역 조건", "region", []),
 ]
 PRIORITY_GROUP_OTHER = "기타 확인 항목"
+RISK_REVIEW = "사람 확인 필요 항목은 자동 비교만으로 결론을 내리지 말고 원문과 증빙을 다시 확인하세요."
+RISK_COVERAGE = "기준문서 근거가 부족한 항목은 검토 완료 전 근거 원문 확인이 필요합니다."
 HEADLINES = {"missing": "준비 필요", "review": "사람 확인 필요", "ready": "대체로 준비됨", "other": "검토 필요"}
 ACTION_REVIEW_WORDS = ["자동", "수동", "검토", "판단", "사람", "금액", "일정"]
 ACTION_MISSING_WORDS = ["준비", "부족", "필요", "증빙", "서류"]

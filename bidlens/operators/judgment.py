@@ -147,6 +147,31 @@ def merge_suggestions(items: DataFrame, suggestions: DataFrame) -> DataFrame:
     return rows.withColumns({"final_status": final, "status_source": source, "suggestion_confidence": sure}).drop("confidence")
 
 
+def finished(items: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """Items after the suggestions: ``match_status`` is the final one, action and reason follow it.
+
+    Summary, guide, groups and links are built from these.  The rule's own state stays in ``deterministic_status``.
+    """
+    rows = merge_suggestions(items, suggestions).withColumnRenamed("match_status", "deterministic_status").withColumnRenamed("final_status", "match_status")
+    led = F.col("status_source").isin("gemini_assisted", "gemini_weighted")
+    return rows.withColumns({
+        "recommended_action": action_text(
+            F.col("match_status"), F.col("required_value"), F.col("label"), F.col("required_evidence_types"), F.col("review_evidence_ready")
+        ),
+        "gap_reason": F.when(led, F.coalesce("suggested_reason", F.lit(""))).otherwise(F.lit("")),
+    })
+
+
+def risk_notes(summary: DataFrame) -> DataFrame:
+    """(run, position, note) of a judgment summary."""
+    review = F.col("needs_review_count") + F.col("uncertain_count") > 0
+    notes = F.array_compact(F.array(
+        F.when(review, F.struct(F.lit(1).alias("position"), F.lit(fv.RISK_REVIEW).alias("note"))),
+        F.when((F.col("requirement_count") > 0) & (F.col("citation_coverage") < 1), F.struct(F.lit(2).alias("position"), F.lit(fv.RISK_COVERAGE).alias("note"))),
+    ))
+    return summary.select(*RUN, F.explode(notes).alias("n")).select(*RUN, "n.position", "n.note")
+
+
 def preparation_guide(items: DataFrame) -> DataFrame:
     """Rows (run, kind, position, value): documents, actions and notes of a run, the first of each key.
 
@@ -180,12 +205,15 @@ def priority_group(type_: Column, text: Column, groups=None) -> Column:
 
 
 def priority_groups(items: DataFrame, status: str = "match_status", unmet=tuple(UNMET), groups=None) -> DataFrame:
-    """Unmet items by kind of work: count, first item, and order of appearance."""
+    """Unmet items by kind of work: count, first item with its documents, reason and next step, ids in order."""
     text = F.concat_ws(" ", "label", "required_value", "source_text")
     rows = items.filter(F.col(status).isin(*unmet)).withColumn("priority_group", priority_group(F.col("requirement_type"), text, groups))
     first = rows.groupBy(*RUN, "priority_group").agg(
-        F.count("*").alias("item_count"), F.min("item_pos").alias("first_pos"), F.min_by("requirement_id", "item_pos").alias("first_requirement")
-    )
+        F.count("*").alias("item_count"), F.min("item_pos").alias("first_pos"), F.min_by("requirement_id", "item_pos").alias("first_requirement"),
+        F.min_by("recommended_action", "item_pos").alias("next_step"), F.min_by("gap_reason", "item_pos").alias("reason"),
+        F.min_by("required_evidence_types", "item_pos").alias("documents"),
+        F.transform(F.array_sort(F.collect_list(F.struct("item_pos", "requirement_id"))), lambda x: x["requirement_id"]).alias("related_ids"),  # of one run
+    ).withColumn("next_step", tx.display_copy(F.col("next_step")))
     order = F.row_number().over(W.partitionBy(*RUN).orderBy("first_pos"))
     return first.withColumn("position", order)
 

@@ -210,6 +210,11 @@ def _(t):
 _E = fv.FALLBACK_EVIDENCE
 _DOC = q.labels(q.compact("required_value"), TRADE.documents, {})
 _ECO = q.labels(q.compact("required_value"), TRADE.companies, {})
+_ACTION = f"""CASE WHEN match_status = 'matched' AND ready THEN '보유 정보와 일치하는 후보가 있습니다. 기준문서 근거와 원문을 검토해 확인하세요.'
+  WHEN match_status = 'matched' THEN '보유 정보는 일치하지만 기준문서 근거 후보가 부족합니다. 원문 근거를 추가 확인하세요.'
+  WHEN match_status = 'missing' AND len(evidence) > 0 THEN required_value || ' 조건을 충족할 증빙(' || array_to_string(evidence, ', ') || ')을 준비하거나 법인 프로필을 보완하세요.'
+  WHEN match_status = 'missing' THEN required_value || ' 조건을 충족하는 법인 정보 또는 증빙을 확인하세요.'
+  WHEN match_status = 'needs_review' THEN required_value || ' 항목은 자동 비교만으로 결론을 내리기 어렵습니다. 공고 원문과 기준문서 후보를 함께 검토하세요.' ELSE '검토가 필요한 항목입니다.' END"""
 JUDGE = f"""{RULES},
 {COMPARE},
 idx AS (SELECT c.vector_id, c.doc_id, c.chunk_id, CASE WHEN d.category = 'de' THEN 'old-' || c.chunk_hash ELSE c.chunk_hash END AS chunk_hash
@@ -241,11 +246,7 @@ cit AS (SELECT *, row_number() OVER (PARTITION BY requirement_key ORDER BY src,
 cs AS (SELECT requirement_key, count(*) AS n, count(*) FILTER (score >= 0.25) AS r FROM cit GROUP BY 1),
 item0 AS (SELECT ji.*, coalesce(n, 0) AS citation_count, coalesce(r, 0) AS ready_count, coalesce(r, 0) > 0 AS ready,
   CASE WHEN coalesce(r, 0) > 0 THEN 'candidate_found' WHEN coalesce(n, 0) > 0 THEN 'weak_candidate' ELSE 'missing' END AS citation_status FROM ji LEFT JOIN cs USING (requirement_key)),
-item AS (SELECT *, CASE WHEN match_status = 'matched' AND ready THEN '보유 정보와 일치하는 후보가 있습니다. 기준문서 근거와 원문을 검토해 확인하세요.'
-  WHEN match_status = 'matched' THEN '보유 정보는 일치하지만 기준문서 근거 후보가 부족합니다. 원문 근거를 추가 확인하세요.'
-  WHEN match_status = 'missing' AND len(evidence) > 0 THEN required_value || ' 조건을 충족할 증빙(' || array_to_string(evidence, ', ') || ')을 준비하거나 법인 프로필을 보완하세요.'
-  WHEN match_status = 'missing' THEN required_value || ' 조건을 충족하는 법인 정보 또는 증빙을 확인하세요.'
-  ELSE required_value || ' 항목은 자동 비교만으로 결론을 내리기 어렵습니다. 공고 원문과 기준문서 후보를 함께 검토하세요.' END AS recommended_action FROM item0)"""
+item AS (SELECT *, {_ACTION} AS recommended_action FROM item0)"""
 
 
 @query(
@@ -260,14 +261,44 @@ def _(t):
     )
 
 
+SUGGEST = f"""sg0 AS (SELECT CASE WHEN requirement_type = 'money' THEN 'x' || requirement_id ELSE requirement_id END AS requirement_id,
+  CASE length(required_value) WHEN 5 THEN 'missing' WHEN 6 THEN 'matched' WHEN 7 THEN 'needs_review' WHEN 8 THEN 'uncertain' ELSE 'certain' END AS suggested_status,
+  notice_id % 140 / 100.0::DOUBLE - 0.2::DOUBLE AS c, 'see 근거 ' || required_value AS suggested_reason FROM tr WHERE requirement_type <> 'region'),
+sg AS (SELECT requirement_id, suggested_status, least(greatest(c, 0.0::DOUBLE), 1.0::DOUBLE) AS confidence, suggested_reason FROM sg0
+  WHERE suggested_status <> 'certain' AND requirement_id IN (SELECT requirement_id FROM tr))"""
+FINAL = f"""{JUDGE}, {SUGGEST},
+fj AS (SELECT item.*, match_status AS d, suggested_status AS a, coalesce(sg.confidence, 0.0::DOUBLE) AS c, suggested_reason,
+  match_status = 'matched' OR (matched_value <> '' AND ready) AS loc FROM item LEFT JOIN sg ON sg.requirement_id = item.requirement_id),
+fr AS (SELECT *, CASE WHEN a IS NULL THEN [d, 'fallback'] WHEN c >= 0.7 AND a = 'matched' AND NOT loc THEN ['needs_review', 'gemini_assisted'] WHEN c >= 0.7 THEN [a, 'gemini_weighted']
+  WHEN c < 0.5 THEN [d, 'deterministic'] WHEN d = 'matched' AND a <> 'matched' THEN ['needs_review', 'gemini_assisted'] WHEN d = 'matched' THEN ['matched', 'gemini_assisted']
+  WHEN a = 'matched' THEN [d, 'deterministic'] WHEN a IN ('needs_review', 'uncertain') THEN ['needs_review', 'gemini_assisted']
+  WHEN d IN ('needs_review', 'uncertain') AND a = 'missing' THEN ['missing', 'gemini_assisted'] ELSE [d, 'deterministic'] END AS r FROM fj),
+fs AS (SELECT * EXCLUDE (match_status, recommended_action), r[1] AS match_status, r[2] AS status_source, c AS suggestion_confidence,
+  CASE WHEN r[2] LIKE 'gemini%' THEN coalesce(suggested_reason, '') ELSE '' END AS gap_reason FROM fr),
+fin AS (SELECT *, {_ACTION} AS recommended_action FROM fs)"""
+
+
+def _final(t):
+    return ju.finished(t.judged[0], ju.sanitize_suggestions(_suggestions(t), t.trade_requirements))
+
+
 _JS = ", ".join(f"count(*) FILTER (match_status = '{s}') AS {s}_count" for s in fv.JUDGMENT_STATUSES)
-SUMMARY = f"""{JUDGE},
-summ AS (SELECT notice_id, company_id, count(*) AS requirement_count, {_JS}, count(*) FILTER (ready) / count(*) AS citation_coverage FROM item GROUP BY 1, 2)"""
+SUMMARY = f"""{FINAL},
+summ AS (SELECT notice_id, company_id, count(*) AS requirement_count, {_JS}, count(*) FILTER (ready) / count(*) AS citation_coverage FROM fin GROUP BY 1, 2)"""
 
 
 @query("judgment_summary", f"WITH {SUMMARY} SELECT * FROM summ")
 def _(t):
-    return ju.judgment_summary(t.judged[0])
+    return ju.judgment_summary(_final(t))
+
+
+@query(
+    "risk_notes",
+    f"""WITH {SUMMARY} SELECT notice_id, company_id, 1 AS position, {q.s(fv.RISK_REVIEW)} AS note FROM summ WHERE needs_review_count + uncertain_count > 0
+    UNION ALL SELECT notice_id, company_id, 2, {q.s(fv.RISK_COVERAGE)} FROM summ WHERE requirement_count > 0 AND citation_coverage < 1""",
+)
+def _(t):
+    return ju.risk_notes(ju.judgment_summary(_final(t)))
 
 
 def _suggestions(t):
@@ -284,13 +315,6 @@ def _suggestions(t):
     )
 
 
-SUGGEST = f"""sg0 AS (SELECT CASE WHEN requirement_type = 'money' THEN 'x' || requirement_id ELSE requirement_id END AS requirement_id,
-  CASE length(required_value) WHEN 5 THEN 'missing' WHEN 6 THEN 'matched' WHEN 7 THEN 'needs_review' WHEN 8 THEN 'uncertain' ELSE 'certain' END AS suggested_status,
-  notice_id % 140 / 100.0::DOUBLE - 0.2::DOUBLE AS c, 'see 근거 ' || required_value AS suggested_reason FROM tr WHERE requirement_type <> 'region'),
-sg AS (SELECT requirement_id, suggested_status, least(greatest(c, 0.0::DOUBLE), 1.0::DOUBLE) AS confidence, suggested_reason FROM sg0
-  WHERE suggested_status <> 'certain' AND requirement_id IN (SELECT requirement_id FROM tr))"""
-
-
 @query("suggestion_sanitize", f"WITH {REQS}, {SUGGEST} SELECT * FROM sg")
 def _(t):
     return ju.sanitize_suggestions(_suggestions(t), t.trade_requirements)
@@ -298,31 +322,25 @@ def _(t):
 
 @query(
     "suggestion_merge",
-    f"""WITH {JUDGE}, {SUGGEST}, j AS (SELECT item.requirement_id, company_id, match_status AS d, suggested_status AS a, coalesce(sg.confidence, 0.0::DOUBLE) AS c,
-      match_status = 'matched' OR (matched_value <> '' AND ready) AS loc FROM item LEFT JOIN sg ON sg.requirement_id = item.requirement_id),
-    f AS (SELECT *, CASE WHEN a IS NULL THEN [d, 'fallback'] WHEN c >= 0.7 AND a = 'matched' AND NOT loc THEN ['needs_review', 'gemini_assisted'] WHEN c >= 0.7 THEN [a, 'gemini_weighted']
-      WHEN c < 0.5 THEN [d, 'deterministic'] WHEN d = 'matched' AND a <> 'matched' THEN ['needs_review', 'gemini_assisted'] WHEN d = 'matched' THEN ['matched', 'gemini_assisted']
-      WHEN a = 'matched' THEN [d, 'deterministic'] WHEN a IN ('needs_review', 'uncertain') THEN ['needs_review', 'gemini_assisted']
-      WHEN d IN ('needs_review', 'uncertain') AND a = 'missing' THEN ['missing', 'gemini_assisted'] ELSE [d, 'deterministic'] END AS r FROM j)
-    SELECT requirement_id, company_id, r[1] AS final_status, r[2] AS status_source, c AS suggestion_confidence FROM f""",
+    f"WITH {FINAL} SELECT requirement_id, company_id, match_status AS final_status, status_source, suggestion_confidence, gap_reason, recommended_action FROM fin",
 )
 def _(t):
-    items, _cited = t.judged
-    clean = ju.sanitize_suggestions(_suggestions(t), t.trade_requirements)
-    return ju.merge_suggestions(items, clean).select("requirement_id", "company_id", "final_status", "status_source", "suggestion_confidence")
+    return _final(t).select(
+        "requirement_id", "company_id", F.col("match_status").alias("final_status"), "status_source", "suggestion_confidence", "gap_reason", "recommended_action"
+    )
 
 
 @query(
     "preparation_guide",
-    f"""WITH {JUDGE}, un AS (SELECT * FROM item WHERE match_status IN ('missing', 'needs_review', 'uncertain')),
+    f"""WITH {FINAL}, un AS (SELECT * FROM fin WHERE match_status IN ('missing', 'needs_review', 'uncertain')),
     g AS (SELECT notice_id, company_id, item_pos, unnest(range(len(evidence))) AS sub_pos, 'document' AS kind, unnest(evidence) AS value, NULL AS note FROM un
       UNION ALL SELECT notice_id, company_id, item_pos, 0, 'action', replace(recommended_action, 'citation', '근거'), NULL FROM un
-      UNION ALL SELECT notice_id, company_id, item_pos, 0, 'note', label || ' / ' || required_value || CASE citation_status WHEN 'missing' THEN ': 기준문서 근거 후보가 없습니다.' ELSE ': 기준문서 근거 후보 점수가 낮아 원문 검토가 필요합니다.' END, NULL FROM item WHERE citation_status <> 'candidate_found'),
+      UNION ALL SELECT notice_id, company_id, item_pos, 0, 'note', label || ' / ' || required_value || CASE citation_status WHEN 'missing' THEN ': 기준문서 근거 후보가 없습니다.' ELSE ': 기준문서 근거 후보 점수가 낮아 원문 검토가 필요합니다.' END, NULL FROM fin WHERE citation_status <> 'candidate_found'),
     u AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY notice_id, company_id, kind, CASE WHEN kind = 'document' THEN {q.compact('value')} ELSE value END ORDER BY item_pos, sub_pos, value) = 1)
     SELECT notice_id, company_id, kind, value, item_pos, sub_pos::BIGINT AS sub_pos FROM u WHERE value <> ''""",
 )
 def _(t):
-    return ju.preparation_guide(t.judged[0]).withColumn("sub_pos", F.col("sub_pos").cast("long"))
+    return ju.preparation_guide(_final(t)).withColumn("sub_pos", F.col("sub_pos").cast("long"))
 
 
 _GROUPS = [(name, kind, [*words, *extra]) for (name, kind, words), extra in zip(fv.PRIORITY_GROUPS, [["Brand"], ["ECONOMY"], ["ring"], ["widget", "1"], []])]
@@ -338,14 +356,15 @@ def _group_case() -> str:
 
 @query(
     "priority_groups",
-    f"""WITH {JUDGE}, a AS (SELECT *, label || ' ' || required_value || ' ' || source_text AS txt FROM item WHERE match_status IN ('missing', 'needs_review', 'uncertain')),
+    f"""WITH {FINAL}, a AS (SELECT *, label || ' ' || required_value || ' ' || source_text AS txt FROM fin WHERE match_status IN ('missing', 'needs_review', 'uncertain')),
     b AS (SELECT *, {_group_case()} AS priority_group FROM a),
-    c AS (SELECT notice_id, company_id, priority_group, count(*) AS item_count, min(item_pos) AS first_pos, arg_min(requirement_id, item_pos) AS first_requirement FROM b GROUP BY ALL)
+    c AS (SELECT notice_id, company_id, priority_group, count(*) AS item_count, min(item_pos) AS first_pos, arg_min(requirement_id, item_pos) AS first_requirement,
+      replace(arg_min(recommended_action, item_pos), 'citation', '근거') AS next_step, arg_min(gap_reason, item_pos) AS reason, array_to_string(arg_min(evidence, item_pos), ',') AS documents, string_agg(requirement_id, ',' ORDER BY item_pos) AS related_ids FROM b GROUP BY ALL)
     SELECT *, row_number() OVER w AS position FROM c WINDOW w AS (PARTITION BY notice_id, company_id ORDER BY first_pos)""",
 )
 def _(t):
-    rows = ju.priority_groups(t.judged[0], groups=_GROUPS)
-    return rows.withColumn("position", F.col("position").cast("long"))
+    rows = ju.priority_groups(_final(t), groups=_GROUPS)
+    return rows.withColumns({"position": F.col("position").cast("long"), "documents": F.array_join("documents", ","), "related_ids": F.array_join("related_ids", ",")})
 
 
 @query(
