@@ -98,12 +98,14 @@ def review_queues(queues: dict) -> DataFrame:
 
 
 def counters(named: dict) -> DataFrame:
-    """One row of counters, each a scalar over its own table.  ``named``: name -> (frame, condition)."""
-    (first, (frame, cond)), *rest = named.items()
-    out = frame.agg(F.count_if(cond).alias(first))
-    for name, (frame, cond) in rest:
-        out = out.withColumn(name, frame.agg(F.count_if(cond).alias("n")).select("n").scalar())
-    return out
+    """One row of counters; those of one table are one aggregate over it.  ``named``: name -> (frame, condition)."""
+    by_table: dict[int, tuple[DataFrame, list]] = {}
+    for name, (frame, cond) in named.items():
+        by_table.setdefault(id(frame), (frame, []))[1].append(F.count_if(cond).alias(name))
+    first, *rest = [frame.agg(*counts) for frame, counts in by_table.values()]
+    for other in rest:
+        first = first.withColumn("_other", other.select(F.struct("*").alias("r")).scalar()).select("*", "_other.*").drop("_other")
+    return first.select(*named)
 
 
 def overall_status(failed: Column, warning: Column, pending: Column) -> Column:

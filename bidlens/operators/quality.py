@@ -25,13 +25,14 @@ def char_ngrams(text: Column, n: int = 5) -> Column:
 
 
 def piece_counts(pairs: DataFrame, pieces) -> DataFrame:
-    """(pair_id, piece, n_a, n_b).  Pieces are counted before anything is joined; raw pieces never meet each other."""
+    """(pair_id, piece, n_a, n_b); a pair without pieces has one row without a piece.  Nothing is joined."""
     sides = F.array(
         F.struct(F.lit(0).alias("side"), pieces(F.col("a")).alias("p")), F.struct(F.lit(1).alias("side"), pieces(F.col("b")).alias("p"))
     )
-    rows = pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", F.col("s.side").alias("side"), F.explode("s.p").alias("piece"))
+    rows = pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", F.col("s.side").alias("side"), F.explode_outer("s.p").alias("piece"))
+    there = F.col("piece").isNotNull()
     return rows.groupBy("pair_id", "piece").agg(
-        F.count_if(F.col("side") == 0).alias("n_a"), F.count_if(F.col("side") == 1).alias("n_b")
+        F.count_if(there & (F.col("side") == 0)).alias("n_a"), F.count_if(there & (F.col("side") == 1)).alias("n_b")
     )
 
 
@@ -42,15 +43,13 @@ def _ratio(part: Column, whole: Column) -> Column:
 def multiset_recall(pairs: DataFrame, pieces) -> DataFrame:
     """sum(min(n_a, n_b)) / sum(n_a), and the other way round; 1.0 when the base is empty."""
     a, b = F.col("n_a"), F.col("n_b")
-    sums = piece_counts(pairs, pieces).groupBy("pair_id").agg(F.sum(F.least(a, b)).alias("m"), F.sum(a).alias("sa"), F.sum(b).alias("sb"))
-    rows = pairs.select("pair_id").join(sums, "pair_id", "left").fillna(0, ["m", "sa", "sb"])
+    rows = piece_counts(pairs, pieces).groupBy("pair_id").agg(F.sum(F.least(a, b)).alias("m"), F.sum(a).alias("sa"), F.sum(b).alias("sb"))
     return rows.select("pair_id", _ratio(F.col("m"), F.col("sa")).alias("recall_a"), _ratio(F.col("m"), F.col("sb")).alias("recall_b"))
 
 
 def unique_recall(pairs: DataFrame, pieces) -> DataFrame:
     a, b = F.col("n_a") > 0, F.col("n_b") > 0
-    sums = piece_counts(pairs, pieces).groupBy("pair_id").agg(F.count_if(a & b).alias("m"), F.count_if(a).alias("sa"), F.count_if(b).alias("sb"))
-    rows = pairs.select("pair_id").join(sums, "pair_id", "left").fillna(0, ["m", "sa", "sb"])
+    rows = piece_counts(pairs, pieces).groupBy("pair_id").agg(F.count_if(a & b).alias("m"), F.count_if(a).alias("sa"), F.count_if(b).alias("sb"))
     return rows.select("pair_id", _ratio(F.col("m"), F.col("sa")).alias("recall_a"), _ratio(F.col("m"), F.col("sb")).alias("recall_b"))
 
 

@@ -96,10 +96,10 @@ def _(t):
 @query(
     "duplicate_group_warnings",
     f"""WITH {COMPANIES}, g AS (SELECT match_key, grp, max(company_id) AS newest FROM co GROUP BY ALL)
-    SELECT a.match_key, a.grp AS management_group, string_agg(b.grp, ', ' ORDER BY b.newest DESC) AS other_groups FROM g a JOIN g b ON a.match_key = b.match_key AND a.grp <> b.grp GROUP BY ALL""",
+    SELECT match_key, grp AS management_group, newest, count(*) OVER (PARTITION BY match_key) - 1 AS other_groups FROM g QUALIFY other_groups > 0""",
 )
 def _(t):
-    return pr.duplicate_group_warnings(t.companies).withColumn("other_groups", F.array_join("other_groups", ", "))
+    return pr.duplicate_group_warnings(t.companies)
 
 
 # ---- matching ---------------------------------------------------------------------------------------------
