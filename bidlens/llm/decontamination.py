@@ -101,7 +101,9 @@ class Index:
             in_items = table[shingles >> np.uint64(44)]
             if not in_items.any():
                 continue
-            in_items[in_items] = np.isin(shingles[in_items], self.known[k])
+            found = shingles[in_items]
+            at = np.searchsorted(self.known[k], found)
+            in_items[in_items] = self.known[k][np.minimum(at, len(self.known[k]) - 1)] == found
             total = np.append(0, np.cumsum(in_items))
             for index in self.sizes:
                 n = index.size - k + 1
@@ -113,9 +115,9 @@ class Index:
                     rows = np.lib.stride_tricks.sliding_window_view(shingles, n)[starts]
                     for window, item in zip(*index.candidates(simhash(rows))):
                         item_id, of_item = index.items[item]
-                        found = similarity(weights(rows[window]), of_item)
-                        if found >= THRESHOLD and (item_id not in best or found > best[item_id]["similarity"]):
-                            best[item_id] = {"item_id": item_id, "start": int(starts[window]), "n_words": index.size, "similarity": found}
+                        alike = similarity(weights(rows[window]), of_item)
+                        if alike >= THRESHOLD and (item_id not in best or alike > best[item_id]["similarity"]):
+                            best[item_id] = {"item_id": item_id, "start": int(starts[window]), "n_words": index.size, "similarity": alike}
         return [best[i] for i in sorted(best)]
 
 
