@@ -12,8 +12,8 @@ fewest rare tokens): linear in the size of a group, and it connects what is simi
 still lies in different components is compared, so no link that would connect anything is missed.
 
 Frequencies count all texts: executors sort their shingles into ranges of digests, which are summed range by range.
-Levels of at most ``MAX_FREQUENT`` most frequent tokens are broadcast as a table of fixed size; beyond that the least
-frequent of them lose their level.  Any ranking gives the same links; levels only save candidates.
+Levels are broadcast as a table of at most 16 MB, one cell for all digests that begin alike, with the highest level of its
+tokens.  Any ranking gives the same links; levels only save candidates.
 
 Null and empty texts have no shingles and link with nothing.  Rows with the same id share a component.  Rows without an id
 have none.  Columns other than id and text are not looked at.
@@ -33,8 +33,7 @@ from bidlens.llm.components import components
 from bidlens.llm.shingles import WordDigests, mixed, shingle_set, words_of
 from bidlens.llm.tables import Scratch
 
-FREQUENT = 32  # texts with a token from which it has a level
-MAX_FREQUENT = 1 << 20
+FREQUENT = 4  # texts with a token from which it has a level
 SLAB = 2_000_000  # shingles sorted at once
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -49,10 +48,15 @@ def range_bits(rows: int) -> int:
     return min(24, max(6, rows.bit_length() - 9))
 
 
-def frequencies(texts: DataFrame, size: int, bits: int) -> DataFrame:
-    """(token, df) of digests' first ``bits`` + 24 bits with a document frequency of ``FREQUENT`` or more.
+def table_bits(rows: int) -> int:
+    """Cells of the level table: 64 a text, at most 16 million."""
+    return min(24, max(12, rows.bit_length() + 6))
 
-    A task sends a range's digests as sorted bytes (24 bits each) with counts, so that a shuffle of all shingles costs
+
+def frequencies(texts: DataFrame, size: int, bits: int, wide: int) -> DataFrame:
+    """(first, cells): pieces of the level table; a piece begins at cell ``first``.
+
+    A cell's byte is 0, or 1 and more for tokens with a document frequency of ``FREQUENT`` and more.  A task sends a range's digests as sorted bytes (24 bits each) with counts, so that a shuffle of all shingles costs
     three to four bytes each.
     """
 
@@ -86,27 +90,23 @@ def frequencies(texts: DataFrame, size: int, bits: int) -> DataFrame:
         tokens, at = np.unique(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, return_inverse=True)
         df = np.bincount(at, counts).astype(np.int64)
         often = df >= FREQUENT
-        first = int(table.column("range")[0].as_py()) << 24
-        return pa.table({"token": pa.array(tokens[often] | first), "df": pa.array(df[often])})
+        level = (np.log2(df[often]) - np.log2(FREQUENT) + 1).astype(np.uint8)
+        where = (tokens[often] | int(table.column("range")[0].as_py()) << 24) >> (bits + 24 - wide)
+        first = int(where[0]) if len(where) else 0
+        cells = np.zeros(int(where[-1]) - first + 1 if len(where) else 0, np.uint8)
+        np.maximum.at(cells, where - first, level)
+        return pa.table({"first": pa.array([first], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
 
     parts = texts.select("text").mapInArrow(ranges, "range long, tokens binary, counts binary")
-    return parts.groupBy("range").applyInArrow(summed, "token long, df long")
-
-
-def level_table(found: DataFrame, bits: int) -> np.ndarray:
-    """Levels by the first bits of a digest; of fixed size for at most ``MAX_FREQUENT`` tokens."""
-    levels = found.withColumn("level", (F.floor(F.log2("df")) - int(np.log2(FREQUENT)) + 1).cast("int"))
-    sizes = {r.level: r.n for r in levels.groupBy("level").agg(F.count("*").alias("n")).collect()}  # at most 60 rows
-    total, least = 0, 99
-    for level in sorted(sizes, reverse=True):
-        if total + sizes[level] > MAX_FREQUENT:
-            break
-        total, least = total + sizes[level], level
-    wide = min(24, bits + 24, max(12, (16 * total).bit_length()))
+    return parts.groupBy("range").applyInArrow(summed, "first long, cells binary")
+
+
+def level_table(pieces: DataFrame, wide: int) -> np.ndarray:
+    """The whole table; what comes to the driver is its size."""
     table = np.zeros(1 << wide, np.uint8)
-    if total:
-        rows = levels.filter(F.col("level") >= least).select("token", "level").toPandas()  # at most MAX_FREQUENT rows
-        np.maximum.at(table, rows["token"].to_numpy() >> (bits + 24 - wide), rows["level"].to_numpy().astype(np.uint8))
+    for first, cells in pieces.toLocalIterator():
+        part = np.frombuffer(cells, np.uint8)
+        np.maximum(table[first:first + len(part)], part, out=table[first:first + len(part)])
     return table
 
 
@@ -159,17 +159,20 @@ def reachable(percent: int, n_a: Column, pos_a: Column, n_b: Column, pos_b: Colu
     return F.least(n_a - pos_a, n_b - pos_b) * (100 + percent) >= (n_a + n_b) * percent
 
 
-def verified(pairs: DataFrame, texts: DataFrame, levels, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs (a, b) that share a token of the second order's prefixes and whose sets are at or above the threshold."""
-    pairs = scratch.keep(pairs, f"{name}-pairs")
+def sets_of(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
+    """Second prefixes and whole sets of the texts in ``pairs`` (a, b) that are not known yet."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.keep(profiles(texts.join(ids, "doc_id", "left_semi"), levels, size, percent, whole=True), f"{name}-sets")
+    if known is not None:
+        ids = ids.join(known.select("doc_id"), "doc_id", "left_anti")
+    return profiles(texts.join(ids, "doc_id", "left_semi"), levels, size, percent, whole=True)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a token of the second order's prefixes and whose sets are at or above the threshold."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "second", "tokens")])
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("second_a", "second_b"))
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    links = scratch.keep(joined.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b").distinct(), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+    return joined.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b").distinct()
 
 
 def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -178,14 +181,18 @@ def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> D
     scratch = Scratch(spark, "jaccard")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = rows.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    bits = range_bits(rows.select("doc_id").count())
-    levels = spark.sparkContext.broadcast(level_table(scratch.keep(frequencies(texts, size, bits), "frequent"), bits))
+    count = rows.select("doc_id").count()
+    bits, wide = range_bits(count), table_bits(count)
+    levels = spark.sparkContext.broadcast(level_table(scratch.keep(frequencies(texts, size, bits, wide), "levels"), wide))
 
-    every = scratch.keep(profiles(rows, levels, size, percent, whole=False), "profiles")
-    known = every.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    profiled = scratch.keep(profiles(rows, levels, size, percent, whole=False), "profiles")
+    every = scratch.keep(profiled.drop("prefix"), "documents")
+    known = profiled.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = scratch.keep(
         known.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes"
     )
+    scratch.drop("profiles")
+    known = every.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     places = classes.select(F.col("rep").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
     shared = places.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1").select("token")
     met = scratch.keep(places.join(shared, "token"), "met")
@@ -193,8 +200,9 @@ def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> D
     hubs = met.groupBy("token").agg(F.min(F.struct("pos", "n", "id")).alias("hub"))
     near = met.join(hubs, "token").filter((F.col("id") != F.col("hub.id")) & reachable(percent, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     stars = near.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    links = verified(stars, texts, levels, size, percent, scratch, "stars")
-    grouped = components(links, scratch, "grouped")
+    stars = scratch.keep(stars, "stars")
+    sets = scratch.keep(sets_of(stars, None, texts, levels, size, percent), "sets")
+    grouped = components(scratch.keep(verified(stars, sets, percent), "star-links"), scratch, "grouped")
 
     apart = met.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = scratch.keep(apart, "apart")
@@ -205,9 +213,10 @@ def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> D
         (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
         & reachable(percent, F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
     )
-    tested = spark.read.parquet(f"{scratch.folder}/stars-pairs")
-    rest = crossing.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = verified(rest, texts, levels, size, percent, scratch, "rest")
+    rest = crossing.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = scratch.keep(rest, "rest")
+    sets = sets.union(scratch.keep(sets_of(rest, sets, texts, levels, size, percent), "more-sets"))
+    more = scratch.keep(verified(rest, sets, percent), "more-links")
     merged = grouped.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)
     # rows of one id with different texts: their classes belong together
     same = known.select("doc_id", "sig_a", "sig_b").distinct().join(classes.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"])
