@@ -122,14 +122,22 @@ def prefixes(tokens: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.n
     return out[0], out[1]
 
 
-def profiles(texts: DataFrame, levels, size: int, percent: int, whole: bool) -> DataFrame:
-    """Of every row: id, set size, digest of the set and first prefix; or (``whole``) the second prefix and the set."""
+def profiles(texts: DataFrame, levels, size: int, percent: int, wanted=None) -> DataFrame:
+    """Of every row: id, set size, digest of the set and first prefix.
+
+    With ``wanted``, a bitmap of id digests, of the rows in it instead: the second prefix and the set.
+    """
+    whole = wanted is not None
     schema = "doc_id long, n int, sig_a long, sig_b long, prefix array<long>" if not whole else "doc_id long, n int, second array<long>, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = WordDigests(), levels.value
+        bitmap = wanted.value if whole else None
         longs = pa.list_(pa.int64())
         for batch in batches:
+            if whole:
+                slots = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array(bitmap[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 == 1))
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 n, sig_a, sig_b, first, second, sets = [], [], [], [], [], []
@@ -151,7 +159,33 @@ def profiles(texts: DataFrame, levels, size: int, percent: int, whole: bool) ->
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), *arrays], names=["doc_id", "n", *names])
 
-    return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    slot = [slot_of(F.col("doc_id"), len(wanted.value)).alias("slot")] if whole else []
+    return texts.select("doc_id", "text", *slot).mapInArrow(run, schema)
+
+
+def slot_of(doc_id: Column, size: int) -> Column:
+    """Bit of an id in a bitmap of ``size`` bytes."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(8 * size))
+
+
+def bitmap_of(ids: DataFrame, wide: int) -> np.ndarray:
+    """Bitmap of 2 ** wide bits (2 MB at most) with the slots of all ids; what comes to the driver is its size.
+
+    It only keeps most texts without a candidate from being cut; an exact semi join follows.
+    """
+    size = max(1 << wide, 1 << 16) // 8
+
+    def packed(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[table.column("low").to_numpy()] = 1
+        return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    slots = ids.select(slot_of(F.col("doc_id"), size).alias("slot")).distinct()
+    pieces = slots.select(F.floor(F.col("slot") / 65536).alias("piece"), (F.col("slot") % 65536).cast("int").alias("low"))
+    out = np.zeros(size, np.uint8)
+    for piece, bits in pieces.groupBy("piece").applyInArrow(packed, "piece long, bits binary").toLocalIterator():
+        out[piece * 8192:(piece + 1) * 8192] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def reachable(percent: int, n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -159,12 +193,13 @@ def reachable(percent: int, n_a: Column, pos_a: Column, n_b: Column, pos_b: Colu
     return F.least(n_a - pos_a, n_b - pos_b) * (100 + percent) >= (n_a + n_b) * percent
 
 
-def sets_of(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, levels, size: int, percent: int) -> DataFrame:
-    """Second prefixes and whole sets of the texts in ``pairs`` (a, b) that are not known yet."""
+def sets_of(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, levels, size: int, percent: int, wide: int) -> DataFrame:
+    """Second prefixes and whole sets of the texts in ``pairs`` (a, b) that are not known yet.  No text is shuffled."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     if known is not None:
         ids = ids.join(known.select("doc_id"), "doc_id", "left_anti")
-    return profiles(texts.join(ids, "doc_id", "left_semi"), levels, size, percent, whole=True)
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids, wide))
+    return profiles(texts, levels, size, percent, wanted).join(ids, "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +220,7 @@ def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> D
     bits, wide = range_bits(count), table_bits(count)
     levels = spark.sparkContext.broadcast(level_table(scratch.keep(frequencies(texts, size, bits, wide), "levels"), wide))
 
-    profiled = scratch.keep(profiles(rows, levels, size, percent, whole=False), "profiles")
+    profiled = scratch.keep(profiles(rows, levels, size, percent), "profiles")
     every = scratch.keep(profiled.drop("prefix"), "documents")
     known = profiled.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = scratch.keep(
@@ -201,7 +236,7 @@ def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> D
     near = met.join(hubs, "token").filter((F.col("id") != F.col("hub.id")) & reachable(percent, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     stars = near.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
     stars = scratch.keep(stars, "stars")
-    sets = scratch.keep(sets_of(stars, None, texts, levels, size, percent), "sets")
+    sets = scratch.keep(sets_of(stars, None, texts, levels, size, percent, wide), "sets")
     grouped = components(scratch.keep(verified(stars, sets, percent), "star-links"), scratch, "grouped")
 
     apart = met.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -215,7 +250,7 @@ def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> D
     )
     rest = crossing.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = scratch.keep(rest, "rest")
-    sets = sets.union(scratch.keep(sets_of(rest, sets, texts, levels, size, percent), "more-sets"))
+    sets = sets.union(scratch.keep(sets_of(rest, sets, texts, levels, size, percent, wide), "more-sets"))
     more = scratch.keep(verified(rest, sets, percent), "more-links")
     merged = grouped.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)
     # rows of one id with different texts: their classes belong together
