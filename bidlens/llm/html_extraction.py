@@ -316,8 +316,8 @@ class References(dict):
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, reference, template): the reference tree of each host and the numbers of its template nodes."""
     keyed = pages.filter(F.length("html") > 0)
-    least = keyed.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    chosen = keyed.join(least, ["host", "page_id"]).dropDuplicates(["host"]).select("host", "html")
+    # one page a host and task leaves the task; equal ids are told apart by their text
+    chosen = keyed.filter(F.col("page_id").isNotNull()).groupBy("host").agg(F.min(F.struct("page_id", "html")).alias("r")).select("host", "r.html")
 
     def reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEEP)
