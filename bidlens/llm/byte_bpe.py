@@ -4,7 +4,8 @@ A rank file gives every token's bytes; two neighbouring tokens merge when their
 first, leftmost first among equals.  Texts are cut by the split pattern; each distinct piece that is no token itself
 becomes rows (piece, position, token).  The recursive query joins neighbours with the merge table and contracts every
 piece's leftmost pair of minimum rank until none is left.  Decoding joins tokens with their bytes and aggregates them in
-order.  Pieces repeat, so a task remembers a bounded number of them; whole texts are put together from their pieces.
+order.  Pieces repeat, so a task remembers a bounded number of them; whole texts are put together from their pieces.  Of
+decoded pieces only those are remembered that differ from the piece, so that nothing is held twice.
 
 The recursive query keeps every step of a piece, so its rows grow with the square of the piece's length.  Pieces of more
 than ``LONG`` bytes (runs without a break) are contracted in the same order with a heap instead.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 LONG = 1000  # bytes of a piece up to which it goes to the recursive query
 CHUNK = 200_000  # bytes of pieces in one query
-SLICE = 4 << 20  # bytes of text handled at once
-REMEMBERED = 500_000  # pieces that a task remembers; never changes a result
+SLICE = 1 << 20  # characters of text handled at once
+REMEMBERED = 400_000  # pieces that a task remembers; never changes a result
 
 # A row's rank is that of the pair it opens with the row after it (null: no token).  A step renames the left half of each
 # piece's lowest pair to the merged token, drops its right half and looks up the two pairs that are new.  A piece without
@@ -160,12 +161,12 @@ def encode(documents: DataFrame, rank_file: str | None = None, pattern: str | No
         of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         text_of = {n: t for t, n in ranks.items()}
         tokens: dict[str, bytes] = {}
-        decoded: dict[str, bytes] = {}
+        differing: dict[str, bytes] = {}  # pieces that do not decode to themselves
 
         def learn(texts: list[list[str]]) -> None:
             if len(tokens) > REMEMBERED:
                 tokens.clear()
-                decoded.clear()
+                differing.clear()
             waiting: list[tuple[str, bytes]] = []
             for piece in dict.fromkeys(p for pieces in texts for p in pieces if p not in tokens):
                 raw = piece.encode()
@@ -174,15 +175,18 @@ def encode(documents: DataFrame, rank_file: str | None = None, pattern: str | No
                     waiting.append((piece, raw))
                 else:
                     tokens[piece] = np.array(alone, "<u4").tobytes()
-                    decoded[piece] = b"".join(text_of[n] for n in alone)
+                    if (back := b"".join(text_of[n] for n in alone)) != raw:
+                        differing[piece] = back
             while waiting:
                 size, n = 0, 0
                 while n < len(waiting) and size < CHUNK:
                     size += len(waiting[n][1])
                     n += 1
                 part, waiting = waiting[:n], waiting[n:]
-                for (piece, _), (ids, back) in zip(part, fixpoints(db, [raw for _, raw in part], of_byte)):
-                    tokens[piece], decoded[piece] = ids, back
+                for (piece, raw), (ids, back) in zip(part, fixpoints(db, [raw for _, raw in part], of_byte)):
+                    tokens[piece] = ids
+                    if back != raw:
+                        differing[piece] = back
 
         for batch in batches:
             doc_ids, texts, at = batch.column(0), batch.column(1), 0
@@ -195,7 +199,7 @@ def encode(documents: DataFrame, rank_file: str | None = None, pattern: str | No
                     at += 1
                 learn(pieces)
                 ids = [b"".join(map(tokens.__getitem__, p)) for p in pieces]
-                back = [b"".join(map(decoded.__getitem__, p)) for p in pieces]
+                back = [b"".join(differing.get(x) or x.encode() for x in p) if differing else "".join(p).encode() for p in pieces]
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.slice(first, at - first), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"]
                 )

@@ -33,7 +33,7 @@ from bidlens.llm.shingles import STEP, WordDigests, grams, mixed, words_of
 from bidlens.llm.tables import Scratch
 
 ROUNDS = 3
-BLOCK_CHARS = 4_000_000  # characters of text in a block
+BLOCK_CHARS = 2_000_000  # characters of text in a block
 RANGE_ENTRIES = 2_000_000  # entries of all blocks that a range looks over, about
 
 

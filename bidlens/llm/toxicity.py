@@ -53,7 +53,7 @@ class Words(dict):
     """Word -> both buckets in one number; forgets all when it holds too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         a, b = buckets(word)
         self[word] = value = a << 32 | b
@@ -194,9 +194,12 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
     texts, y, share = sample(documents, labels, "toxic", per_class, seed)
     if len(set(y.tolist())) < 2:
         return None
-    cut, listed = [words_of(t) for t in texts], function_words()
-    seen = Words()
-    ids = [seen.ids(words) for words in cut]
+    seen, listed, ids, guessed = Words(), function_words(), [], []
+    for text in texts:  # word lists are not kept: they would be many times the texts
+        words = words_of(text)
+        ids.append(seen.ids(words).astype(np.int32))
+        guessed.append(language(words, listed))
+    del texts
     kept = np.arange(len(y)) % 4 == 3
     if len(set(y[kept].tolist())) < 2 or len(set(y[~kept].tolist())) < 2:
         kept = np.ones(len(y), bool)
@@ -205,7 +208,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, see
         model = train([v for v, k in zip(ids, kept) if not k], y[~kept], seed)
     share = 1.5 * share / (1 + share / 2)  # to miss a toxic text counts as one and a half false alarms
     scores = np.array([logit(model, v) for v, k in zip(ids, kept) if k])
-    langs = np.array([language(words, listed) for words, k in zip(cut, kept) if k])
+    langs = np.array([lang for lang, k in zip(guessed, kept) if k])
     target, common = np.log(CUT / (1 - CUT)), best_threshold(scores, y[kept], share)
     model.shifts[""] = target - common
     for lang in FUNCTION_WORDS:
