@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from bidlens.llm.tables import Scratch
 
 SHARE = 0.5  # of the pages with a node, that show the same text
 MIN_VOTES = 4
-MOST_CELLS = 250_000  # pairs of siblings compared in one table; above, siblings align from both ends
+TABLE_CELLS = 1_000_000  # of one table in memory; larger ones are halved first
 DEEP = 200_000  # nested elements that the recursion over a tree allows for
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?", re.I)
@@ -169,10 +170,17 @@ def squeeze(pieces: list[str]) -> str:
 class Shape:
     """A tree for alignment: block elements only, equal leaf neighbours folded into one."""
 
-    __slots__ = ("key", "text", "children", "nodes", "number")
+    __slots__ = ("key", "tag", "text", "children", "nodes", "number", "form", "count")
 
     def __init__(self, key: str, text: int, children: list[Shape], nodes: list[Node]):
         self.key, self.text, self.children, self.nodes, self.number = key, text, children, nodes, -1
+        self.tag = key.partition(".")[0]
+        self.seal()
+
+    def seal(self) -> None:
+        """Digest of the keys of this tree, and its size."""
+        self.form = hash((self.key, *[c.form for c in self.children]))
+        self.count = 1 + sum(c.count for c in self.children)
 
 
 def shape_of(node: Node) -> Shape:
@@ -222,49 +230,97 @@ def unpacked(raw: str) -> Shape:
             open_.pop()
         if n:
             open_.append([shape, n])
+    for shape in reversed(shapes):
+        shape.seal()
     return shapes[0]
 
 
-def match(a: Shape, b: Shape, known: dict[tuple[int, int], tuple[int, list]]) -> tuple[int, list[tuple[Shape, Shape]]]:
-    """Simple tree matching: size and pairs of the largest matching that maps the roots onto each other."""
-    if a.key != b.key:
-        return 0, []
-    at = (id(a), id(b))
-    if at in known:
-        return known[at]
-    m, n = len(a.children), len(b.children)
-    if m * n > MOST_CELLS:
-        return ends_match(a, b, known)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    size = [[0] * n for _ in range(m)]
-    for i in range(m):
-        for j in range(n):
-            if a.children[i].key == b.children[j].key:
-                size[i][j] = match(a.children[i], b.children[j], known)[0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size[i][j])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if size[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + size[i - 1][j - 1]:
-            pairs += match(a.children[i - 1], b.children[j - 1], known)[1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    known[at] = best[m][n] + 1, pairs
+def size_of(a: Shape, b: Shape, known: dict[tuple[int, int], int]) -> int:
+    """Size of the largest matching that maps the roots onto each other."""
+    if a.tag != b.tag:
+        return 0
+    if a.form == b.form:
+        return a.count
+    at = a.form, b.form
+    if at not in known:
+        head, tail, worth, rows, columns = siblings(a, b, known)
+        inner = sum(x.count for x in a.children[:head]) + sum(x.count for x in a.children[len(a.children) - tail:]) + int(last_row(worth, rows, columns)[-1])
+        # an element whose class differs is no match of its own, but what it holds may be
+        known[at] = inner + (a.key == b.key) if inner or a.key == b.key else 0
     return known[at]
 
 
-def ends_match(a: Shape, b: Shape, known: dict) -> tuple[int, list[tuple[Shape, Shape]]]:
-    """For very many siblings: children align from both ends as long as they are of one kind."""
-    m, n = len(a.children), len(b.children)
-    head = next((i for i in range(min(m, n)) if a.children[i].key != b.children[i].key), min(m, n))
-    tail = next((i for i in range(min(m, n) - head) if a.children[-1 - i].key != b.children[-1 - i].key), min(m, n) - head)
-    pairs = [(a, b)]
-    for x, y in [*zip(a.children[:head], b.children[:head]), *zip(a.children[m - tail:], b.children[n - tail:])]:
-        pairs += match(x, y, known)[1]
-    known[id(a), id(b)] = len(pairs), pairs
-    return known[id(a), id(b)]
+def siblings(a: Shape, b: Shape, known: dict) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Children that are equal from the start and from the end, then sizes by kind of child, and the kinds of those between.
+
+    Equal trees at an end can always be paired in a largest matching.
+    """
+    x, y = [c.form for c in a.children], [c.form for c in b.children]
+    least = min(len(x), len(y))
+    head = next((i for i in range(least) if x[i] != y[i]), least)
+    tail = next((i for i in range(least - head) if x[-1 - i] != y[-1 - i]), least - head)
+    of_a, of_b = a.children[head:len(x) - tail], b.children[head:len(y) - tail]
+    kinds_a, kinds_b = {c.form: c for c in of_a}, {c.form: c for c in of_b}
+    worth = np.array([[size_of(p, q, known) for q in kinds_b.values()] for p in kinds_a.values()], np.int64).reshape(len(kinds_a), len(kinds_b))
+    number_a, number_b = {f: i for i, f in enumerate(kinds_a)}, {f: i for i, f in enumerate(kinds_b)}
+    return head, tail, worth, np.array([number_a[c.form] for c in of_a], np.int64), np.array([number_b[c.form] for c in of_b], np.int64)
+
+
+def last_row(worth: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the largest matchings of all rows with the first 0, 1, 2 and more columns."""
+    best = np.zeros(len(columns) + 1, np.int64)
+    if len(columns):
+        for i in rows:
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + worth[i][columns]))
+    return best
+
+
+def chosen(worth: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Places (row, column) of a largest matching; a large table is halved by rows first (Hirschberg), which is as exact."""
+    out, waiting = [], [(0, len(rows), 0, len(columns))]
+    while waiting:
+        top, bottom, left, right = waiting.pop()
+        m, n = bottom - top, right - left
+        if not m or not n:
+            continue
+        x, y = rows[top:bottom], columns[left:right]
+        if m > 1 and m * n > TABLE_CELLS:
+            half = m // 2
+            cut = int(np.argmax(last_row(worth, x[:half], y) + last_row(worth, x[half:][::-1], y[::-1])[::-1]))
+            waiting += [(top, top + half, left, left + cut), (top + half, bottom, left + cut, right)]
+            continue
+        best = np.zeros((m + 1, n + 1), np.int64)
+        for i in range(m):
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + worth[x[i]][y]))
+        i, j = m, n
+        while i and j:
+            gain = worth[x[i - 1], y[j - 1]]
+            if gain and best[i, j] == best[i - 1, j - 1] + gain:
+                out.append((top + i - 1, left + j - 1))
+                i, j = i - 1, j - 1
+            elif best[i, j] == best[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
+def match(a: Shape, b: Shape, known: dict[tuple[int, int], int]) -> tuple[int, list[tuple[Shape, Shape]]]:
+    """Simple tree matching: size and pairs of the largest matching that maps the roots onto each other."""
+    size = size_of(a, b, known)
+    pairs, waiting = [], [(a, b)] if size else []
+    while waiting:
+        x, y = waiting.pop()
+        pairs.append((x, y))
+        if x.form == y.form:
+            waiting += zip(x.children, y.children)
+            continue
+        head, tail, worth, rows, columns = siblings(x, y, known)
+        waiting += zip(x.children[:head], y.children[:head])
+        if tail:
+            waiting += zip(x.children[-tail:], y.children[-tail:])
+        waiting += [(x.children[head + i], y.children[head + j]) for i, j in chosen(worth, rows, columns)]
+    return size, pairs
 
 
 def votes_of(page: str, reference: Shape) -> list[tuple[int, int]]:

@@ -264,3 +264,16 @@ def test_tree_matching_aligns_around_changes():
     assert size == 5 and {r.key for r, _ in pairs} == {"#page.", "body.", "div.b", "ul.", "li."}
     again = html_extraction.unpacked(html_extraction.packed(ref))
     assert html_extraction.match(again, ref, {})[0] == len(html_extraction.numbered(again)) == 6
+
+
+def test_very_long_sibling_lists_align_exactly(monkeypatch):
+    kinds = [f"<div class='k{chr(97 + i % 7)}'>x</div><p>t</p>" for i in range(700)]
+    template = "<section class='note'><h2>a</h2><p>b</p></section>"
+    tree = lambda parts: html_extraction.shape_of(html_extraction.parse(f"<body>{''.join(parts)}</body>")[0])
+    a, b = tree(["<h1>q</h1>", *kinds[:350], template, *kinds[350:], "<ul><li>1</ul>"]), tree(["<ol><li>1</ol>", *kinds[3:300], template, *kinds[400:], "<h2>z</h2>"])
+    size, pairs = html_extraction.match(a, b, {})
+    assert any(x.key == y.key == "section.note" for x, y in pairs)
+    assert len(pairs) == size > 1000
+    monkeypatch.setattr(html_extraction, "TABLE_CELLS", 500)
+    again, other = html_extraction.match(a, b, {})
+    assert (again, len(other)) == (size, size)
