@@ -1,12 +1,14 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
 A page becomes a tree of its elements; neighbouring leaf elements of one kind are folded into a repeated node, so that lists
-and paragraphs of any number align.  One page of each host (smallest id) is the reference.  Every other page of the host
-is aligned with it by simple tree matching: the largest set of node pairs that keeps ancestors and the order of siblings.
-Votes are counted over all pages: a reference node whose text stays the same on at least half of the pages that have it is
-template, a node with varying text is a slot.  Pages with the reference's own content do not vote, copies prove nothing.
-
-Each page is then aligned with its host's wrapper: nodes on template are dropped, slots are kept as content.  Slots can
+and paragraphs of any number align.  Numbers in classes are not told apart.  Trees align by simple tree matching: the
+largest set of node pairs that keeps ancestors and the order of siblings.  All layouts of a host are united into one tree:
+each is aligned with what is there and what it has beyond that is put in; nodes of one page alone are left out.  Every page
+is then aligned with that tree and votes: a text that a node shows on at least half of the pages that have the node, and on
+two at least, is template (with fewer than four such pages, on all); a node with varying text is a slot.  Pages that say
+the same have one vote together, copies prove nothing.
+
+Of each page, nodes on template are dropped, slots are kept as content.  Slots can
 still be menus with changing links or rotating adverts, so elements that say what they are (nav, aside, footer, form and so
 on, or such a class, id or role) are left out, and where a page marks its article (article, main) content lies in there.
 A host whose pages do not vote has no template; its pages are cut by these marks alone.
@@ -29,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.llm.tables import Scratch
 
 SHARE = 0.5  # of the pages with a node, that show the same text
-MIN_VOTES = 4
+SURE_VOTES = 4  # with fewer pages all must show it
+UNIONS = 64  # parts in which the layouts of a host are united first
 TABLE_CELLS = 1_000_000  # of one table in memory; larger ones are halved first
 DEEP = 200_000  # nested elements that the recursion over a tree allows for
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?", re.I)
+NUMBERS = re.compile(r"[0-9]+")
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -199,7 +204,7 @@ def shape_of(node: Node) -> Shape:
         else:
             children.append(shape)
     own = zlib.crc32("\n".join(squeeze(b) for b in node.blocks).encode("utf-8", "replace"))
-    return Shape(f"{node.tag}.{node.mark}", own, children, [node])
+    return Shape(f"{node.tag}.{NUMBERS.sub('0', node.mark)}", own, children, [node])
 
 
 def numbered(root: Shape) -> list[Shape]:
@@ -323,22 +328,81 @@ def match(a: Shape, b: Shape, known: dict[tuple[int, int], int]) -> tuple[int, l
     return size, pairs
 
 
-def votes_of(page: str, reference: Shape) -> list[tuple[int, int]]:
-    """(reference node, whether its text is the same) for nodes with text that align; none for a page of equal content."""
-    pairs = match(reference, shape_of(parse(page)[0]), {})[1]
-    empty = zlib.crc32(b"")
-    votes = [(r.number, int(r.text == p.text)) for r, p in pairs if r.text != empty or p.text != empty]
-    return [] if all(same for _, same in votes) else votes
+def reseal(root: Shape) -> None:
+    for shape in reversed(numbered(root)):
+        shape.seal()
 
 
-def extract(page: str | None, reference: Shape | None, template: frozenset[int]) -> str:
+def grow(union: Shape, tree: Shape) -> None:
+    """Adds what ``tree`` has beyond ``union``, next to the sibling before it; ``text`` of either counts pages."""
+    partner = {}
+    for u, t in match(union, tree, {})[1]:
+        u.text += t.text
+        partner[id(t)] = u
+    if len(partner) == tree.count:
+        return
+    for t in numbered(tree):
+        u = partner.get(id(t))
+        if u is None:
+            continue
+        after: dict[int, list[Shape]] = {}
+        before = 0
+        for child in t.children:
+            if id(child) in partner:
+                before = id(partner[id(child)])
+            else:
+                after.setdefault(before, []).append(child)
+        if after:
+            old, u.children = u.children, list(after.get(0, []))
+            for child in old:
+                u.children += [child, *after.get(id(child), [])]
+    reseal(union)
+
+
+def pruned(union: Shape) -> Shape | None:
+    """Without nodes of a single page: they can't repeat."""
+    stays: set[int] = set()
+    for shape in reversed(numbered(union)):
+        shape.children = [c for c in shape.children if id(c) in stays]
+        if shape.text > 1 or shape.children:
+            stays.add(id(shape))
+    reseal(union)
+    return union if id(union) in stays else None
+
+
+class Wrapper:
+    """The tree of a host, and where the nodes of layouts that were met lie in it."""
+
+    def __init__(self, raw: str):
+        self.tree, self.known, self.met = unpacked(raw), {}, {}
+
+    def places(self, root: Shape) -> list[int]:
+        """Of every node of a page, in order: number of the node that it aligns with, or -1."""
+        if root.form not in self.met:
+            if len(self.met) > 1000:
+                self.met, self.known = {}, {}
+            out = [-1] * len(numbered(root))
+            for w, p in match(self.tree, root, self.known)[1]:
+                out[p.number] = w.number
+            self.met[root.form] = out
+        return self.met[root.form]
+
+
+def content_of(blocks: list[tuple[list[Node], list[str]]]) -> int | None:
+    """Digest of what a page says; pages that say the same have one vote together."""
+    lines = [squeeze(pieces) for _, pieces in blocks]
+    return xxhash.xxh3_64_intdigest("\n".join(lines).encode("utf-8", "replace")) - (1 << 63) if any(lines) else None
+
+
+def extract(page: str | None, wrapper: Wrapper | None, template: frozenset[tuple[int, int]]) -> str:
     if not page:
         return ""
     root, blocks = parse(page)
     fixed: set[int] = set()
-    if reference is not None and template:
-        for r, p in match(reference, shape_of(root), {})[1]:
-            if r.number in template and r.text == p.text:
+    if wrapper is not None and template:
+        shape = shape_of(root)
+        for at, p in zip(wrapper.places(shape), numbered(shape)):
+            if (at, p.text) in template:
                 fixed.update(id(node) for node in p.nodes)
     marked = any(any(x.tag in ("article", "main") for x in holders) for holders, _ in blocks)
     out = []
@@ -359,65 +423,124 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-class References(dict):
-    """Packed reference -> tree, for as many hosts as a task meets in a row."""
+class Wrappers(dict):
+    """Packed tree -> wrapper, for as many hosts as a task meets in a row."""
 
-    def __missing__(self, raw: str) -> Shape:
+    def __missing__(self, raw: str) -> Wrapper:
         if len(self) > 500:
             self.clear()
-        self[raw] = shape = unpacked(raw)
-        return shape
+        self[raw] = wrapper = Wrapper(raw)
+        return wrapper
 
 
-def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, reference, template): the reference tree of each host and the numbers of its template nodes."""
-    keyed = pages.filter(F.length("html") > 0)
-    # one page a host and task leaves the task; equal ids are told apart by their text
-    chosen = keyed.filter(F.col("page_id").isNotNull()).groupBy("host").agg(F.min(F.struct("page_id", "html")).alias("r")).select("host", "r.html")
+def united(layouts: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """One tree for all layouts (``tree``) of a key; rows stream in order, a task holds one tree."""
 
-    def reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEEP)
+        at, union = None, None
+
+        def made() -> Iterator[pa.RecordBatch]:
+            tree = pruned(union) if last else union
+            if tree is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.string()), pa.array([packed(tree)], pa.string())], names=["host", "tree"])
+
         for batch in batches:
-            trees = [packed(shape_of(parse(page.as_py())[0])) for page in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["host", "reference"])
+            for *key, raw in zip(*[batch.column(c).to_pylist() for c in (*keys, "tree")]):
+                if key != at:
+                    if union is not None:
+                        yield from made()
+                    at, union = key, unpacked(raw)
+                else:
+                    grow(union, unpacked(raw))
+        if union is not None:
+            yield from made()
 
-    references = scratch.keep(chosen.mapInArrow(reference, "host string, reference string"), "references")
+    return layouts.select(*keys, "tree").repartition(*keys).sortWithinPartitions(*keys, "tree").mapInArrow(run, "host string, tree string")
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, tree, template): the tree of each host, and its template as (node, text)."""
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEEP)
-        trees = References()
         for batch in batches:
-            aligned, same = Counter(), Counter()
-            for host, page, raw in zip(*[c.to_pylist() for c in batch.columns]):
-                for node, equal in votes_of(page, trees[raw]):
-                    aligned[host, node] += 1
-                    same[host, node] += equal
-            keys = list(aligned)
+            hosts, layouts, texts, contents = [], [], [], []
+            for host, page in zip(*[c.to_pylist() for c in batch.columns]):
+                root, blocks = parse(page)
+                content = content_of(blocks)
+                if content is None:
+                    continue
+                shape = shape_of(root)
+                nodes = numbered(shape)
+                texts.append([x.text for x in nodes])
+                for x in nodes:
+                    x.text = 1
+                hosts.append(host)
+                layouts.append(packed(shape))
+                contents.append(content)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([aligned[k] for k in keys], pa.int64()),
-                 pa.array([same[k] for k in keys], pa.int64())], names=["host", "node", "pages", "same"]
+                [pa.array(hosts, pa.string()), pa.array(layouts, pa.string()), pa.array(texts, pa.list_(pa.int64())), pa.array(contents, pa.int64())],
+                names=["host", "layout", "texts", "content"]
             )
 
-    ballots = keyed.join(references, "host").select("host", "html", "reference").mapInArrow(vote, "host string, node int, pages long, same long")
-    counted = ballots.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    template = counted.filter((F.col("pages") >= MIN_VOTES) & (F.col("same") >= F.col("pages") * SHARE)).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("template"))
-    return scratch.keep(references.join(template, "host", "left"), "wrappers")  # a page's nodes bound each list
+    said = scratch.keep(pages.filter(F.length("html") > 0).select("host", "html").mapInArrow(shapes, "host string, layout string, texts array<long>, content long"), "shapes")
+    voters = scratch.keep(said.groupBy("host", "content").agg(F.min(F.struct("layout", "texts")).alias("v")).select("host", "v.layout", "v.texts"), "voters")
+    scratch.drop("shapes")
+    # a layout of many pages counts twice: what is on two pages may be template
+    layouts = voters.groupBy("host", "layout").agg(F.least(F.count("*"), F.lit(2)).alias("n"))
+    twice = layouts.select("host", F.pmod(F.xxhash64("layout"), F.lit(UNIONS)).alias("part"), F.explode(F.array_repeat("layout", F.col("n").cast("int"))).alias("tree"))
+    trees = scratch.keep(united(united(twice, ["host", "part"], False), ["host"], True), "trees")
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEEP)
+        known, met, votes = Wrappers(), {}, Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = list(votes)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()),
+                 pa.array([votes[k] for k in keys], pa.int64())], names=["host", "node", "text", "pages"]
+            )
+
+        for batch in batches:
+            for host, layout, texts, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                if layout not in met:
+                    if len(met) > 1000:
+                        met.clear()
+                    met[layout] = unpacked(layout)
+                for at, text in zip(known[raw].places(met[layout]), texts):
+                    if at >= 0:
+                        votes[host, at, text] += 1
+                if len(votes) > 100_000:
+                    yield counted()
+                    votes.clear()
+        if votes:
+            yield counted()
+
+    ballots = voters.join(trees, "host").select("host", "layout", "texts", "tree").mapInArrow(vote, "host string, node int, text long, pages long")
+    counts = scratch.keep(ballots.groupBy("host", "node", "text").agg(F.sum("pages").alias("same")), "counts")
+    having = counts.groupBy("host", "node").agg(F.sum("same").alias("pages"))
+    often = counts.filter((F.col("same") > 1) & (F.col("text") != 0)).join(having, ["host", "node"])  # 0: no text
+    often = often.filter((F.col("same") >= F.col("pages") * SHARE) & ((F.col("pages") >= SURE_VOTES) | (F.col("same") == F.col("pages"))))
+    template = often.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("node", "text"))).alias("template"))
+    return scratch.keep(trees.join(template, "host", "left"), "wrappers")  # a host's nodes bound each list
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row."""
     scratch = Scratch(pages.sparkSession, "html")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    known = rows.join(wrappers(rows, scratch), "host", "left").select("page_id", "url", "html", "reference", "template")
+    known = rows.join(wrappers(rows, scratch), "host", "left").select("page_id", "url", "html", "tree", "template")
     schema = rows.select("page_id", "url", F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEEP)
-        trees = References()
+        known = Wrappers()
         for batch in batches:
             texts = []
             for page, raw, template in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
-                texts.append(extract(page, trees[raw] if raw else None, frozenset(template or ())))
+                texts.append(extract(page, known[raw] if raw else None, frozenset((t["node"], t["text"]) for t in template or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return known.mapInArrow(run, schema)

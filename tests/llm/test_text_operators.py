@@ -277,3 +277,22 @@ def test_very_long_sibling_lists_align_exactly(monkeypatch):
     monkeypatch.setattr(html_extraction, "TABLE_CELLS", 500)
     again, other = html_extraction.match(a, b, {})
     assert (again, len(other)) == (size, size)
+
+
+def texts_of(spark, bodies, host="h.example"):
+    rows = [(i, f"https://{host}/{i}", f"<html><body class='page postid-{i} slug-{prose(i, 1)}'>{body}</body></html>") for i, body in enumerate(bodies)]
+    return [r.text for r in html_extraction.page_table(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_template_beyond_one_page_and_in_every_layout(spark):
+    note, rights = "<div class='note'><p>Read our house rules first</p></div>", "<div class='r'><p>All rights are ours</p></div>"
+    first = [f"<div class='wrap w-{prose(i, 1)}'><div class='t'><h1>Title {i}</h1><p>{prose(i, 30)}</p></div>{note if i else ''}</div>" for i in range(6)]
+    second = [f"<table><tr><td class='x'><p>{prose(50 + i, 30)}</p></td><td class='y'>{rights}</td></tr></table>" for i in range(6)]
+    assert texts_of(spark, first + second) == [f"Title {i}\n{prose(i, 30)}" for i in range(6)] + [prose(50 + i, 30) for i in range(6)]
+
+
+def test_template_of_small_hosts(spark):
+    bodies = [f"<div class='t'><p>{prose(i, 30)}</p></div><div class='r'><p>All rights are ours</p></div>" for i in range(3)]
+    assert texts_of(spark, bodies) == [prose(i, 30) for i in range(3)]
+    assert texts_of(spark, bodies[:2]) == [prose(i, 30) for i in range(2)]
+    assert texts_of(spark, bodies[:1]) == [f"{prose(0, 30)}\nAll rights are ours"]
