@@ -5,8 +5,8 @@ and paragraphs of any number align.  Numbers in classes are not told apart.  Tre
 largest set of node pairs that keeps ancestors and the order of siblings.  All layouts of a host are united into one tree:
 each is aligned with what is there and what it has beyond that is put in; nodes of one page alone are left out.  Every page
 is then aligned with that tree and votes: a text that a node shows on at least half of the pages that have the node, and on
-two at least, is template (with fewer than four such pages, on all); a node with varying text is a slot.  Pages that say
-the same have one vote together, copies prove nothing.
+two at least, is template (with fewer than four such pages, on all); a node with varying text is a slot.  Copies prove
+nothing: pages whose main element has the same longest block have one vote together, whatever menus or adverts surround it.
 
 Of each page, nodes on template are dropped, slots are kept as content.  Slots can
 still be menus with changing links or rotating adverts, so elements that say what they are (nav, aside, footer, form and so
@@ -389,9 +389,31 @@ class Wrapper:
 
 
 def content_of(blocks: list[tuple[list[Node], list[str]]]) -> int | None:
-    """Digest of what a page says; pages that say the same have one vote together."""
-    lines = [squeeze(pieces) for _, pieces in blocks]
-    return xxhash.xxh3_64_intdigest("\n".join(lines).encode("utf-8", "replace")) - (1 << 63) if any(lines) else None
+    """Digest of the longest block in the element that holds most of the text; pages that share it are copies.
+
+    Elements that say that they are no content do not count, unless there is nothing else.
+    """
+    lines = [(holders, squeeze(pieces)) for holders, pieces in blocks]
+    lines = [(holders, line) for holders, line in lines if line]
+    lines = [(h, line) for h, line in lines if not any(x.drop or x.tag in NEVER for x in h if x.tag not in ("body", "html"))] or lines
+    if not lines:
+        return None
+    total, held, top = sum(len(line) for _, line in lines), Counter(), {}
+    for holders, line in lines:
+        for x in holders:
+            held[id(x)] += len(line)
+            top[id(x)] = x
+    # elements with over half of the text stand in each other, and a line's elements are met from the outermost on
+    main = [top[i] for i, n in held.items() if 2 * n > total][-1]
+    if main.tag in ("#page", "html", "body"):  # no element holds most: the largest below
+        below = Counter()
+        for holders, line in lines:
+            at = next((i for i, x in enumerate(holders) if x is main), -1)
+            if 0 <= at < len(holders) - 1:
+                below[id(holders[at + 1])] += len(line)
+        main = top[below.most_common(1)[0][0]] if below else main
+    longest = max((line for holders, line in lines if any(x is main for x in holders)), key=lambda line: (len(line), line))
+    return xxhash.xxh3_64_intdigest(longest.encode("utf-8", "replace")) - (1 << 63)
 
 
 def extract(page: str | None, wrapper: Wrapper | None, template: frozenset[tuple[int, int]]) -> str:

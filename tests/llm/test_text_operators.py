@@ -296,3 +296,13 @@ def test_template_of_small_hosts(spark):
     assert texts_of(spark, bodies) == [prose(i, 30) for i in range(3)]
     assert texts_of(spark, bodies[:2]) == [prose(i, 30) for i in range(2)]
     assert texts_of(spark, bodies[:1]) == [f"{prose(0, 30)}\nAll rights are ours"]
+
+
+def test_reposts_with_other_adverts_keep_their_article(spark):
+    article = f"<div class='t'><h1>Same title</h1><p>{prose(1, 40)}</p><p>{prose(2, 20)}</p></div>"
+    rights = "<div class='r'><p>All rights are ours</p></div>"
+    reposts = [f"<div class='x'><p>Buy {prose(30 + i, 4)}</p></div>{article}{rights}" for i in range(7)]
+    others = [f"<div class='x'><p>Buy {prose(60 + i, 4)}</p></div><div class='t'><h1>Title {i}</h1><p>{prose(80 + i, 40)}</p></div>{rights}" for i in range(4)]
+    got = texts_of(spark, reposts + others)
+    assert all(f"Same title\n{prose(1, 40)}\n{prose(2, 20)}" in t for t in got[:7])
+    assert not any("rights" in t for t in got)
