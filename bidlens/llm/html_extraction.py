@@ -8,10 +8,12 @@ is then aligned with that tree and votes: a text that a node shows on at least h
 two at least, is template (with fewer than four such pages, on all); a node with varying text is a slot.  Copies prove
 nothing: pages whose main element has the same longest block have one vote together, whatever menus or adverts surround it.
 
-Of each page, nodes on template are dropped, slots are kept as content.  Slots can
-still be menus with changing links or rotating adverts, so elements that say what they are (nav, aside, footer, form and so
-on, or such a class, id or role) are left out, and where a page marks its article (article, main) content lies in there.
-A host whose pages do not vote has no template; its pages are cut by these marks alone.
+Of each page, nodes on template are dropped, slots are kept as content.  Slots can still be menus with changing links or
+rotating adverts, which the wrapper can't tell: elements that say what they are (nav, aside, footer, form and so on, a role,
+or such a word in class or id) are left out.  A word does not count against an article or main with over half of the page's
+text, nor against an element with over four fifths of it that holds an article, main or h1.  Where a page marks its article
+(a single article or main that is not left out, with over half of the text that remains), blocks outside it go only if the
+wrapper doesn't have their node: on hosts without a tree, or nodes of one page alone.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line break.
 
@@ -64,24 +66,26 @@ SPEAKING = frozenset(
     "cookie cookies consent notice alert popup modal overlay subscribe newsletter signup login share sharing social related recommended comment comments "
     "replies disqus discussion respond widget toolbar pagination pager search hidden".split()
 )
+UNSEEN = 2  # hidden, or of a role that is no content
+MARKS = ("article", "main")
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 
 class Node:
     __slots__ = ("tag", "mark", "children", "blocks", "drop")
 
-    def __init__(self, tag: str, mark: str = "", drop: bool = False):
+    def __init__(self, tag: str, mark: str = "", drop: int = 0):
         self.tag, self.mark, self.drop = tag, mark, drop
         self.children: list[Node] = []
         self.blocks: list[list[str]] = []  # text of the node's own blocks, in pieces
 
 
-def attributes(raw: str) -> tuple[str, bool]:
-    """(class, whether the element says that it is no content)."""
+def attributes(raw: str) -> tuple[str, int]:
+    """(class, whether the element says that it is no content: by a word, or for certain)."""
     found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in NAMED.finditer(raw)} if raw.strip() else {}
     tokens = set(re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    drop = bool(tokens & SPEAKING) or found.get("role", "") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    return found.get("class", ""), drop
+    unseen = found.get("role", "") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    return found.get("class", ""), UNSEEN if unseen else int(bool(tokens & SPEAKING))
 
 
 def parse(page: str) -> tuple[Node, list[tuple[list[Node], list[str]]]]:
@@ -420,25 +424,53 @@ def extract(page: str | None, wrapper: Wrapper | None, template: frozenset[tuple
     if not page:
         return ""
     root, blocks = parse(page)
-    fixed: set[int] = set()
-    if wrapper is not None and template:
-        shape = shape_of(root)
-        for at, p in zip(wrapper.places(shape), numbered(shape)):
+    fixed, judged = aligned(root, wrapper, template) if wrapper is not None and template else (set(), None)
+    lines = [(holders, squeeze(pieces)) for holders, pieces in blocks if id(holders[-1]) not in fixed]
+    lines = [(h, line) for h, line in lines if line and not any(x.tag in NEVER or x.drop == UNSEEN and x.tag not in ("body", "html") for x in h)]
+    total, held, titled = 0, Counter(), set()
+    for holders, line in lines:
+        total += len(line)
+        title = max((i for i, x in enumerate(holders) if x.tag in MARKS or x.tag == "h1"), default=-1)
+        for i, x in enumerate(holders):
+            if x.drop or x.tag in MARKS:
+                held[id(x)] += len(line)
+                if i <= title:
+                    titled.add(id(x))
+
+    def left_out(holders: list[Node]) -> bool:
+        inside = next((i for i, x in enumerate(holders) if x.tag in MARKS), len(holders))
+        for i, x in enumerate(holders):
+            if x.drop and x.tag not in ("body", "html"):
+                # a word in a class says nothing against what holds the page's text
+                if not (2 * held[id(x)] > total if x.tag in MARKS else id(x) in titled and 5 * held[id(x)] > 4 * total):
+                    return True
+            if x.tag == "header" and not (holders[-1].tag in HEADINGS and i > inside):
+                return True
+        return False
+
+    lines = [(holders, line) for holders, line in lines if not left_out(holders)]
+    marks = {id(x): x for holders, _ in lines for x in [next((x for x in holders if x.tag in MARKS), None)] if x is not None}
+    if len(marks) == 1:
+        mark = next(iter(marks))
+        within = [any(id(x) == mark for x in holders) for holders, _ in lines]
+        if not all(within) and 2 * sum(len(line) for (_, line), w in zip(lines, within) if w) > sum(len(line) for _, line in lines):
+            if judged is None:
+                judged = aligned(root, wrapper, template)[1] if wrapper is not None else set()
+            lines = [(holders, line) for (holders, line), w in zip(lines, within) if w or id(holders[-1]) in judged]
+    return "\n".join(line for _, line in lines)
+
+
+def aligned(root: Node, wrapper: Wrapper, template: frozenset[tuple[int, int]]) -> tuple[set[int], set[int]]:
+    """Nodes on template, and all nodes that the wrapper has."""
+    shape = shape_of(root)
+    fixed, judged = set(), set()
+    for at, p in zip(wrapper.places(shape), numbered(shape)):
+        if at >= 0:
+            ids = [id(node) for node in p.nodes]
+            judged.update(ids)
             if (at, p.text) in template:
-                fixed.update(id(node) for node in p.nodes)
-    marked = any(any(x.tag in ("article", "main") for x in holders) for holders, _ in blocks)
-    out = []
-    for holders, pieces in blocks:
-        inside = next((i for i, x in enumerate(holders) if x.tag in ("article", "main")), None)
-        if marked and inside is None or id(holders[-1]) in fixed:
-            continue
-        heading = holders[-1].tag in HEADINGS
-        if any(x.drop or x.tag in NEVER or x.tag == "header" and not (heading and inside is not None and i > inside) for i, x in enumerate(holders) if x.tag not in ("body", "html", "article", "main")):
-            continue
-        line = squeeze(pieces)
-        if line:
-            out.append(line)
-    return "\n".join(out)
+                fixed.update(ids)
+    return fixed, judged
 
 
 def host_of(url: Column) -> Column:

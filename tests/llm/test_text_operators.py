@@ -306,3 +306,17 @@ def test_reposts_with_other_adverts_keep_their_article(spark):
     got = texts_of(spark, reposts + others)
     assert all(f"Same title\n{prose(1, 40)}\n{prose(2, 20)}" in t for t in got[:7])
     assert not any("rights" in t for t in got)
+
+
+def test_wrapper_decides_before_marks(spark):
+    teaser = lambda i: "".join(f"<article class=card><p>See {prose(40 + 3 * i + k, 3)}</p></article>" for k in range(1))
+    comment = lambda i: f"<article class=comment-body><p>reader {i}</p></article>"
+    bodies = [f"<div class='t'><h1>Title {i}</h1><p>{prose(i, 30)}</p></div>{teaser(i)}{comment(i)}<div class='r'><p>All rights are ours</p></div>" for i in range(6)]
+    got = texts_of(spark, bodies)
+    assert all(t.startswith(f"Title {i}\n{prose(i, 30)}") and "reader" not in t and "rights" not in t for i, t in enumerate(got))
+    # text beside a marked article is a slot of the wrapper; a page alone keeps to the mark
+    bodies = [f"<article><p>{prose(i, 30)}</p></article><div class='more'><p>Part two {prose(200 + i, 9)}</p></div>" for i in range(4)]
+    assert texts_of(spark, bodies) == [f"{prose(i, 30)}\nPart two {prose(200 + i, 9)}" for i in range(4)]
+    assert texts_of(spark, bodies[:1]) == [prose(0, 30)]
+    # a word in a class says nothing against the element that holds the text
+    assert texts_of(spark, [f"<div class='no-sidebar'><h1>Title</h1><p>{prose(1, 30)}</p></div><div class='ad'>Buy</div>"]) == [f"Title\n{prose(1, 30)}"]
