@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-For every size that a benchmark item has (in words), windows of that size slide over the whole text.  A window's fingerprint
+For every size that a benchmark item has (in words), windows of that size slide over the whole text; a text with fewer
+words is one window.  A window's fingerprint
 is the SimHash (64 bits) of its 5-word shingles, weighted by how often they occur in it.  Fingerprints of items stand in a
 multi-index: eight blocks of eight bits.  Two fingerprints within ``RADIUS`` differ by at most RADIUS // 8 bits in some
 block, so that looking up, for each block, all values that near finds every item within the radius.  Candidates are then
@@ -10,7 +11,8 @@ A window can only reach the threshold if that share of an item's shingle weight
 in any item tells where this holds, and only there windows are fingerprinted: it loses nothing.
 
 Words are lower-cased (A-Z).  Items with fewer than five words are one shingle.  Items of more than ``ITEM_CHARS``
-characters together are taken in several passes over the documents, so what executors get is bounded.
+characters together are taken in several passes over the documents, one after the other, so what executors and the driver
+hold is bounded.
 
 Null and empty texts hold no item, null and empty items are in no text; items with the same text are each reported.
 Repeated rows are judged each.  Columns other than ids and texts are not looked at.
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.llm.shingles import WordDigests, grams, words_of
+from bidlens.llm.tables import Scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -106,10 +109,11 @@ class Index:
             in_items[in_items] = self.known[k][np.minimum(at, len(self.known[k]) - 1)] == found
             total = np.append(0, np.cumsum(in_items))
             for index in self.sizes:
-                n = index.size - k + 1
-                if min(index.size, SHINGLE) != k or len(shingles) < n or total[-1] < THRESHOLD * n:
+                of_size = index.size - k + 1
+                if min(index.size, SHINGLE) != k or total[-1] < THRESHOLD * of_size:
                     continue
-                at = np.flatnonzero(total[n:] - total[:-n] >= THRESHOLD * n)
+                n = min(of_size, len(shingles))  # a text shorter than the item is one window
+                at = np.flatnonzero(total[n:] - total[:-n] >= THRESHOLD * of_size)
                 for part in range(0, len(at), 4096):
                     starts = at[part:part + 4096]
                     rows = np.lib.stride_tricks.sliding_window_view(shingles, n)[starts]
@@ -117,21 +121,23 @@ class Index:
                         item_id, of_item = index.items[item]
                         alike = similarity(weights(rows[window]), of_item)
                         if alike >= THRESHOLD and (item_id not in best or alike > best[item_id]["similarity"]):
-                            best[item_id] = {"item_id": item_id, "start": int(starts[window]), "n_words": index.size, "similarity": alike}
+                            best[item_id] = {"item_id": item_id, "start": int(starts[window]), "n_words": min(index.size, len(words)), "similarity": alike}
         return [best[i] for i in sorted(best)]
 
 
 HITS = "array<struct<item_id: long, start: long, n_words: int, similarity: double>>"
 
 
-def indexes(benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> list[Index]:
-    """Items in groups of about ``item_chars`` characters; one group unless the benchmark is larger."""
+def indexes(benchmark: DataFrame, item_chars: int = ITEM_CHARS) -> Iterator[tuple[Index, bool]]:
+    """Items in groups of about ``item_chars`` characters, one after the other, and whether it is the last; one group unless
+    the benchmark is larger."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups = int(total // item_chars) + 1
     part = F.pmod(F.xxhash64("item_id"), F.lit(groups))
-    return [Index([tuple(r) for r in items.filter(part == g).orderBy("item_id", "text").collect()]) for g in range(groups)]
+    for g in range(groups):
+        yield Index([tuple(r) for r in items.filter(part == g).orderBy("item_id", "text").collect()]), g == groups - 1
 
 
 def held_items(index: Index, text: str | Column = "text") -> Column:
@@ -149,15 +155,24 @@ def held_items(index: Index, text: str | Column = "text") -> Column:
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): every item that a document holds, with its best window."""
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = None
-    for index in indexes(benchmark):
+    scratch, out, n = Scratch(documents.sparkSession, "decontamination"), None, 0
+    for index, last in indexes(benchmark):
         part = texts.select("doc_id", F.explode(held_items(index)).alias("hit")).select("doc_id", "hit.*")
-        out = part if out is None else out.unionByName(part)
+        part = part if last else scratch.keep(part, f"hits-{n}")  # the driver forgets an index before it makes the next
+        out, n = part if out is None else out.unionByName(part), n + 1
+        del index, part
     return out
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows whose text holds no item; all columns as they are."""
-    for index in indexes(benchmark):
+    scratch, n = Scratch(documents.sparkSession, "decontamination"), 0
+    for index, last in indexes(benchmark):
         documents = documents.filter(F.size(held_items(index, F.col("text").cast("string"))) == 0)
+        if not last:
+            documents = scratch.keep(documents, f"left-{n}")
+            if n:
+                scratch.drop(f"left-{n - 1}")
+        n += 1
+        del index
     return documents

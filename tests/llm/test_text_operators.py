@@ -320,3 +320,17 @@ def test_wrapper_decides_before_marks(spark):
     assert texts_of(spark, bodies[:1]) == [prose(0, 30)]
     # a word in a class says nothing against the element that holds the text
     assert texts_of(spark, [f"<div class='no-sidebar'><h1>Title</h1><p>{prose(1, 30)}</p></div><div class='ad'>Buy</div>"]) == [f"Title\n{prose(1, 30)}"]
+
+
+def test_texts_shorter_than_an_item(spark, monkeypatch):
+    item = prose(77, 40).split()
+    texts = [" ".join(item[:-1]), " ".join(item[1:]), " ".join(item[:33]), " ".join(item[:32]), " ".join(item[:20]), " ".join(item[:3]), " ".join(item)]
+    frame = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    items = spark.createDataFrame([(1, " ".join(item)), (2, prose(78, 40)), (3, prose(79, 7))], "item_id long, text string")
+    want = {0: 35 / 36, 1: 35 / 36, 2: 29 / 36, 6: 1.0}
+    for chars in (decontamination.ITEM_CHARS, 100):
+        monkeypatch.setattr(decontamination.indexes, "__defaults__", (chars,))
+        got = decontamination.contamination(frame, items).collect()
+        assert {r.doc_id: r.similarity for r in got} == pytest.approx(want) and {r.item_id for r in got} == {1}
+        assert {r.doc_id: r.n_words for r in got} == {0: 39, 1: 39, 2: 33, 6: 40}
+        assert {r.doc_id for r in decontamination.decontaminated(frame, items).collect()} == {3, 4, 5}
