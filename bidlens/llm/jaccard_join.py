@@ -210,10 +210,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b").distinct()
 
 
-def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def prepared(documents: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple:
+    """What the join starts from: texts, levels, bits of a bitmap, all rows, rows with shingles, classes, and places of shared tokens."""
     spark = documents.sparkSession
-    scratch = Scratch(spark, "jaccard")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = rows.filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     count = rows.select("doc_id").count()
@@ -231,6 +230,41 @@ def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> D
     places = classes.select(F.col("rep").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
     shared = places.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1").select("token")
     met = scratch.keep(places.join(shared, "token"), "met")
+    return texts, levels, wide, every, known, classes, met
+
+
+def links(documents: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """Every pair of different sets at or above the threshold, as (a, b) with a < b, and (doc_id, rep): the class of each text.
+
+    A pair names the two classes' smallest ids; texts of one class are linked with each other.  Every candidate is verified,
+    also within a component, so the work grows with the pairs of different texts that share a prefix token.  An id with
+    several texts is a member of the class of each.
+    """
+    scratch = Scratch(documents.sparkSession, "links")
+    texts, levels, wide, _, known, classes, met = prepared(documents, size, percent, scratch)
+    side = lambda x: met.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "pos")])
+    met_twice = side("a").join(side("b"), "token").filter(
+        (F.col("id_a") < F.col("id_b")) & reachable(percent, F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
+    )
+    pairs = scratch.keep(met_twice.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "candidates")
+    sets = scratch.keep(sets_of(pairs, None, texts, levels, size, percent, wide), "sets")
+    members = known.select("doc_id", "sig_a", "sig_b").distinct().join(classes.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).select("doc_id", "rep")
+    return scratch.keep(verified(pairs, sets, percent), "links"), scratch.keep(members, "members")
+
+
+def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, n_links) of every id with shingles: linked texts of other classes and the others of its own; an id with several texts has the links of each."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
+    ways = pairs.union(pairs.select("b", "a")).toDF("rep", "other")
+    linked = ways.join(sizes.toDF("other", "n"), "other").groupBy("rep").agg(F.sum("n").alias("n"))
+    each = sizes.join(linked, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return members.join(each, "rep").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def near_components(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    scratch = Scratch(documents.sparkSession, "jaccard")
+    texts, levels, wide, every, known, classes, met = prepared(documents, size, percent, scratch)
 
     hubs = met.groupBy("token").agg(F.min(F.struct("pos", "n", "id")).alias("hub"))
     near = met.join(hubs, "token").filter((F.col("id") != F.col("hub.id")) & reachable(percent, F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))

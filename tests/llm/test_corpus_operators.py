@@ -179,3 +179,24 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
 def test_pipeline_of_empty_tables(spark, tmp_path):
     folder = written(spark, tmp_path / "t", [], [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+# ---- links of the Jaccard join ------------------------------------------------------------------------------
+@pytest.mark.parametrize("percent", [90])
+def test_links_against_brute_force(spark, percent):
+    rnd, rows = random.Random(4), []
+    for family in range(4):
+        base = prose(300 + family, 150).split()
+        for copy in range(20):
+            words = list(base)
+            for _ in range(rnd.randrange(4)):
+                words[rnd.randrange(len(words))] = f"e{rnd.randrange(9)}"
+            rows.append((family * 100 + copy, " ".join(words)))
+    sets = {i: frozenset(zip(t.split(), t.split()[1:], t.split()[2:])) for i, t in rows}
+    near = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    pairs, members = jaccard_join.links(documents(spark, [(i, t, "en", "a") for i, t in rows]), 3, percent)
+    rep = {r.doc_id: r.rep for r in members.collect()}
+    assert rep == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    assert {tuple(r) for r in pairs.collect()} == {(a, b) for a, b in near if rep[a] == a and rep[b] == b and sets[a] != sets[b]}
+    counts = collections.Counter(i for pair in near for i in pair)
+    assert {r.doc_id: r.n_links for r in jaccard_join.link_counts(pairs, members).collect()} == {i: counts[i] for i in sets}
