@@ -109,10 +109,12 @@ def pattern_value(text: Column, pattern: str) -> Column:
     return tx.clean_text(F.regexp_extract(text, "(?i)" + pattern, 1))
 
 
-_NUMBER = r"\s*[:：]?\s*([0-9]{3}\s*[-]?\s*[0-9]{2}\s*[-]?\s*[0-9]{5})"
+def words_pattern(words, shape: str) -> str:
+    """Any of the words, a colon at will, and what has the shape; blanks of a word may be missing or more."""
+    return f"(?:{'|'.join(w.replace(' ', r'\s*') for w in words)})" + rf"\s*[:：]?\s*({shape})"
 
 
-def _field(key: str, value: Column, sure: float, source: Column | None = None, when: Column | None = None) -> Column:
+def field(key: str, value: Column, sure: float, source: Column | None = None, when: Column | None = None) -> Column:
     cleaned = tx.clean_value(value)
     row = F.struct(
         F.lit(key).alias("field_key"), F.lit(et.FIELD_LABELS[key]).alias("field_label"), cleaned.alias("extracted_value"),
@@ -121,8 +123,8 @@ def _field(key: str, value: Column, sure: float, source: Column | None = None, w
     return row if when is None else F.when(when, row)
 
 
-def _explode_fields(rows: DataFrame, fields: list[Column]) -> DataFrame:
-    """One row per filled field; a (field, value) of a document counts once, at its first place."""
+def explode_fields(rows: DataFrame, fields: list[Column] | Column) -> DataFrame:
+    """One row per filled field (rows of ``field``); a (field, value) of a document counts once, at its first place."""
     def keep(listed):
         keys = F.transform(listed, lambda f: F.concat_ws("\x01", f["field_key"], f["extracted_value"]))
         return tx.let(
@@ -132,7 +134,7 @@ def _explode_fields(rows: DataFrame, fields: list[Column]) -> DataFrame:
             ),
         )
 
-    listed = tx.let(F.array_compact(F.array(*fields)), keep)
+    listed = tx.let(fields if isinstance(fields, Column) else F.array_compact(F.array(*fields)), keep)
     return rows.select("evidence_id", F.posexplode(listed).alias("pos", "f")).select("evidence_id", "pos", "f.*")
 
 
@@ -155,39 +157,29 @@ def registration_fields(documents: DataFrame) -> DataFrame:
     category = F.concat_ws(
         " / ", F.when(F.col("kind") != "", F.concat(F.lit("업태: "), "kind")), F.when(F.col("item") != "", F.concat(F.lit("종목: "), "item"))
     )
-    number = pattern_value(text, r"(?:사업자\s*등록\s*번호|등록\s*번호)" + _NUMBER)
-    corporate = pattern_value(text, r"법인\s*등록\s*번호\s*[:：]?\s*([0-9]{6}\s*[-]?\s*[0-9]{7})")
-    return _explode_fields(
+    number = pattern_value(text, words_pattern(("사업자 등록 번호", "등록 번호"), et.NUMBER_SHAPE))
+    corporate = pattern_value(text, words_pattern(("법인 등록 번호",), r"[0-9]{6}\s*[-]?\s*[0-9]{7}"))
+    return explode_fields(
         rows,
         [
-            _field("business_registration_number", tx.registration_number(number), 0.96),
-            _field("corporate_registration_number", tx.registration_number(corporate), 0.94),
-            _field("name", value_after_label(lines, ["법인명", "상호"]), 0.9),
-            _field("representative_name", value_after_label(lines, ["대표자"]), 0.9),
-            _field("opening_date", tx.date_normalize(F.col("opened")), 0.88, F.col("opened")),
-            _field("business_address", F.col("address"), 0.86), _field("headquarters_address", F.col("head_address"), 0.84),
-            _field("region", tx.region_derive(F.col("where_")), 0.72, F.col("where_")), _field("business_type", F.col("kind"), 0.78),
-            _field("business_item", F.col("item"), 0.72), _field("business_category", category, 0.7),
+            field("business_registration_number", tx.registration_number(number), 0.96),
+            field("corporate_registration_number", tx.registration_number(corporate), 0.94),
+            field("name", value_after_label(lines, ["법인명", "상호"]), 0.9),
+            field("representative_name", value_after_label(lines, ["대표자"]), 0.9),
+            field("opening_date", tx.date_normalize(F.col("opened")), 0.88, F.col("opened")),
+            field("business_address", F.col("address"), 0.86), field("headquarters_address", F.col("head_address"), 0.84),
+            field("region", tx.region_derive(F.col("where_")), 0.72, F.col("where_")), field("business_type", F.col("kind"), 0.78),
+            field("business_item", F.col("item"), 0.72), field("business_category", category, 0.7),
         ],
     )
 
 
-def _json(values: Column) -> Column:
+def json_text(values: Column) -> Column:
     kept = tx.ordered_distinct(F.transform(values, tx.clean_value))
     quoted = F.transform(kept, lambda v: F.concat(F.lit('"'), F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def _subject(lines: Column, text: Column, kind: str, labels) -> Column:
-    tries = [
-        F.nullif(strip_after(value_after_label(lines, [label]), ["유효기간", "인증기간", "등록일", "발급일", "권리자"]), F.lit(""))
-        for label in labels
-    ]
-    if kind in et.SUBJECT_PATTERNS:
-        tries.append(F.nullif(tx.clean_value(pattern_value(text, et.SUBJECT_PATTERNS[kind])), F.lit("")))
-    return F.coalesce(*tries, F.lit(""))
-
-
 def payment_status(text: Column, kind: Column) -> Column:
     prefix = F.when(F.lit(False), F.lit(""))
     for name, shown in et.PAYMENT_PREFIX.items():
@@ -201,95 +193,6 @@ def payment_status(text: Column, kind: Column) -> Column:
     )
 
 
-def certificate_fields(documents: DataFrame, kinds=None) -> DataFrame:
-    """Candidate fields of the other certificate types (evidence_id, text, document_type).
-
-    Each type reads a handful of labels.  ``kinds`` narrows the plan to the types a job holds.
-    """
-    kinds = [k for k in (kinds or et.KINDS) if k not in et.REGISTRATION_KINDS]
-    text, kind, lines = F.col("text"), F.col("document_type"), F.col("lines")
-    rows = documents.filter(kind.isin(*kinds)).withColumn("text", tx.evidence_normalize(text)).withColumn("lines", F.split("text", "\n"))
-
-    def by_kind(choose):
-        out = F.when(F.lit(False), F.lit(""))
-        for name in kinds:
-            value = choose(name)
-            if value is not None:
-                out = out.when(kind == name, value)
-        return out.otherwise("")
-
-    number = pattern_value(text, r"(?:사업자\s*등록\s*번호|사업자번호|등록\s*번호)" + _NUMBER)
-    day = r"\d{4}[.\-/년]\s*\d{1,2}[.\-/월]\s*\d{1,2}"
-    period = F.coalesce(
-        F.nullif(value_after_label(lines, ["유효기간", "확인유효기간"]), F.lit("")), pattern_value(text, f"({day}.*?{day})")
-    )
-    grade = F.upper(pattern_value(text, r"(?:신용평가등급|기업신용등급|신용등급|평가등급)\s*[:：]?\s*([A-D][A-D]?[+\-0]?)"))
-    size = F.coalesce(*[F.when(tx.space_compact(text).contains(w), w) for w in et.COMPANY_SIZES], F.lit(""))
-    items = F.flatten(
-        F.array(
-            *[
-                F.filter(
-                    F.transform(F.split(strip_after(value_after_label(lines, [x]), ["유효기간", "확인번호", "발급"]), SEPARATORS), tx.clean_value),
-                    lambda v: v != "",
-                )
-                for x in ("세부품명", "제품명", "품명", "물품분류명")
-            ]
-        )
-    )
-    license_text = F.coalesce(
-        *[F.nullif(value_after_label(lines, [x]), F.lit("")) for x in et.LICENSE_LABELS],
-        *[F.when(text.contains(w), w) for w in et.LICENSE_TOKENS], F.lit(""),
-    )
-    performance = F.concat_ws(
-        " / ",
-        *[
-            F.nullif(value_after_label(lines, names), F.lit(""))
-            for names in (["사업명", "계약명", "용역명", "공사명"], ["계약금액", "실적금액", "금액"], ["수행기간", "계약기간", "납품기간"])
-        ],
-    )
-    year = pattern_value(text, r"(?:사업연도|귀속연도|회계연도)\s*[:：]?\s*([0-9]{4})")
-
-    def is_(name):
-        return kind == name
-
-    def summary(name):
-        spec = et.KINDS[name]
-        if not spec.subject:
-            return None
-        subject = _subject(lines, text, name, spec.subject)
-        return F.when(subject != "", F.concat(F.lit(spec.certification + ": "), subject)).otherwise(spec.certification)
-
-    graded = F.when(grade != "", F.concat(F.lit("기업신용평가등급 "), grade)).otherwise("기업신용평가등급확인서")
-    year_text = F.when(year != "", F.concat(F.lit("재무/매출 증빙 "), year)).otherwise("재무/매출 증빙")
-    certs, tags = by_kind(lambda k: F.lit(et.KINDS[k].certification)), by_kind(lambda k: F.lit(et.KINDS[k].tag))
-    fields = [
-        _field("business_registration_number", tx.registration_number(number), 0.94),
-        _field("name", value_after_label(lines, ["법인명", "기업명", "업체명", "상호", "회사명"]), 0.84),
-        _field("representative_name", value_after_label(lines, ["대표자", "대표자명"]), 0.8),
-        _field("certifications_json", _json(F.array(certs)), 0.86, certs, certs != ""),
-        _field("preference_tags_json", _json(F.array(tags)), 0.86, tags, tags != ""),
-        _field("evidence_expiry_summary", period, 0.72),
-        _field("company_size_classification", size, 0.88, None, is_("small_business_confirmation")),
-        _field("direct_production_items_json", _json(items), 0.86, F.array_join(items, ", "), is_("direct_production_confirmation") & (F.size(items) > 0)),
-        _field("business_item", F.array_join(F.array_distinct(items), ", "), 0.68, None, is_("direct_production_confirmation") & (F.size(items) > 0)),
-        _field("procurement_registration_status", F.lit("registered"), 0.86, None, is_("procurement_registration_certificate")),
-        _field(
-            "license_summary", value_after_label(lines, ["등록업종", "입찰참가자격", "업종", "물품분류"], True), 0.74, None,
-            is_("procurement_registration_certificate"),
-        ),
-        _field("license_summary", license_text, 0.82, None, is_("license_registration_certificate")),
-        _field("certifications_json", _json(F.array(license_text)), 0.72, None, is_("license_registration_certificate") & (license_text != "")),
-        _field("certifications_json", _json(F.array(graded)), 0.84, graded, is_("credit_rating_certificate")),
-        _field("license_summary", graded, 0.72, graded, is_("credit_rating_certificate")),
-        _field("license_summary", F.coalesce(F.nullif(performance, F.lit("")), F.lit("실적증명서")), 0.74, None, is_("performance_certificate")),
-        _field("license_summary", payment_status(text, kind), 0.74, None, kind.isin(*et.PAYMENT_PREFIX)),
-        _field("license_summary", year_text, 0.7, None, is_("financial_statement_certificate")),
-        _field("license_summary", by_kind(summary), 0.74),
-        _field("business_item", by_kind(lambda k: _subject(lines, text, k, et.KINDS[k].item) if et.KINDS[k].item else None), 0.68),
-    ]
-    return _explode_fields(rows, fields)
-
-
 # ---- the kind-of-business section ----------------------------------------------------------------------------
 def _kind_clean(line: Column) -> Column:
     out = F.regexp_replace(tx.clean_value(line), r"^\(?별지\s*출력\)?$", "")
@@ -401,7 +304,8 @@ def kind_pair(lines: Column) -> Column:
 
 
 def given_kind_values(types: Column, items: Column) -> Column:
-    """struct(types, items) from given lists: kinds found in either list are types, the rest are items."""
+    """struct(types, items) from given lists: kinds found in either list are types, the rest are items; null lists are empty."""
+    types, items = (F.coalesce(given, tx.str_array([])) for given in (types, items))
     typed = F.transform(_merge_fragments(_rejoin(types)), _leading_kind)
     other = F.transform(_merge_fragments(_rejoin(items)), _leading_kind)
 
@@ -461,7 +365,7 @@ def apply_candidates(companies: DataFrame, documents: DataFrame, accepted: DataF
         new, old = F.col(f"new_{f}"), F.col(f"old_{f}")
         if f in listed:
             both = tx.json_list_merge(F.when(linked, old).otherwise(F.lit("")), new)
-            return F.when(new.isNotNull(), _json(both)).otherwise(old)
+            return F.when(new.isNotNull(), json_text(both)).otherwise(old)
         plain = tx.registration_number(new) if f == "business_registration_number" else tx.clean_text(new)
         return F.when(new.isNotNull(), plain).otherwise(old)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from bidlens.functions import evidence_types as et
 from bidlens.functions import fixed_values as fv
+from bidlens.operators import certificates as ce
 from bidlens.operators import evidence as ev
 from bidlens.plans import sql as q
 from bidlens.plans.matching_queries import COMPANIES, EVIDENCE
 from bidlens.plans.registry import query
-from bidlens.session import materialize
 
 _NUM = "lpad(c_custkey::VARCHAR, 10, '1')"
 _HEADS = {
@@ -92,17 +94,140 @@ def _(t):
     return rows.select("evidence_id", "document_type", F.col("classification_confidence").alias("confidence"))
 
 
+# ---- a text for every kind, from supplier columns: labels as they are, labels with spaced letters, and hardly any labels
+_TITLES = {
+    "license_registration_certificate": "전기공사업 등록증", "procurement_registration_certificate": "조달청 경쟁입찰참가자격등록증",
+    "special_business_license": "건강기능식품영업신고증", "financial_statement_certificate": "표준재무제표증명", "innobiz_confirmation": "Inno-Biz 확인서",
+}
+_EXTRA = {
+    "small_business_confirmation": ["기업규모 : 소 기업"], "credit_rating_certificate": ["신용평가등급 : b+"], "tax_payment_certificate": ["체납액 없음"],
+    "local_tax_payment_certificate": ["체 납 {n}건"], "insurance_payment_certificate": ["4대보험 완 납"], "financial_statement_certificate": ["사업연도 : 2025"],
+}
+
+
+def _spaced(label: str) -> str:
+    return " ".join(label.replace(" ", ""))
+
+
+def kind_texts() -> list[tuple[int, str]]:
+    """(number, text with {name}, {nation}, {n}): three texts a kind."""
+    out = []
+    for name, kind in et.KINDS.items():
+        own = list(dict.fromkeys(label for slot in et.SLOTS if name in slot.kinds for label in slot.labels))
+        title = _TITLES.get(name, kind.label)
+        common = ["기업명(단체) : 회사 {name}", "사업자등록번호 : 1{n}", "대 표 자 명: {nation} 님"]
+        lines = [f"{label} : {label[:1]}{i} {{nation}}, 둘 {{n}} 유효기간 2026.01.0{i + 1}" for i, label in enumerate(own)]
+        out.append([title, *common, *_EXTRA.get(name, []), *lines, "  다음 줄 {n}", "유효기간 : 2026.01.01 ~ 2026.12.31"])
+        lines = [f"{_spaced(label)} (비고) :\t {{nation}} / {i}번 등 록 일 2020" for i, label in enumerate(own[1:])]
+        out.append([title, *reversed(lines), "이어짐 {nation}", *_EXTRA.get(name, []), *common, "2026.01.01 부터 2026. 3. 5 까지"])
+        words = et.SUBJECT_WORDS.get(name, ("기타",))
+        out.append([title, f"아래 {words[-1].replace(' ', '  ')}: 것 {{n}}", "등급 C0"])
+    return [(n, "\n".join(lines)) for n, lines in enumerate(out)]
+
+
+_TEXTS = kind_texts()
+_N = len(_TEXTS)
+
+
+def _text_rows() -> str:
+    return ", ".join(f"({n}, {_sql_text(text)})" for n, text in _TEXTS)
+
+
+ALL_CERTS = f"""{CERTS}, tpl(no, body) AS (VALUES {_text_rows()}),
+ca AS (SELECT evidence_id, raw, text, file_name, requested_type FROM ce UNION ALL
+  SELECT id, raw, {q.evidence_normalize('raw')}, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'scan' || id || '.pdf' END, CASE WHEN s_suppkey % 11 = 0 THEN 'performance_certificate' WHEN s_suppkey % 13 = 0 THEN 'strange_kind' ELSE 'auto' END
+  FROM (SELECT s_suppkey, -1 - s_suppkey AS id, replace(replace(replace(body, '{{name}}', s_name), '{{nation}}', n_name), '{{n}}', lpad(s_suppkey::VARCHAR, 9, '2')) AS raw
+    FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN tpl ON no = s_suppkey % {_N}))"""
+
+
+def all_certificates(t):
+    """The certificates of ``certificates`` and, under negative ids, one of every kind in turn for the suppliers."""
+    table = F.from_json(F.lit(json.dumps({str(n): text for n, text in _TEXTS}, ensure_ascii=False)), "map<string,string>")
+    key = F.col("s_suppkey")
+    body = F.element_at(table, (key % _N).cast("string"))
+    for mark, value in (("{name}", F.col("s_name")), ("{nation}", F.col("n_name")), ("{n}", F.lpad(key.cast("string"), 9, "2"))):
+        body = F.replace(body, F.lit(mark), value)
+    more = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+        (-1 - key).alias("evidence_id"), body.alias("text"),
+        F.when(key % 5 != 0, F.concat(F.lit("scan"), (-1 - key).cast("string"), F.lit(".pdf"))).alias("file_name"),
+        F.when(key % 11 == 0, "performance_certificate").when(key % 13 == 0, "strange_kind").otherwise("auto").alias("requested_type"),
+    )
+    return certificates(t).drop("company_id").unionByName(more)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(q.s(v) if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+
+
+_JOINED = f"array_to_string(list_filter([{q.clean('own')}] || CASE WHEN NOT continued OR one IS NULL OR s1 THEN [] WHEN two IS NULL OR s2 THEN [{q.clean('one')}] ELSE [{q.clean('one')}, {q.clean('two')}] END, lambda z: z <> ''), ' ')"
+_STOPS = lambda x: q.contains_any(q.space_compact(x), et.STOP_LABELS)
+_SUBJECT_SQL = "CASE kind " + " ".join(f"WHEN {q.s(k)} THEN regexp_extract(text, {q.s('(?i)' + ev.words_pattern(w, et.SUBJECT_SHAPE))}, 1)" for k, w in et.SUBJECT_WORDS.items()) + " ELSE '' END"
+_FOUND = lambda words, shape: f"regexp_extract(text, {q.s('(?i)' + ev.words_pattern(words, shape))}, 1)"
+_MAPPED = lambda name, kinds: "CASE kind " + " ".join(f"WHEN {q.s(k)} THEN {q.s(getattr(v, name))}" for k, v in kinds.items()) + " ELSE '' END"
+_OTHER = {k: v for k, v in et.KINDS.items() if k not in et.REGISTRATION_KINDS}
+_TAG_SQL = f"CASE WHEN {_MAPPED('tag', _OTHER)} <> '' THEN '[\"' || {_MAPPED('tag', _OTHER)} || '\"]' ELSE '' END"
+_SIZE_SQL = "CASE WHEN kind = 'small_business_confirmation' THEN CASE " + " ".join(f"WHEN contains({q.space_compact('text')}, {q.s(w)}) THEN {q.s(w)}" for w in et.COMPANY_SIZES) + " ELSE '' END ELSE '' END"
+
+
+def _fields_sql() -> str:
+    """CTEs that read the texts line by line and end in ``fields`` (evidence_id, field_key, extracted_value)."""
+    rows = [tuple(r[k] for k in ("key", "pattern", "kind", "slot", "turn", "place", "continued", "ends")) for r in ce.label_rows()]
+    license_text = "coalesce(nullif(license, ''), CASE WHEN kind = 'license_registration_certificate' THEN CASE " + " ".join(f"WHEN contains(text, {q.s(w)}) THEN {q.s(w)}" for w in et.LICENSE_TOKENS) + " ELSE '' END ELSE '' END)"
+    pay = f"CASE WHEN {q.contains_any(q.space_compact('text'), et.PAYMENT_CLEAR)} THEN ': 체납 없음' WHEN contains({q.space_compact('text')}, '체납') THEN ': 체납 확인 필요' ELSE ': 확인 필요' END"
+    pays = "CASE kind " + " ".join(f"WHEN {q.s(k)} THEN {q.s(v)} || {pay}" for k, v in et.PAYMENT_PREFIX.items()) + " ELSE '' END"
+    graded = "CASE WHEN grade <> '' THEN '기업신용평가등급 ' || grade ELSE '기업신용평가등급확인서' END"
+    subject = "coalesce(nullif(subject, ''), subject_text)"
+    said = _MAPPED("certification", {k: v for k, v in _OTHER.items() if v.subject})
+    listed = [
+        ("name", "name"), ("representative_name", "representative"), ("evidence_expiry_summary", "coalesce(nullif(period, ''), days)"),
+        ("business_registration_number", "CASE WHEN length(number) = 10 THEN number[1:3] || '-' || number[4:5] || '-' || number[6:10] ELSE number END"),
+        ("certifications_json", f"CASE WHEN {_MAPPED('certification', _OTHER)} <> '' THEN '[\"' || {_MAPPED('certification', _OTHER)} || '\"]' ELSE '' END"),
+        ("preference_tags_json", _TAG_SQL), ("company_size_classification", _SIZE_SQL),
+        ("procurement_registration_status", "CASE WHEN kind = 'procurement_registration_certificate' THEN 'registered' ELSE '' END"), ("license_summary", "qualification"), ("license_summary", license_text),
+        ("certifications_json", f"CASE WHEN {license_text} <> '' THEN '[\"' || {q.clean_value(license_text)} || '\"]' ELSE '' END"),
+        ("certifications_json", f"CASE WHEN kind = 'credit_rating_certificate' THEN '[\"' || {graded} || '\"]' ELSE '' END"),
+        ("license_summary", f"CASE WHEN kind = 'credit_rating_certificate' THEN {graded} ELSE '' END"),
+        ("license_summary", "CASE WHEN kind = 'performance_certificate' THEN coalesce(nullif(array_to_string(list_filter([project, amount, term], lambda z: z <> ''), ' / '), ''), '실적증명서') ELSE '' END"),
+        ("license_summary", pays), ("license_summary", "CASE WHEN kind = 'financial_statement_certificate' THEN '재무/매출 증빙' || CASE WHEN year <> '' THEN ' ' || year ELSE '' END ELSE '' END"),
+        ("license_summary", f"CASE WHEN {said} <> '' THEN {said} || CASE WHEN {subject} <> '' THEN ': ' || {subject} ELSE '' END ELSE '' END"),
+        ("business_item", f"CASE WHEN kind IN ({', '.join(q.s(k) for k, v in _OTHER.items() if v.item)}) THEN coalesce(nullif(subject_item, ''), subject_text) ELSE '' END"),
+        ("business_item", "array_to_string(items, ', ')"),
+        ("direct_production_items_json", "CASE WHEN len(items) > 0 THEN '[' || array_to_string(list_transform(items, lambda z: '\"' || z || '\"'), ', ') || ']' ELSE '' END"),
+    ]
+    names = ("name", "representative", "period", "qualification", "license", "project", "amount", "term", "subject", "subject_item")
+    return f"""lb(key, pattern, kind, slot, turn, place, continued, ends) AS (VALUES {_values(rows)}),
+    cs AS (SELECT evidence_id, text, kind, string_split(text, chr(10)) AS ls FROM kinds WHERE kind IN ({', '.join(map(q.s, _OTHER))})),
+    ht AS (SELECT evidence_id, slot, turn, place, continued, ends, i, regexp_extract(ls[i], pattern, 1) AS own, ls[i + 1] AS one, ls[i + 2] AS two
+      FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM cs) c JOIN lb ON (lb.kind = '*' OR lb.kind = c.kind) AND contains({q.space_compact('ls[i]')}, key)),
+    hs AS (SELECT *, {_STOPS('one')} AS s1, {_STOPS('two')} AS s2 FROM ht),
+    hv AS (SELECT evidence_id, slot, turn, i, place, ends, {_JOINED} AS value FROM hs),
+    f1 AS (SELECT evidence_id, slot, turn, arg_min(CASE WHEN ends = '' THEN value ELSE {q.clean("regexp_replace(value, ends, '')")} END, i * 100 + place) AS value FROM hv GROUP BY ALL),
+    fs AS (SELECT evidence_id, {', '.join(f"coalesce(arg_min(value, turn) FILTER (slot = {q.s(n)} AND value <> ''), '') AS {n}" for n in names)},
+      coalesce(list(value ORDER BY turn) FILTER (slot = 'items' AND value <> ''), []) AS parts FROM f1 GROUP BY 1),
+    fa AS (SELECT kind, text, cs.evidence_id, {', '.join(f"coalesce({n}, '') AS {n}" for n in names)}, {q.digits(_FOUND(et.NUMBER_WORDS, et.NUMBER_SHAPE))} AS number, upper({_FOUND(et.GRADE_WORDS, et.GRADE_SHAPE)}) AS grade,
+      {_FOUND(et.YEAR_WORDS, et.YEAR_SHAPE)} AS year, regexp_extract(text, {q.s(f'({et.DAY_SHAPE}.*?{et.DAY_SHAPE})')}, 1) AS days, {q.clean_value(_SUBJECT_SQL)} AS subject_text,
+      {q.distinct_ordered(f"list_filter(list_transform(flatten(list_transform(coalesce(parts, []), lambda z: regexp_split_to_array(z, {q.s(ev.SEPARATORS)}))), lambda z: {q.clean_value('z')}), lambda z: z <> '')")} AS items
+      FROM cs LEFT JOIN fs USING (evidence_id)),
+    fields AS (SELECT DISTINCT evidence_id, field_key, {q.clean_value('v')} AS extracted_value FROM (
+      {' UNION ALL '.join(f"SELECT evidence_id, {q.s(key)} AS field_key, {value} AS v FROM fa" for key, value in listed)}) WHERE {q.clean_value('v')} <> '')"""
+
+
+ALL_CLASS = f"""{ALL_CERTS},
+cl0 AS (SELECT *, lower(coalesce(file_name, '') || chr(10) || text) AS low, regexp_replace(lower(coalesce(file_name, '') || chr(10) || text), '{q.WS}+', '', 'g') AS cmp FROM ca),
+cl AS (SELECT *, {_class_sql('low', 'cmp', 0)} AS detected, ({_class_sql('low', 'cmp', 1)})::DOUBLE AS sure FROM cl0),
+kinds AS (SELECT *, requested_type NOT IN ('', 'auto') AS manual, CASE WHEN requested_type NOT IN ('', 'auto') THEN requested_type ELSE detected END AS kind FROM cl)"""
+
+
 @query(
     "evidence_status",
-    f"""WITH {CLASS}, s AS (SELECT *, requested_type NOT IN ('', 'auto') AS manual, CASE WHEN requested_type NOT IN ('', 'auto') THEN requested_type ELSE detected END AS kind FROM cl)
+    f"""WITH {ALL_CLASS}, {_fields_sql()}, n AS (SELECT evidence_id, count(*) AS n FROM fields GROUP BY 1)
     SELECT evidence_id, kind AS document_type, CASE WHEN manual THEN greatest(sure, 0.8::DOUBLE) ELSE sure END AS confidence,
-      CASE WHEN text = '' OR kind = 'unknown' THEN 'needs_review' WHEN manual THEN 'manual' ELSE 'classified' END AS status FROM s""",
+      CASE WHEN text = '' OR kind NOT IN ({', '.join(map(q.s, et.KINDS))}) OR (coalesce(n, 0) = 0 AND kind NOT IN ({', '.join(map(q.s, et.REGISTRATION_KINDS))})) THEN 'needs_review'
+        WHEN manual THEN 'manual' ELSE 'classified' END AS status FROM kinds LEFT JOIN n USING (evidence_id)""",
 )
 def _(t):
-    rows = materialize(ev.status(certificates(t)))  # read by both kinds of field reading and again below
-    found = ev.certificate_fields(rows.select("evidence_id", "text", "document_type"), kinds=_USED).unionByName(
-        ev.registration_fields(rows.filter(F.col("document_type").isin(*et.REGISTRATION_KINDS)).select("evidence_id", "text"))
-    )
+    rows = ev.status(all_certificates(t))
+    found = ce.certificate_fields(rows.select("evidence_id", "text", "document_type"))  # registrations don't need fields for their state
     counts = found.groupBy("evidence_id").agg(F.count("*").alias("candidate_count"))
     rows = rows.join(counts, "evidence_id", "left").fillna(0, ["candidate_count"])
     return rows.select(
@@ -110,11 +235,6 @@ def _(t):
     )
 
 
-_USED = [
-    "women_owned_business_confirmation", "tax_payment_certificate", "local_tax_payment_certificate", "patent_certificate", "direct_production_confirmation",
-]
-
-
 @query(
     "label_value_extract",
     f"""WITH {CERTS} SELECT evidence_id, CASE WHEN text = '' THEN '' ELSE c_name END AS name, CASE WHEN text = '' THEN '' ELSE n_name || ' 님' END AS representative,
@@ -146,19 +266,10 @@ def _(t):
     return ev.registration_fields(kinds).select("evidence_id", "field_key", "extracted_value", "confidence")
 
 
-@query(
-    "certificate_fields",
-    f"""WITH {CERTS}, n AS (SELECT *, {_DASHED} AS num FROM ce WHERE text <> ''),
-    f AS (SELECT evidence_id, unnest(['business_registration_number', 'name', 'representative_name']) AS field_key, unnest([num, c_name, n_name || ' 님']) AS extracted_value FROM n WHERE seg <> 'BUILDING'
-      UNION ALL SELECT evidence_id, unnest(['certifications_json', 'preference_tags_json', 'evidence_expiry_summary']), unnest(['["여성기업확인서"]', '["여성기업"]', '2020.01.01 ~ 2021.01.01']) FROM n WHERE seg = 'MACHINERY'
-      UNION ALL SELECT evidence_id, unnest(['certifications_json', 'license_summary']), unnest(['["국세 납세증명서"]', '국세 납세: 체납 확인 필요']) FROM n WHERE seg = 'HOUSEHOLD'
-      UNION ALL SELECT evidence_id, unnest(['certifications_json', 'license_summary', 'business_item']), unnest(['["특허증"]', '특허증: 회전 장치', '회전 장치']) FROM n WHERE seg = 'AUTOMOBILE'
-      UNION ALL SELECT evidence_id, unnest(['certifications_json', 'evidence_expiry_summary', 'direct_production_items_json', 'business_item']), unnest(['["직접생산확인증명서"]', '2024', '["의자", "책상"]', '의자, 책상']) FROM n WHERE seg = 'FURNITURE')
-    SELECT * FROM f""",
-)
+@query("certificate_fields", f"WITH {ALL_CLASS}, {_fields_sql()} SELECT evidence_id, field_key, extracted_value FROM fields")
 def _(t):
-    rows = ev.status(certificates(t).withColumn("requested_type", F.lit("auto")))
-    return ev.certificate_fields(rows.select("evidence_id", "text", "document_type"), kinds=_USED).select("evidence_id", "field_key", "extracted_value")
+    rows = ev.status(all_certificates(t))
+    return ce.certificate_fields(rows.select("evidence_id", "text", "document_type")).select("evidence_id", "field_key", "extracted_value")
 
 
 @query(
@@ -171,6 +282,28 @@ def _(t):
     return rows.select("evidence_id", "pair.types", "pair.items")
 
 
+_GIVEN_SQL = """CASE c_mktsegment WHEN 'BUILDING' THEN ['건설업'] WHEN 'MACHINERY' THEN ['도매 및 소매업', '제조업'] WHEN 'HOUSEHOLD' THEN ['제조업'] ELSE []::VARCHAR[] END"""
+
+
+@query(
+    "business_kind_lists",
+    f"""WITH g AS (SELECT c_custkey AS evidence_id, {_GIVEN_SQL} AS types, CASE c_mktsegment WHEN 'BUILDING' THEN ['전기공사', '신재생에너지설비설치전문기업', '물품 ' || c_custkey]
+      WHEN 'MACHINERY' THEN ['의자', 'n' || c_nationkey, '토목공사업'] WHEN 'HOUSEHOLD' THEN ['기계 ' || c_nationkey] ELSE []::VARCHAR[] END AS items FROM customer)
+    SELECT evidence_id, array_to_string(types, '|') AS types, array_to_string(items, '|') AS items FROM g""",
+)
+def _(t):
+    seg, key, nation = F.col("c_mktsegment"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    kinds = F.when(seg == "BUILDING", F.array(F.lit("사업의 종류"), F.lit("업태 건설업"))).when(seg == "MACHINERY", F.array(F.lit("도매 및\n소매업"), F.lit("다른 줄")))
+    items = (
+        F.when(seg == "BUILDING", F.array(F.lit("종목 전기공사,신재생에너지설비설치전문기\n업"), F.concat(F.lit("전기공사 / 물품 "), key)))
+        .when(seg == "MACHINERY", F.array(F.concat(F.lit("의자·n"), nation), F.lit("제조업 토목공사업")))
+        .when(seg == "HOUSEHOLD", F.array(F.concat(F.lit("제조업 : 기계 "), nation), F.lit("발급사유 정정"), F.lit("뒤")))
+    )
+    rows = t.customer.select(F.col("c_custkey").alias("evidence_id"), ev.given_kind_values(kinds, items).alias("p"))
+    join = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    return rows.select("evidence_id", join("p.types").alias("types"), join("p.items").alias("items"))
+
+
 _PAY_SQL = "CASE o_orderpriority WHEN '1-URGENT' THEN '체 납 없음' WHEN '2-HIGH' THEN '체납 3건' WHEN '3-MEDIUM' THEN '보험료 완납' ELSE '기타 ' || o_orderkey END"
 
 
