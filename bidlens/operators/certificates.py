@@ -106,7 +106,7 @@ def _text_hits(text: Column, kind: Column) -> Column:
 
 def _value() -> Column:
     """The value after a hit's label, with the lines that continue it and without what its end labels begin."""
-    stops = lambda line: line.isNull() | tx.contains_any(tx.space_compact(line), et.STOP_LABELS)
+    stops = lambda line: line.isNull() | tx.let(tx.space_compact(line), lambda c: F.exists(tx.str_array(et.STOP_LABELS), c.contains))
     one, two = F.col("one"), F.col("two")
     more = F.when(~F.col("continued") | stops(one), tx.str_array([])).when(stops(two), F.array(one)).otherwise(F.array(one, two))
     own = tx.clean_text(F.expr("regexp_extract(line, pattern, 1)"))
