@@ -3,12 +3,13 @@
 A rank file gives every token's bytes; two neighbouring tokens merge when their bytes together are a token, lowest rank
 first, leftmost first among equals.  Texts are cut by the split pattern; each distinct piece that is no token itself
 becomes rows (piece, position, token).  The recursive query joins neighbours with the merge table and contracts every
-piece's leftmost pair of minimum rank until none is left.  Decoding joins tokens with their bytes and aggregates them in
-order.  Pieces repeat, so a task remembers a bounded number of them; whole texts are put together from their pieces.  Of
-decoded pieces only those are remembered that differ from the piece, so that nothing is held twice.
+piece's leftmost pair of minimum rank until none is left.  Pieces repeat, so a task remembers a bounded number of them, and
+the ids of whole texts are put together from them.  Decoding starts from these ids alone: it joins them with their bytes and
+aggregates in order.
 
 The recursive query keeps every step of a piece, so its rows grow with the square of the piece's length.  Pieces of more
-than ``LONG`` bytes (runs without a break) are contracted in the same order with a heap instead.
+than ``LONG`` bytes (runs without a break; one of so many takes the recursion 1.6 s, one of 40,000 would take minutes and
+gigabytes) are contracted in the same order with a heap instead.
 
 Null and empty texts have no tokens and decode to no bytes.  Repeated rows are encoded each.  No special tokens exist.
 Other columns than id and text are not looked at.
@@ -17,6 +18,7 @@ Other columns than id and text are not looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
@@ -29,7 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG = 1000  # bytes of a piece up to which it goes to the recursive query
+from bidlens.llm.tables import released
+
+LONG = 4000  # bytes of a piece up to which it goes to the recursive query
 CHUNK = 200_000  # bytes of pieces in one query
 SLICE = 1 << 20  # characters of text handled at once
 REMEMBERED = 400_000  # pieces that a task remembers; never changes a result
@@ -60,11 +64,10 @@ WITH RECURSIVE opened AS (
     FROM changed c LEFT JOIN merges m ON m.l = c.token AND m.r = c.follows
   )
 ), last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece)
-SELECT s.piece, list(s.token ORDER BY s.pos) AS tokens, unhex(string_agg(v.hex, '' ORDER BY s.pos)) AS bytes
-FROM state s JOIN last USING (piece, step) JOIN vocabulary v ON v.token = s.token GROUP BY s.piece ORDER BY s.piece
+SELECT s.piece, list(s.token ORDER BY s.pos) AS tokens FROM state s JOIN last USING (piece, step) GROUP BY s.piece ORDER BY s.piece
 """
 DECODE = """
-SELECT t.row, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.row
+SELECT t.row, unhex(array_to_string(list(v.hex ORDER BY t.pos), '')) AS bytes FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.row
 """
 
 
@@ -82,7 +85,7 @@ def merge_rows(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
 
 def database(ranks: dict[bytes, int], merges: dict[str, np.ndarray]) -> duckdb.DuckDBPyConnection:
     """The task's own in-memory database with the merge table and the vocabulary."""
-    db = duckdb.connect(config={"threads": 1})
+    db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
     db.register("given", pa.table({name: pa.array(column) for name, column in merges.items()}))
     db.execute("CREATE TABLE merges AS FROM given")
     db.register("given", pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -91,17 +94,34 @@ def database(ranks: dict[bytes, int], merges: dict[str, np.ndarray]) -> duckdb.D
     return db
 
 
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """All matches of the split pattern in a text.
+def differing() -> str:
+    """The characters that Python's own engine and ``regex`` class differently (letter, number, blank, other), as a pattern.
 
-    For the public pattern Python's own engine finds the same matches faster, unless a text holds characters that the two
-    class differently: numbers that are no digits, and separators U+001C to U+001F.
+    They are compared one by one, because the two may know different versions of Unicode.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    classes = np.zeros((2, len(every)), np.int8)
+    for n, (ours, exact) in enumerate(((r"[^\W\d_]+", r"\p{L}+"), (r"\d+", r"\p{N}+"), (r"\s+", r"\s+")), 1):
+        for row, found in ((0, re.finditer(ours, every)), (1, regex.finditer(exact, every))):
+            for m in found:
+                classes[row, m.start():m.end()] = n
+    odd = [ord(every[i]) for i in np.flatnonzero(classes[0] != classes[1])]
+    first = [c for k, c in enumerate(odd) if not k or odd[k - 1] != c - 1]
+    last = [c for k, c in enumerate(odd) if k + 1 == len(odd) or odd[k + 1] != c + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last)) + "]"
+
+
+def splitter(pattern: str, odd: str | None = None) -> Callable[[str], list[str]]:
+    """All matches of the split pattern in a text.  ``odd``: what ``differing`` gives, where the caller has it.
+
+    For the public pattern Python's own engine finds the same matches faster, unless a text holds a character that the two
+    class differently.
     """
     exact = regex.compile(pattern)
     if pattern != public_tokenizers.PATTERN:
         return exact.findall
     quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    differs = regex.compile(r"[\p{No}\p{Nl}\x1c-\x1f]|(?=[\p{L}\p{N}])\W|(?![\p{L}\p{N}_])\w")
+    differs = re.compile(odd or differing())
     return lambda text: exact.findall(text) if differs.search(text) else quick.findall(text)
 
 
@@ -130,8 +150,8 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def fixpoints(db: duckdb.DuckDBPyConnection, pieces: list[bytes], of_byte: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-    """(tokens as little-endian unsigned 32-bit integers, decoded bytes) of each piece."""
+def fixpoints(db: duckdb.DuckDBPyConnection, pieces: list[bytes], of_byte: np.ndarray) -> Iterator[bytes]:
+    """Tokens of each piece as little-endian unsigned 32-bit integers."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     every = np.frombuffer(b"".join(pieces), np.uint8)
     start = {  # noqa: F841  read by the query
@@ -142,71 +162,97 @@ def fixpoints(db: duckdb.DuckDBPyConnection, pieces: list[bytes], of_byte: np.nd
     found = db.sql(FIXPOINT).to_arrow_table().combine_chunks()
     db.unregister("start")
     tokens = found.column("tokens").chunk(0)
-    flat, ends = tokens.flatten().to_numpy().astype("<u4"), np.diff(tokens.offsets.to_numpy())
-    at = 0
-    for n, decoded in zip(ends, found.column("bytes").to_pylist()):
-        yield flat[at:at + n].tobytes(), bytes(decoded)
-        at += n
-
-
-def encode(documents: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers, and the bytes they decode to."""
+    flat, ends = tokens.flatten().to_numpy().astype("<u4").tobytes(), (tokens.offsets.to_numpy() * 4).tolist()
+    return (flat[at:after] for at, after in zip(ends, ends[1:]))
+
+
+def decoded(db: duckdb.DuckDBPyConnection, ids: list[bytes]) -> list[bytes]:
+    """Bytes of each list of token ids: ids joined with their bytes, aggregated in order."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    at = np.arange(sizes.sum(), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    token = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+    db.register("tokens", pa.table({"row": np.repeat(np.arange(len(ids)), sizes), "pos": at, "token": token}))
+    found = dict(db.execute(DECODE).fetchall())
+    db.unregister("tokens")
+    return [bytes(found.get(n, b"")) for n in range(len(ids))]
+
+
+class Encoder:
+    """Encodes texts in one task: the split pattern, the merge table and the pieces remembered so far."""
+
+    def __init__(self, ranks: dict[bytes, int], merges: dict[str, np.ndarray], pattern: str, odd: str):
+        self.ranks, self.db, self.split = ranks, database(ranks, merges), splitter(pattern, odd)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.tokens: dict[str, bytes] = {}
+
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self.tokens) > REMEMBERED:
+            self.tokens.clear()
+        waiting: list[tuple[str, bytes]] = []
+        for piece in set().union(*texts) - self.tokens.keys():
+            raw = piece.encode()
+            if raw in self.ranks:
+                self.tokens[piece] = np.uint32(self.ranks[raw]).astype("<u4").tobytes()
+            elif len(raw) > LONG:
+                self.tokens[piece] = np.array(merge_long(raw, self.ranks), "<u4").tobytes()
+            else:
+                waiting.append((piece, raw))
+        at = 0
+        while at < len(waiting):
+            size, n = 0, at
+            while n < len(waiting) and size < CHUNK:
+                size += len(waiting[n][1])
+                n += 1
+            part = waiting[at:n]
+            self.tokens.update(zip((piece for piece, _ in part), fixpoints(self.db, [raw for _, raw in part], self.of_byte)))
+            at = n
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [self.split(text) for text in texts]
+        self.learn(pieces)
+        return [b"".join(map(self.tokens.__getitem__, p)) for p in pieces]
+
+
+def _encoded(documents: DataFrame, rank_file: str | None, pattern: str | None, columns: str, result: Callable) -> DataFrame:
+    """``result(ids, bytes)`` gives the Arrow columns after doc_id from the ids and decoded bytes of some texts."""
     ranks = read_ranks(rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    merges, cut = merge_rows(ranks), pattern or public_tokenizers.PATTERN
+    merges, cut, odd = merge_rows(ranks), pattern or public_tokenizers.PATTERN, differing()
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = rows.select("doc_id", F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")).schema
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}"
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db, split = database(ranks, merges), splitter(cut)
-        of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        text_of = {n: t for t, n in ranks.items()}
-        tokens: dict[str, bytes] = {}
-        differing: dict[str, bytes] = {}  # pieces that do not decode to themselves
-
-        def learn(texts: list[list[str]]) -> None:
-            if len(tokens) > REMEMBERED:
-                tokens.clear()
-                differing.clear()
-            waiting: list[tuple[str, bytes]] = []
-            for piece in dict.fromkeys(p for pieces in texts for p in pieces if p not in tokens):
-                raw = piece.encode()
-                alone = [ranks[raw]] if raw in ranks else merge_long(raw, ranks) if len(raw) > LONG else None
-                if alone is None:
-                    waiting.append((piece, raw))
-                else:
-                    tokens[piece] = np.array(alone, "<u4").tobytes()
-                    if (back := b"".join(text_of[n] for n in alone)) != raw:
-                        differing[piece] = back
-            while waiting:
-                size, n = 0, 0
-                while n < len(waiting) and size < CHUNK:
-                    size += len(waiting[n][1])
-                    n += 1
-                part, waiting = waiting[:n], waiting[n:]
-                for (piece, raw), (ids, back) in zip(part, fixpoints(db, [raw for _, raw in part], of_byte)):
-                    tokens[piece] = ids
-                    if back != raw:
-                        differing[piece] = back
-
+        encoder = Encoder(ranks, merges, cut, odd)
         for batch in batches:
             doc_ids, texts, at = batch.column(0), batch.column(1), 0
             while at < batch.num_rows:
-                pieces, size, first = [], 0, at
+                part, size, first = [], 0, at
                 while at < batch.num_rows and size < SLICE:
-                    text = texts[at].as_py()
-                    pieces.append(split(text))
-                    size += len(text)
+                    part.append(texts[at].as_py())
+                    size += len(part[-1])
                     at += 1
-                learn(pieces)
-                ids = [b"".join(map(tokens.__getitem__, p)) for p in pieces]
-                back = [b"".join(differing.get(x) or x.encode() for x in p) if differing else "".join(p).encode() for p in pieces]
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(first, at - first), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"]
-                )
+                ids = encoder.encode(part)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, at - first), *result(ids, decoded(encoder.db, ids))], names=names)
+        del encoder
+        released()
 
     return rows.mapInArrow(run, schema)
 
 
+def encode(documents: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers, and the bytes they decode to."""
+    return _encoded(documents, rank_file, pattern, "ids binary, decoded binary", lambda ids, back: [pa.array(ids, pa.binary()), pa.array(back, pa.binary())])
+
+
+def digests(documents: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; ids and bytes stay in the task."""
+    def result(ids: list[bytes], back: list[bytes]) -> list[pa.Array]:
+        hexed = ([hashlib.sha256(v).hexdigest() for v in values] for values in (ids, back))
+        return [pa.array([len(v) // 4 for v in ids], pa.int64()), *(pa.array(v, pa.string()) for v in hexed)]
+
+    return _encoded(documents, rank_file, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", result)
+
+
 def decode(encoded: DataFrame, rank_file: str | None = None) -> DataFrame:
     """(doc_id, decoded) from (doc_id, ids): tokens joined with their bytes, aggregated in order."""
     ranks = read_ranks(rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -218,19 +264,10 @@ def decode(encoded: DataFrame, rank_file: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                ids = [np.frombuffer(v, "<u4") for v in part.column(1).to_pylist()]
-                sizes = [len(v) for v in ids]
-                given = {"row": np.repeat(np.arange(len(ids)), sizes), "pos": np.concatenate([np.arange(n) for n in sizes]), "token": np.concatenate(ids)}
-                db.register("tokens", pa.table(given))
-                found = dict(db.execute(DECODE).fetchall())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bytes(found.get(i, b"")) for i in range(len(ids))], pa.binary())], names=["doc_id", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decoded(db, part.column(1).to_pylist()), pa.binary())], names=["doc_id", "decoded"])
 
     return rows.mapInArrow(run, schema)
 
 
 def bpe_table(documents: DataFrame, rank_file: str | None = None) -> DataFrame:
-    """Digests of ``encode``: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    return encode(documents, rank_file).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digests(documents, rank_file)
