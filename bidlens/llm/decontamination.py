@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.llm.shingles import WordDigests, grams, words_of
-from bidlens.llm.tables import Scratch
+from bidlens.llm.tables import Scratch, released
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -148,6 +148,8 @@ def held_items(index: Index, text: str | Column = "text") -> Column:
         seen = WordDigests()
         for texts in batches:
             yield pd.Series([index.hits(t or "", seen) for t in texts], dtype="object")
+        seen.clear()
+        released()
 
     return hits(F.col(text) if isinstance(text, str) else text)
 

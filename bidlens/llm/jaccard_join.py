@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from bidlens.llm.components import components
 from bidlens.llm.shingles import WordDigests, mixed, shingle_set, words_of
-from bidlens.llm.tables import Scratch
+from bidlens.llm.tables import Scratch, released
 
 FREQUENT = 4  # texts with a token from which it has a level
 SLAB = 2_000_000  # shingles sorted at once
@@ -83,6 +83,9 @@ def frequencies(texts: DataFrame, size: int, bits: int, wide: int) -> DataFrame:
                     held, n = [], 0
         if n:
             yield sorted_ranges()
+        held.clear()
+        seen.clear()
+        released()
 
     def summed(table: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
@@ -158,6 +161,8 @@ def profiles(texts: DataFrame, levels, size: int, percent: int, wanted=None) ->
                 names = ["second", "tokens"] if whole else ["sig_a", "sig_b", "prefix"]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), *arrays], names=["doc_id", "n", *names])
+        seen.clear()
+        released()
 
     slot = [slot_of(F.col("doc_id"), len(wanted.value)).alias("slot")] if whole else []
     return texts.select("doc_id", "text", *slot).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlens.llm.shingles import STEP, WordDigests, grams, mixed, words_of
-from bidlens.llm.tables import Scratch
+from bidlens.llm.tables import Scratch, released
 
 ROUNDS = 3
 BLOCK_CHARS = 2_000_000  # characters of text in a block
@@ -206,24 +206,32 @@ def without_repeats(documents: DataFrame, size: int = 13, carry: tuple[str, ...]
     blocks = spark.table(name)
 
     def symbols(key: tuple, table: pa.Table) -> pa.Table:
-        return by_range(key[0].as_py(), *Block(table, size).symbols(), bits)
+        out = by_range(key[0].as_py(), *Block(table, size).symbols(), bits)
+        released()
+        return out
 
     def suspects(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         found = Block(table, size)
         found.suspects(bits_of(answers, "symbols"))
-        return by_range(key[0].as_py(), *found.windows(), bits)
+        out = by_range(key[0].as_py(), *found.windows(), bits)
+        del found
+        released()
+        return out
 
     def result(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         found = Block(table, size)
         found.suspects(bits_of(answers, "symbols"))
         gone = found.removed(bits_of(answers, "windows"))
         each = [gone[a:a + len(w)] for a, w in zip(found.first, found.words)]
-        return pa.table({
+        out = pa.table({
             "doc_id": table.column("doc_id"), "n_words": pa.array([len(w) for w in found.words], pa.int64()),
             "n_removed": pa.array([int(g.sum()) for g in each], pa.int64()),
             "kept": pa.array([t if whole and not g.any() else pieces(w, g).decode() for t, w, g in zip(table.column("text").to_pylist(), found.words, each)], pa.string()),
             **{c: table.column(c) for c in carry},
         })
+        del found, gone, each
+        released()
+        return out
 
     def of_range(kind: str):
         return lambda table: answered(table, kind)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -53,7 +52,6 @@ class Scratch:
 
 def released() -> None:
     """Gives a Python worker's free memory back at the end of a task: workers outlive stages, and an idle one's counts too."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

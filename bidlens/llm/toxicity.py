@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.llm.labelled import best_threshold, sample
-from bidlens.llm.tables import held_out
+from bidlens.llm.tables import held_out, released
 
 PER_CLASS = 3000
 CUT = 0.3  # the score at which a text counts as toxic
@@ -232,6 +232,8 @@ def scorer(model: Model | None) -> Column:
                 shift = model.shifts[language(words, listed)]
                 out.append(1 / (1 + np.exp(-(logit(model, seen.ids(words)) + shift))))
             yield pd.Series(out, dtype="float64")
+        seen.clear()
+        released()
 
     return score(F.col("text")) if model else F.lit(0.0)
 
