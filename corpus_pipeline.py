@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over the documents, each written as Parquet and reread as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
-of ``documents``.  Rows without an id pass every stage that compares documents.
+of ``documents``, whatever other columns a table has.  Rows without an id pass every stage that compares documents.  Of rows
+that share an id and differ, near_duplicates keeps one.  Empty tables pass as empty ones; texts of any length go through
+whole, one at a time where a stage handles a single text, in blocks where it compares them.
 """
 
 from __future__ import annotations
@@ -22,12 +24,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of similar texts (five words a shingle, 0.8 or more); one row an id."""
+    """The smallest id of each group of similar texts (five words a shingle, 0.8 or more); one row an id.
+
+    Of several rows with one id the one whose columns have the smallest digest stays.  Ids and digests choose; texts are
+    read and moved once, by the last join.
+    """
+    docs, scratch = docs.select(*COLUMNS), Scratch(spark, "near_duplicates")
     groups = jaccard_join.near_components(docs, size=5, percent=80)
     stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    docs = docs.select(*COLUMNS)
-    named = docs.filter(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()))
+    named, digest = docs.filter(F.col("doc_id").isNotNull()), F.xxhash64(*COLUMNS)
+    rows = named.select("doc_id", digest.alias("digest")).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("digest").alias("least"))
+    chosen = scratch.keep(rows.join(stay, "doc_id", "left_semi"), "chosen")
+    single = named.join(chosen.filter(F.col("rows") == 1).select("doc_id"), "doc_id", "left_semi")
+    several = named.join(chosen.filter(F.col("rows") > 1).select("doc_id", "least"), "doc_id").filter(digest == F.col("least"))
+    several = several.select(*COLUMNS).dropDuplicates()
+    return single.select(*COLUMNS).unionByName(several).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
