@@ -100,6 +100,22 @@ class Tables:
 
         return ix.searchable(self.labelled_chunks)
 
+    @cached_property
+    def search_index(self) -> tuple[DataFrame, int]:
+        """The stored block index of the searchable passages and its number of folders; written when the tables it comes
+        from have changed since."""
+        from bidlens import session
+        from bidlens.operators import block_index as bi
+
+        documents = self.basis_documents.select("doc_id", "category", "document_version")
+        key = session.fingerprint(self.spark, *(f"{self.sf_dir}/{name}.parquet" for name in ("documents", "labels")))
+        path, written = session.stored_at(self.spark, "search-index", key)
+        folders = 1 + self.documents.count() * 3 // bi.FOLDER_PASSAGES
+        index = bi.build(self.searchable_chunks, bi.span_of(documents), folders)
+        if not written:
+            bi.write(index, path)
+        return session.stored(self.spark, path, index.schema), folders
+
     @cached_property
     def benchmark_queries(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

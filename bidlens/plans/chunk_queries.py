@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bidlens.functions import fixed_values as fv
 from bidlens.functions import text as tx
+from bidlens.operators import block_index as bi
 from bidlens.operators import chunks as ch
 from bidlens.operators import index as ix
 from bidlens.operators import search as se
@@ -285,8 +286,8 @@ def _(t):
 
 
 def search_results(t, k=5, category=""):
-    rows = ix.searchable(t.labelled_chunks, category=category)
-    return se.topk(t.benchmark_queries, ix.postings(rows.select("doc_id", "chunk_id", "chunk_index", "chunk_text")), k)
+    index, folders = t.search_index
+    return bi.topk(t.benchmark_queries, bi.only(index, category), k, folders)
 
 
 @query("search_topk", f"WITH {topk_sql(5)} SELECT * FROM top")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -52,3 +54,29 @@ def materialize(frame: DataFrame) -> DataFrame:
     """
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Digest of the names, sizes and times of all files of some tables: changes when any of them is written anew."""
+    found = []
+    for path in paths:
+        files, where = _file_system(spark, path)
+        for status in files.listStatus(where):
+            found.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
+def stored_at(spark: SparkSession, name: str, key: str) -> tuple[str, bool]:
+    """(path of a named table in the shared folder, whether it is already written).  ``key`` names what it was made of."""
+    path = f"{checkpoint_dir(spark)}/{name}-{key}"
+    files, where = _file_system(spark, f"{path}/_SUCCESS")
+    return path, files.exists(where)
+
+
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
