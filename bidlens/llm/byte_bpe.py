@@ -21,7 +21,10 @@ import base64
 import hashlib
 import heapq
 import re
+import sys
+import types
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 
 from bidlens.llm.tables import released
 
-LONG = 4000  # bytes of a piece up to which it goes to the recursive query
+LONG = 4000  # bytes of a piece up to which it goes to the recursive query; at most 4,096
 CHUNK = 200_000  # bytes of pieces in one query
 SLICE = 1 << 20  # characters of text handled at once
-REMEMBERED = 400_000  # pieces that a task remembers; never changes a result
+REMEMBERED = 400_000  # pieces that a worker remembers, over its tasks; never changes a result
 
+# Positions take 12 bits, so a pair's rank and both positions are one number, whose minimum is the leftmost lowest pair.
 # A row's rank is that of the pair it opens with the row after it (null: no token).  A step renames the left half of each
 # piece's lowest pair to the merged token, drops its right half and looks up the two pairs that are new.  A piece without
 # ranks is at its fixpoint and takes part in no further step.
@@ -49,10 +53,10 @@ WITH RECURSIVE opened AS (
   FROM opened o LEFT JOIN merges m ON m.l = o.token AND m.r = o.follows
   UNION ALL (
     WITH best AS (
-      SELECT piece, min({'rank': rank, 'pos': pos, 'next_pos': next_pos}) AS b FROM state WHERE rank IS NOT NULL GROUP BY piece
+      SELECT piece, min((CAST(rank AS BIGINT) << 24) + (pos << 12) + next_pos) AS b FROM state WHERE rank IS NOT NULL GROUP BY piece
     ), merging AS (
-      SELECT b.piece, b.b.rank AS merged, b.b.pos AS spot, b.b.next_pos AS gone, s.next_pos AS then_pos, s.follows AS then_token
-      FROM best b JOIN state s ON s.piece = b.piece AND s.pos = b.b.next_pos
+      SELECT b.piece, CAST(b.b >> 24 AS INT) AS merged, CAST((b.b >> 12) & 4095 AS INT) AS spot, s.pos AS gone, s.next_pos AS then_pos, s.follows AS then_token
+      FROM best b JOIN state s ON s.piece = b.piece AND s.pos = CAST(b.b & 4095 AS INT)
     ), changed AS (
       SELECT s.step + 1 AS step, s.piece, s.pos, CASE WHEN s.pos = spot THEN merged ELSE s.token END AS token,
         CASE WHEN s.pos = spot THEN then_pos ELSE s.next_pos END AS next_pos,
@@ -95,7 +99,7 @@ def database(ranks: dict[bytes, int], merges: dict[str, np.ndarray]) -> duckdb.D
 
 
 def differing() -> str:
-    """The characters that Python's own engine and ``regex`` class differently (letter, number, blank, other), as a pattern.
+    """All characters that Python's own engine and ``regex`` class differently (letter, number, blank, other).
 
     They are compared one by one, because the two may know different versions of Unicode.
     """
@@ -105,10 +109,7 @@ def differing() -> str:
         for row, found in ((0, re.finditer(ours, every)), (1, regex.finditer(exact, every))):
             for m in found:
                 classes[row, m.start():m.end()] = n
-    odd = [ord(every[i]) for i in np.flatnonzero(classes[0] != classes[1])]
-    first = [c for k, c in enumerate(odd) if not k or odd[k - 1] != c - 1]
-    last = [c for k, c in enumerate(odd) if k + 1 == len(odd) or odd[k + 1] != c + 1]
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last)) + "]"
+    return "".join(every[i] for i in np.flatnonzero(classes[0] != classes[1]))
 
 
 def splitter(pattern: str, odd: str | None = None) -> Callable[[str], list[str]]:
@@ -121,8 +122,8 @@ def splitter(pattern: str, odd: str | None = None) -> Callable[[str], list[str]]
     if pattern != public_tokenizers.PATTERN:
         return exact.findall
     quick = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    differs = re.compile(odd or differing())
-    return lambda text: exact.findall(text) if differs.search(text) else quick.findall(text)
+    odd_ones = frozenset(odd or differing())
+    return lambda text: quick.findall(text) if odd_ones.isdisjoint(set(text)) else exact.findall(text)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -178,7 +179,7 @@ def decoded(db: duckdb.DuckDBPyConnection, ids: list[bytes]) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts in one task: the split pattern, the merge table and the pieces remembered so far."""
+    """Encodes texts in one worker: the split pattern, the merge table and the pieces remembered so far."""
 
     def __init__(self, ranks: dict[bytes, int], merges: dict[str, np.ndarray], pattern: str, odd: str):
         self.ranks, self.db, self.split = ranks, database(ranks, merges), splitter(pattern, odd)
@@ -186,8 +187,9 @@ class Encoder:
         self.tokens: dict[str, bytes] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.tokens) > REMEMBERED:
-            self.tokens.clear()
+        if len(self.tokens) > REMEMBERED:  # the older half goes
+            for piece in list(islice(self.tokens, len(self.tokens) // 2)):
+                del self.tokens[piece]
         waiting: list[tuple[str, bytes]] = []
         for piece in set().union(*texts) - self.tokens.keys():
             raw = piece.encode()
@@ -213,16 +215,28 @@ class Encoder:
         return [b"".join(map(self.tokens.__getitem__, p)) for p in pieces]
 
 
+def encoder_of(key: str, ranks: dict[bytes, int], merges: dict[str, np.ndarray], pattern: str, odd: str) -> Encoder:
+    """The worker's encoder for the rank file and pattern that ``key`` names: its tasks follow each other and share it.
+
+    It hangs on a module of the process, because this function itself comes anew with every task.
+    """
+    held = sys.modules.setdefault("byte_bpe_encoder", types.ModuleType("byte_bpe_encoder"))
+    if getattr(held, "key", None) != key:
+        held.encoder, held.key = Encoder(ranks, merges, pattern, odd), key
+    return held.encoder
+
+
 def _encoded(documents: DataFrame, rank_file: str | None, pattern: str | None, columns: str, result: Callable) -> DataFrame:
     """``result(ids, bytes)`` gives the Arrow columns after doc_id from the ids and decoded bytes of some texts."""
     ranks = read_ranks(rank_file or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     merges, cut, odd = merge_rows(ranks), pattern or public_tokenizers.PATTERN, differing()
+    key = hashlib.sha256(repr((sorted(ranks.items()), cut)).encode()).hexdigest()
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}"
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks, merges, cut, odd)
+        encoder = encoder_of(key, ranks, merges, cut, odd)
         for batch in batches:
             doc_ids, texts, at = batch.column(0), batch.column(1), 0
             while at < batch.num_rows:
@@ -233,7 +247,6 @@ def _encoded(documents: DataFrame, rank_file: str | None, pattern: str | None, c
                     at += 1
                 ids = encoder.encode(part)
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(first, at - first), *result(ids, decoded(encoder.db, ids))], names=names)
-        del encoder
         released()
 
     return rows.mapInArrow(run, schema)
