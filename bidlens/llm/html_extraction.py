@@ -8,12 +8,17 @@ is then aligned with that tree and votes: a text that a node shows on at least h
 two at least, is template (with fewer than four such pages, on all); a node with varying text is a slot.  Copies prove
 nothing: pages whose main element has the same longest block have one vote together, whatever menus or adverts surround it.
 
-Of each page, nodes on template are dropped, slots are kept as content.  Slots can still be menus with changing links or
-rotating adverts, which the wrapper can't tell: elements that say what they are (nav, aside, footer, form and so on, a role,
-or such a word in class or id) are left out.  A word does not count against an article or main with over half of the page's
-text, nor against an element with over four fifths of it that holds an article, main or h1.  Where a page marks its article
-(a single article or main that is not left out, with over half of the text that remains), blocks outside it go only if the
-wrapper doesn't have their node: on hosts without a tree, or nodes of one page alone.
+Of each page, nodes on template are dropped, slots are kept as content.  Slots can still be menus with changing links,
+rotating adverts or comments, which the wrapper can't tell: elements that say what they are (nav, aside, footer and so on, a
+role, form or dialog, or such a word in class or id) are left out.  None of these counts against what holds the page's text:
+a form, a dialog, a role or a word that has other meanings too against an element with over half of it, such a word against
+one with a long block either, a plain word against an article or main with over half of the text or an element with over
+four fifths of it that holds an article, main or h1.  Where a page marks its article (a single article or main that is not
+left out, with over half of the text that remains), blocks outside it go only if the wrapper doesn't have their node: on
+hosts without a tree, or nodes of one page alone.
+
+Tags are cut by one scan, attributes are read in turn as name and quoted value, and what an element hands down or sums up
+goes from parent to child or back, so that time and memory grow with the page, however deep or broken it is.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line break.
 
@@ -44,8 +49,9 @@ SURE_VOTES = 4  # with fewer pages all must show it
 UNIONS = 64  # parts in which the layouts of a host are united first
 TABLE_CELLS = 1_000_000  # of one table in memory; larger ones are halved first
 DEEP = 200_000  # nested elements that the recursion over a tree allows for
-MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+OPENED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']\S*+))?)?""")
 NUMBERS = re.compile(r"[0-9]+")
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,41 +64,54 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "dialog"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 NEVER = frozenset(
-    "head script style noscript template textarea title xmp iframe noembed noframes object embed svg canvas audio video map nav aside footer form button "
-    "select option input menu dialog".split()
+    "head script style noscript template textarea title xmp iframe noembed noframes object embed svg canvas audio video map nav aside footer button "
+    "select option input menu".split()
 )
 SPEAKING = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside "
-    "cookie cookies consent notice alert popup modal overlay subscribe newsletter signup login share sharing social related recommended comment comments "
-    "replies disqus discussion respond widget toolbar pagination pager search hidden".split()
+    "advert adverts advertisement sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside cookie cookies "
+    "consent popup modal overlay subscribe newsletter signup login sharing comment comments replies disqus respond widget toolbar pagination pager".split()
 )
-UNSEEN = 2  # hidden, or of a role that is no content
+AMBIGUOUS = frozenset("ad ads banner notice alert share social related recommended discussion search hidden".split())  # words an article's own part may go by
+SOFT = frozenset("form dialog".split())
+WORD, UNSEEN, MAYBE, ROLE = 1, 2, 3, 4  # why an element is no content: a word, hidden for certain, an ambiguous word, a role or a form
+LONG_BLOCK = 200  # characters of a block that no advert, notice or link list has
 MARKS = ("article", "main")
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "blocks", "drop")
+    __slots__ = ("tag", "mark", "drop", "parent", "holder", "unseen", "blocks", "length", "longest", "titled", "flags", "shapes")
 
-    def __init__(self, tag: str, mark: str = "", drop: int = 0):
-        self.tag, self.mark, self.drop = tag, mark, drop
-        self.children: list[Node] = []
+    def __init__(self, tag: str, parent: Node | None = None, mark: str = "", drop: int = 0):
+        self.tag, self.mark, self.drop, self.parent = tag, mark, drop, parent
+        never, page = tag in NEVER, tag in ("body", "html")
+        self.holder = self if parent is None or tag in BLOCK or drop or never else parent.holder  # the element whose blocks its text makes
+        self.unseen = parent is not None and (parent.unseen or never or drop == UNSEEN and not page)  # for certain, or stands in such
         self.blocks: list[list[str]] = []  # text of the node's own blocks, in pieces
-
-
-def attributes(raw: str) -> tuple[str, int]:
-    """(class, whether the element says that it is no content: by a word, or for certain)."""
-    found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in NAMED.finditer(raw)} if raw.strip() else {}
+        self.shapes: list[Shape] = []
+        self.length = self.longest = self.flags = 0
+        self.titled = False
+
+
+def attributes(tag: str, raw: str) -> tuple[str, int]:
+    """(class, why the element says that it is no content, 0 if it doesn't)."""
+    found: dict[str, str] = {}
+    if raw and not raw.isspace():
+        for name, double, single, bare in ATTRIBUTE.findall(raw):
+            found.setdefault(name.lower(), (double or single or bare).lower())
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return found.get("class", ""), UNSEEN
     tokens = set(re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    unseen = found.get("role", "") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    return found.get("class", ""), UNSEEN if unseen else int(bool(tokens & SPEAKING))
+    drop = WORD if tokens & SPEAKING else ROLE if found.get("role", "") in ROLES or tag in SOFT else MAYBE if tokens & AMBIGUOUS else 0
+    return found.get("class", ""), drop
 
 
-def parse(page: str) -> tuple[Node, list[tuple[list[Node], list[str]]]]:
-    """The tree, and the page's blocks in order: (path of elements, pieces of text)."""
+def parse(page: str) -> tuple[list[Node], list[tuple[Node, list[str]]]]:
+    """The elements, parents first, and the page's blocks in order: (element, pieces of text)."""
     root = Node("#page")
-    path, blocks, current = [root], [], None
-    at, n = 0, len(page)
+    nodes, path, blocks, current = [root], [root], [], None
+    opened: Counter[str] = Counter()  # elements on the path
+    at, n, last_end, quoted = 0, len(page), page.rfind(">"), True
 
     def text(raw: str) -> None:
         nonlocal current
@@ -101,36 +120,57 @@ def parse(page: str) -> tuple[Node, list[tuple[list[Node], list[str]]]]:
         if current is None:
             if raw.isspace():
                 return
-            holder = next(i for i in range(len(path) - 1, -1, -1) if i == 0 or path[i].tag in BLOCK or path[i].drop or path[i].tag in NEVER)
-            current = (list(path[:holder + 1]), [])
-            blocks.append(current)
-        current[1].append(html.unescape(raw))
+            current = []
+            blocks.append((path[-1].holder, current))
+        current.append(html.unescape(raw))
 
     def close(down_to: int) -> None:
         nonlocal current
-        if any(x.tag in BLOCK or x.drop or x.tag in NEVER for x in path[down_to:]):
-            current = None
+        for x in path[down_to:]:
+            opened[x.tag] -= 1
+            if x.holder is x:
+                current = None
         del path[down_to:]
 
     while at < n:
-        m = MARKUP.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0 or start > last_end:
             text(page[at:])
             break
-        text(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
+        if page.startswith("<!--", start):
+            text(page[at:start])
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page[start + 1] in "!?":
+            text(page[at:start])
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else n
             continue
+        m = OPENED.match(page, start)
+        if not m:
+            text(page[at:start + 1])
+            at = start + 1
+            continue
+        text(page[at:start])
+        whole = TAG.match(page, start) if quoted else None
+        if whole:
+            raw, at = whole[3], whole.end()
+        else:  # a quote never closes: from here on a tag ends at the next >
+            quoted = False
+            end = page.find(">", start)
+            raw, at = page[m.end():end], end + 1
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK:
                 current = None
-            for i in range(len(path) - 1, 0, -1):
-                if path[i].tag == tag:
-                    close(i)
-                    break
-                if path[i].tag in ("td", "th", "article", "main") and tag not in ("table", "tr", "body", "html", "article", "main", "tbody", "thead"):
-                    break
+            if opened[tag]:
+                for i in range(len(path) - 1, 0, -1):
+                    if path[i].tag == tag:
+                        close(i)
+                        break
+                    if path[i].tag in ("td", "th", "article", "main") and tag not in ("table", "tr", "body", "html", "article", "main", "tbody", "thead"):
+                        break
             continue
         if tag == "br":
             text(" ")
@@ -139,14 +179,14 @@ def parse(page: str) -> tuple[Node, list[tuple[list[Node], list[str]]]]:
             if tag == "hr":
                 current = None
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(path) - 1, 0, -1):
                 if path[i].tag == "p":
                     close(i)
                     break
                 if path[i].tag in BLOCK:
                     break
-        if tag in SIBLING:
+        if tag in SIBLING and any(opened[other] for other in SIBLING[tag]):
             for i in range(len(path) - 1, 0, -1):
                 if path[i].tag in SIBLING[tag]:
                     close(i)
@@ -154,22 +194,38 @@ def parse(page: str) -> tuple[Node, list[tuple[list[Node], list[str]]]]:
                         break
                 elif path[i].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "select", "menu"):
                     break
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if raw.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        mark, drop = attributes(m[3])
-        node = Node(tag, mark, drop)
-        if tag in BLOCK or drop or tag in NEVER:
+        node = Node(tag, path[-1], *attributes(tag, raw))
+        if node.holder is node:
             current = None
-        path[-1].children.append(node)
-        path.append(node)
+        nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            path.pop()
             current = None
             at = end.end() if end else n
-    for holders, pieces in blocks:
-        holders[-1].blocks.append(pieces)
-    return root, blocks
+        else:
+            path.append(node)
+            opened[tag] += 1
+    for holder, pieces in blocks:
+        holder.blocks.append(pieces)
+    return nodes, blocks
+
+
+def summed(nodes: list[Node], lines: list[tuple[Node, str]]) -> int:
+    """Sets every element's length, longest block and whether it holds a title (an article, main or h1 with text); all text."""
+    for x in nodes:
+        x.length, x.longest, x.titled = 0, 0, False
+    for holder, line in lines:
+        holder.length += len(line)
+        holder.longest = max(holder.longest, len(line))
+    for x in reversed(nodes):
+        x.titled = x.titled or x.length > 0 and (x.tag in MARKS or x.tag == "h1")
+        if x.parent is not None:
+            x.parent.length += x.length
+            x.parent.longest = max(x.parent.longest, x.longest)
+            x.parent.titled = x.parent.titled or x.titled
+    return nodes[0].length
 
 
 def squeeze(pieces: list[str]) -> str:
@@ -192,23 +248,25 @@ class Shape:
         self.count = 1 + sum(c.count for c in self.children)
 
 
-def shape_of(node: Node) -> Shape:
-    children: list[Shape] = []
-    waiting = list(node.children)
-    while waiting:
-        child = waiting.pop(0)
-        if child.tag not in BLOCK and not child.drop and child.tag not in NEVER:
-            waiting[:0] = child.children  # inline elements belong to the block around them
+def shape_of(nodes: list[Node]) -> Shape:
+    """The page's tree for alignment; inline elements belong to the block around them."""
+    for node in reversed(nodes):
+        if node.holder is not node:
             continue
-        shape = shape_of(child)
-        last = children[-1] if children else None
-        if last is not None and last.key == shape.key and not last.children and not shape.children:
-            last.nodes += shape.nodes
-            last.text = zlib.crc32(shape.text.to_bytes(4, "big"), last.text)
-        else:
-            children.append(shape)
-    own = zlib.crc32("\n".join(squeeze(b) for b in node.blocks).encode("utf-8", "replace"))
-    return Shape(f"{node.tag}.{NUMBERS.sub('0', node.mark)}", own, children, [node])
+        children: list[Shape] = []
+        for shape in reversed(node.shapes):
+            last = children[-1] if children else None
+            if last is not None and last.key == shape.key and not last.children and not shape.children:
+                last.nodes += shape.nodes
+                last.text = zlib.crc32(shape.text.to_bytes(4, "big"), last.text)
+            else:
+                children.append(shape)
+        own = zlib.crc32("\n".join(squeeze(b) for b in node.blocks).encode("utf-8", "replace"))
+        made = Shape(f"{node.tag}.{NUMBERS.sub('0', node.mark)}", own, children, [node])
+        node.shapes = []
+        if node.parent is not None:
+            node.parent.holder.shapes.append(made)
+    return made
 
 
 def numbered(root: Shape) -> list[Shape]:
@@ -392,77 +450,80 @@ class Wrapper:
         return self.met[root.form]
 
 
-def content_of(blocks: list[tuple[list[Node], list[str]]]) -> int | None:
+def content_of(nodes: list[Node], blocks: list[tuple[Node, list[str]]]) -> int | None:
     """Digest of the longest block in the element that holds most of the text; pages that share it are copies.
 
     Elements that say that they are no content do not count, unless there is nothing else.
     """
-    lines = [(holders, squeeze(pieces)) for holders, pieces in blocks]
-    lines = [(holders, line) for holders, line in lines if line]
-    lines = [(h, line) for h, line in lines if not any(x.drop or x.tag in NEVER for x in h if x.tag not in ("body", "html"))] or lines
+    lines = [(holder, squeeze(pieces)) for holder, pieces in blocks]
+    lines = [(holder, line) for holder, line in lines if line]
     if not lines:
         return None
-    total, held, top = sum(len(line) for _, line in lines), Counter(), {}
-    for holders, line in lines:
-        for x in holders:
-            held[id(x)] += len(line)
-            top[id(x)] = x
-    # elements with over half of the text stand in each other, and a line's elements are met from the outermost on
-    main = [top[i] for i, n in held.items() if 2 * n > total][-1]
+    seen = [(holder, line) for holder, line in lines if not holder.unseen]
+    total = summed(nodes, seen)
+    for x in nodes:
+        x.flags = int(x.parent is not None and (x.parent.flags or says_no(x, total)))
+    lines = [(holder, line) for holder, line in seen if not holder.flags] or lines
+    total = summed(nodes, lines)
+    main = [x for x in nodes if 2 * x.length > total][-1]  # such elements stand in each other
     if main.tag in ("#page", "html", "body"):  # no element holds most: the largest below
-        below = Counter()
-        for holders, line in lines:
-            at = next((i for i, x in enumerate(holders) if x is main), -1)
-            if 0 <= at < len(holders) - 1:
-                below[id(holders[at + 1])] += len(line)
-        main = top[below.most_common(1)[0][0]] if below else main
-    longest = max((line for holders, line in lines if any(x is main for x in holders)), key=lambda line: (len(line), line))
+        below = [x for x in nodes if x.parent is main and x.length]
+        main = max(below, key=lambda x: x.length) if below else main
+    for x in nodes:
+        x.flags = int(x is main or x.parent is not None and x.parent.flags)
+    longest = max((line for holder, line in lines if holder.flags), key=lambda line: (len(line), line))
     return xxhash.xxh3_64_intdigest(longest.encode("utf-8", "replace")) - (1 << 63)
 
 
+def says_no(x: Node, total: int) -> bool:
+    """Whether what an element says of itself leaves it out; it says nothing against what holds the page's text."""
+    if not x.drop or x.tag in ("body", "html"):
+        return False
+    most = 2 * x.length > total
+    if x.tag in MARKS:
+        return not most
+    if x.drop == WORD:
+        return not (x.titled and 5 * x.length > 4 * total)
+    return not (most or x.drop == MAYBE and x.longest >= LONG_BLOCK)
+
+
+OUT, MARKED, HEADED = 1, 2, 4  # left out; below an article or main; in its header
+
+
 def extract(page: str | None, wrapper: Wrapper | None, template: frozenset[tuple[int, int]]) -> str:
     if not page:
         return ""
-    root, blocks = parse(page)
-    fixed, judged = aligned(root, wrapper, template) if wrapper is not None and template else (set(), None)
-    lines = [(holders, squeeze(pieces)) for holders, pieces in blocks if id(holders[-1]) not in fixed]
-    lines = [(h, line) for h, line in lines if line and not any(x.tag in NEVER or x.drop == UNSEEN and x.tag not in ("body", "html") for x in h)]
-    total, held, titled = 0, Counter(), set()
-    for holders, line in lines:
-        total += len(line)
-        title = max((i for i, x in enumerate(holders) if x.tag in MARKS or x.tag == "h1"), default=-1)
-        for i, x in enumerate(holders):
-            if x.drop or x.tag in MARKS:
-                held[id(x)] += len(line)
-                if i <= title:
-                    titled.add(id(x))
-
-    def left_out(holders: list[Node]) -> bool:
-        inside = next((i for i, x in enumerate(holders) if x.tag in MARKS), len(holders))
-        for i, x in enumerate(holders):
-            if x.drop and x.tag not in ("body", "html"):
-                # a word in a class says nothing against what holds the page's text
-                if not (2 * held[id(x)] > total if x.tag in MARKS else id(x) in titled and 5 * held[id(x)] > 4 * total):
-                    return True
-            if x.tag == "header" and not (holders[-1].tag in HEADINGS and i > inside):
-                return True
-        return False
-
-    lines = [(holders, line) for holders, line in lines if not left_out(holders)]
-    marks = {id(x): x for holders, _ in lines for x in [next((x for x in holders if x.tag in MARKS), None)] if x is not None}
+    nodes, blocks = parse(page)
+    fixed, judged = aligned(nodes, wrapper, template) if wrapper is not None and template else (set(), None)
+    lines = [(holder, squeeze(pieces)) for holder, pieces in blocks if id(holder) not in fixed and not holder.unseen]
+    lines = [(holder, line) for holder, line in lines if line]
+    total, mark_of = summed(nodes, lines), {}
+    for x in nodes:
+        if x.parent is None:
+            x.flags = 0
+            continue
+        above = x.parent.flags
+        marked = above & MARKED or (MARKED if x.parent.tag in MARKS else 0)
+        header = x.tag == "header"
+        out = above & OUT or int(header and not marked) or int(says_no(x, total))
+        x.flags = out | marked | (above & HEADED or (HEADED if header else 0))
+        mark = mark_of.get(id(x.parent)) or (x if x.tag in MARKS else None)
+        if mark is not None:
+            mark_of[id(x)] = mark
+    lines = [(holder, line) for holder, line in lines if not holder.flags & OUT and (not holder.flags & HEADED or holder.tag in HEADINGS)]
+    marks = {id(mark_of[id(holder)]) for holder, _ in lines if id(holder) in mark_of}
     if len(marks) == 1:
-        mark = next(iter(marks))
-        within = [any(id(x) == mark for x in holders) for holders, _ in lines]
+        within = [id(holder) in mark_of for holder, _ in lines]
         if not all(within) and 2 * sum(len(line) for (_, line), w in zip(lines, within) if w) > sum(len(line) for _, line in lines):
             if judged is None:
-                judged = aligned(root, wrapper, template)[1] if wrapper is not None else set()
-            lines = [(holders, line) for (holders, line), w in zip(lines, within) if w or id(holders[-1]) in judged]
+                judged = aligned(nodes, wrapper, template)[1] if wrapper is not None else set()
+            lines = [(holder, line) for (holder, line), w in zip(lines, within) if w or id(holder) in judged]
     return "\n".join(line for _, line in lines)
 
 
-def aligned(root: Node, wrapper: Wrapper, template: frozenset[tuple[int, int]]) -> tuple[set[int], set[int]]:
+def aligned(nodes: list[Node], wrapper: Wrapper, template: frozenset[tuple[int, int]]) -> tuple[set[int], set[int]]:
     """Nodes on template, and all nodes that the wrapper has."""
-    shape = shape_of(root)
+    shape = shape_of(nodes)
     fixed, judged = set(), set()
     for at, p in zip(wrapper.places(shape), numbered(shape)):
         if at >= 0:
@@ -521,14 +582,14 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
         for batch in batches:
             hosts, layouts, texts, contents = [], [], [], []
             for host, page in zip(*[c.to_pylist() for c in batch.columns]):
-                root, blocks = parse(page)
-                content = content_of(blocks)
+                nodes, blocks = parse(page)
+                content = content_of(nodes, blocks)
                 if content is None:
                     continue
-                shape = shape_of(root)
-                nodes = numbered(shape)
-                texts.append([x.text for x in nodes])
-                for x in nodes:
+                shape = shape_of(nodes)
+                parts = numbered(shape)
+                texts.append([x.text for x in parts])
+                for x in parts:
                     x.text = 1
                 hosts.append(host)
                 layouts.append(packed(shape))

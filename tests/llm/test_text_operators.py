@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import sys
+import time
 import zlib
 
 import duckdb
@@ -322,6 +324,74 @@ def test_wrapper_decides_before_marks(spark):
     assert texts_of(spark, [f"<div class='no-sidebar'><h1>Title</h1><p>{prose(1, 30)}</p></div><div class='ad'>Buy</div>"]) == [f"Title\n{prose(1, 30)}"]
 
 
+def test_what_holds_the_text_is_not_left_out(spark):
+    main = lambda i: f"<h1>Title {i}</h1><p>{prose(i, 60)}</p><p>{prose(90 + i, 50)}</p>"
+    want = lambda i: f"Title {i}\n{prose(i, 60)}\n{prose(90 + i, 50)}"
+    rights = "<div class='r'><p>All rights are ours</p></div>"
+    for wrap in (
+        "<form action='/post' method=post>{}</form>", "<div role='form'>{}</div>", "<dialog open>{}</dialog>", '<article title="The hidden valley">{}</article>',
+        "<article data-note='keep id=ads here'>{}</article>", "<div class=discussion>{}</div>", "<div id='related-work'>{}</div>", "<div class='social'>{}</div>",
+        "<div class='ad-free-content'>{}</div>", "<div class='search hidden-valley'>{}</div>", "<div title=\"a > b\" data-x='role=\"alert\"'>{}</div>",
+    ):
+        assert texts_of(spark, [wrap.format(main(0))]) == [want(0)], wrap
+        bodies = [wrap.format(main(i)) + rights for i in range(6)]
+        assert texts_of(spark, bodies) == [want(i) for i in range(6)], wrap
+
+
+def test_own_parts_of_an_article_stay_and_other_parts_go(spark):
+    part = "<section id='related-work'><h2>Related work {}</h2><p>{}</p></section><div class='discussion'><p>{}</p></div>"
+    other = "<div class='related'><p>See {}</p></div><form><p>Your mail</p></form><div role=alert>Note {}</div><div class='ad'>Buy {}</div><div hidden><p>{}</p></div>"
+    bodies = [
+        f"<div class='t'><h1>Title {i}</h1><p>{prose(i, 60)}</p>{part.format(i, prose(100 + i, 60), prose(200 + i, 60))}</div>"
+        + other.format(prose(300 + i, 3), i, i, prose(400 + i, 90)) for i in range(6)
+    ]
+    assert texts_of(spark, bodies) == [f"Title {i}\n{prose(i, 60)}\nRelated work {i}\n{prose(100 + i, 60)}\n{prose(200 + i, 60)}" for i in range(6)]
+
+
+@pytest.mark.parametrize("markup, n", [
+    ("<a ", 350_000), ("<a <", 250_000), ('<a ">"', 170_000), ("<b title='x>", 90_000), ("<div>", 100_000), ("<div>x", 100_000), ("<b>", 100_000), ("<b><p>t</p>", 50_000),
+    ("<i></b>", 100_000), ("<li>x", 100_000), ("<a href=x ", 100_000), ("<!-- ", 200_000), ("<", 1_000_000), ("&lt", 300_000), ("<form><p>t", 50_000), ("<p class=ad>", 80_000),
+])
+def test_broken_and_deep_markup_takes_linear_time(markup, n):
+    started = time.process_time()
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(html_extraction.DEEP)
+    try:
+        page = "<body><p>first</p>" + markup * n
+        assert "first" in html_extraction.extract(page, None, frozenset())
+        nodes, blocks = html_extraction.parse(page)
+        html_extraction.content_of(nodes, blocks)
+        html_extraction.packed(html_extraction.shape_of(nodes))
+    finally:
+        sys.setrecursionlimit(limit)
+    assert time.process_time() - started < 20  # 5 s on an idle machine
+
+
+def plain_matching(a, b):
+    """Simple tree matching by the plain dynamic program, where roots with different keys may still pass what they hold."""
+    if a.tag != b.tag:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_matching(x, y))
+    inner = best[-1][-1]
+    return inner + (a.key == b.key) if inner or a.key == b.key else 0
+
+
+def test_tree_matching_against_the_plain_program():
+    rnd = random.Random(17)
+
+    def body(depth):
+        tag, name = rnd.choice(["div", "section", "ul"]), rnd.choice("abc")
+        return f"<{tag} class={name}>{''.join(body(depth - 1) for _ in range(rnd.randrange(4))) if depth else 'x'}</{tag}>"
+
+    for _ in range(60):
+        a, b = (html_extraction.shape_of(html_extraction.parse(f"<body>{body(3)}{body(3)}</body>")[0]) for _ in range(2))
+        size, pairs = html_extraction.match(a, b, {})
+        assert size == plain_matching(a, b) and len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs}) == len(pairs)
+
+
 def test_texts_shorter_than_an_item(spark, monkeypatch):
     item = prose(77, 40).split()
     texts = [" ".join(item[:-1]), " ".join(item[1:]), " ".join(item[:33]), " ".join(item[:32]), " ".join(item[:20]), " ".join(item[:3]), " ".join(item)]
