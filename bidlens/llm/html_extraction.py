@@ -11,8 +11,8 @@ nothing: pages whose main element has the same longest block have one vote toget
 Of each page, nodes on template are dropped, slots are kept as content.  Slots can still be menus with changing links,
 rotating adverts or comments, which the wrapper can't tell: elements that say what they are (nav, aside, footer and so on, a
 role, form or dialog, or such a word in class or id) are left out.  None of these counts against what holds the page's text:
-a form, a dialog, a role or a word that has other meanings too against an element with over half of it, such a word against
-one with a long block either, a plain word against an article or main with over half of the text or an element with over
+a form, a dialog, a role or a word that has other meanings too against an element with over half of it (and the page's title or
+a long block, if the page has a title), such a word against any with a long block either, a plain word against an article or main with over half of the text or an element with over
 four fifths of it that holds an article, main or h1.  Where a page marks its article (a single article or main that is not
 left out, with over half of the text that remains), blocks outside it go only if the wrapper doesn't have their node: on
 hosts without a tree, or nodes of one page alone.
@@ -460,9 +460,9 @@ def content_of(nodes: list[Node], blocks: list[tuple[Node, list[str]]]) -> int |
     if not lines:
         return None
     seen = [(holder, line) for holder, line in lines if not holder.unseen]
-    total = summed(nodes, seen)
+    summed(nodes, seen)
     for x in nodes:
-        x.flags = int(x.parent is not None and (x.parent.flags or says_no(x, total)))
+        x.flags = int(x.parent is not None and (x.parent.flags or says_no(x, nodes[0])))
     lines = [(holder, line) for holder, line in seen if not holder.flags] or lines
     total = summed(nodes, lines)
     main = [x for x in nodes if 2 * x.length > total][-1]  # such elements stand in each other
@@ -475,16 +475,17 @@ def content_of(nodes: list[Node], blocks: list[tuple[Node, list[str]]]) -> int |
     return xxhash.xxh3_64_intdigest(longest.encode("utf-8", "replace")) - (1 << 63)
 
 
-def says_no(x: Node, total: int) -> bool:
+def says_no(x: Node, page: Node) -> bool:
     """Whether what an element says of itself leaves it out; it says nothing against what holds the page's text."""
     if not x.drop or x.tag in ("body", "html"):
         return False
-    most = 2 * x.length > total
+    most, long = 2 * x.length > page.length, x.longest >= LONG_BLOCK
     if x.tag in MARKS:
         return not most
     if x.drop == WORD:
-        return not (x.titled and 5 * x.length > 4 * total)
-    return not (most or x.drop == MAYBE and x.longest >= LONG_BLOCK)
+        return not (x.titled and 5 * x.length > 4 * page.length)
+    # beside a short article an advert can be most of the text, but it has neither the title nor a long block
+    return not (most and (x.titled or long or not page.titled) or x.drop == MAYBE and long)
 
 
 OUT, MARKED, HEADED = 1, 2, 4  # left out; below an article or main; in its header
@@ -497,7 +498,8 @@ def extract(page: str | None, wrapper: Wrapper | None, template: frozenset[tuple
     fixed, judged = aligned(nodes, wrapper, template) if wrapper is not None and template else (set(), None)
     lines = [(holder, squeeze(pieces)) for holder, pieces in blocks if id(holder) not in fixed and not holder.unseen]
     lines = [(holder, line) for holder, line in lines if line]
-    total, mark_of = summed(nodes, lines), {}
+    summed(nodes, lines)
+    mark_of: dict[int, Node] = {}
     for x in nodes:
         if x.parent is None:
             x.flags = 0
@@ -505,7 +507,7 @@ def extract(page: str | None, wrapper: Wrapper | None, template: frozenset[tuple
         above = x.parent.flags
         marked = above & MARKED or (MARKED if x.parent.tag in MARKS else 0)
         header = x.tag == "header"
-        out = above & OUT or int(header and not marked) or int(says_no(x, total))
+        out = above & OUT or int(header and not marked) or int(says_no(x, nodes[0]))
         x.flags = out | marked | (above & HEADED or (HEADED if header else 0))
         mark = mark_of.get(id(x.parent)) or (x if x.tag in MARKS else None)
         if mark is not None:
