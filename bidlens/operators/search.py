@@ -141,6 +141,13 @@ def parse_queries(inputs: DataFrame) -> DataFrame:
     ).filter(F.col("query") != "")
 
 
+def pair_score(shared: Column) -> Column:
+    """Share of a text's tokens, and what a rule's type and confidence add to it (0.25 at most); added in this order."""
+    bonus = F.when(F.col("rule_type") == F.col("requirement_type"), 0.15).when(F.col("rule_type") == "basis_rule", 0.05).otherwise(0.0)
+    sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 0.1
+    return round4(F.least(F.lit(1.0), shared / F.col("query_size") + bonus + sure))
+
+
 def match_scores(requirements: DataFrame, rules: DataFrame, salts: int = 1, carry: tuple = ()) -> DataFrame:
     """Score of every (requirement text, rule) pair that shares a token.
 
@@ -159,10 +166,7 @@ def match_scores(requirements: DataFrame, rules: DataFrame, salts: int = 1, carr
     shared = left.join(right, keys).groupBy(
         "requirement_key", "requirement_type", "query_size", "rule_id", "rule_type", "confidence", *carry
     ).agg(F.count("*").alias("shared"))
-    bonus = F.when(F.col("rule_type") == F.col("requirement_type"), 0.15).when(F.col("rule_type") == "basis_rule", 0.05).otherwise(0.0)
-    sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 0.1
-    score = F.least(F.lit(1.0), F.col("shared") / F.col("query_size") + bonus + sure)
-    return shared.select("requirement_key", "rule_id", *carry, "shared", round4(score).alias("score"))
+    return shared.select("requirement_key", "rule_id", *carry, "shared", pair_score(F.col("shared")).alias("score"))
 
 
 def healthy_rules(rules: DataFrame, searchable: DataFrame, index: DataFrame) -> DataFrame:
@@ -174,12 +178,13 @@ def healthy_rules(rules: DataFrame, searchable: DataFrame, index: DataFrame) ->
     return approved.join(passages, ["doc_id", "chunk_id"]).join(items, ["vector_id", "doc_id", "chunk_id", "chunk_hash"])
 
 
-def approved_topk(requirements: DataFrame, rules: DataFrame, k: int = 3, salts: int = 1) -> DataFrame:
+def approved_topk(requirements: DataFrame, rules: DataFrame, k: int = 3) -> DataFrame:
     """Best approved rules per requirement text; newest rule first on equal scores.  ``rules`` cite their own passage."""
-    scores = match_scores(requirements, rules, salts, carry=("updated_at", "doc_id", "chunk_id"))
-    scores = scores.withColumn("citation_candidate_id", citation_id(F.col("doc_id"), F.col("chunk_id")))
-    order = W.partitionBy("requirement_key").orderBy(F.desc("score"), F.desc("updated_at"), F.desc("rule_id"))
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= checked_k(k))
+    from bidlens.operators import overlap
+
+    columns = ("rule_id", "rule_type", "confidence", "rule_text", "updated_at", "doc_id", "chunk_id")
+    best = overlap.topk(requirements, rules.select(*columns), [F.desc("updated_at"), F.desc("rule_id")], checked_k(k))
+    return best.withColumn("citation_candidate_id", citation_id(F.col("doc_id"), F.col("chunk_id")))
 
 
 def merge_citations(primary: DataFrame, fallback: DataFrame, k: int = 3) -> DataFrame:

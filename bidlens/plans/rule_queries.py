@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bidlens.functions import fixed_values as fv
 from bidlens.functions.dictionaries import DEMO
-from bidlens.operators import index as ix
+from bidlens.operators import block_index as bi
 from bidlens.operators import rules as ru
 from bidlens.operators import search as se
 from bidlens.plans import sql as q
@@ -328,8 +328,8 @@ def citation_rows(frame, source, key="requirement_key"):
 
 
 def merged(t):
-    postings = ix.postings(t.searchable_chunks.select("doc_id", "chunk_id", "chunk_index", "chunk_text"))
-    fallback = se.topk(t.benchmark_queries, postings, 3)
+    index, folders = t.search_index
+    fallback = bi.topk(t.benchmark_queries, index, 3, folders)
     return se.merge_citations(citation_rows(approved(t), "approved_rule_candidate"), citation_rows(fallback, "basis_search", "query_id"), 3)
 
 
