@@ -13,6 +13,7 @@ from bidlens.functions import text as tx
 
 ANCHOR_TOKENS = 3
 SHORT_PIECE = 5
+CELLS = 1 << 16  # of the frequency sketch
 
 
 def _piece(size: int, text: str, end) -> Column:
@@ -50,16 +51,40 @@ def text_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     return pairs.filter(F.col("hay").contains(F.col("needle")))
 
 
+def pieces_of(text: str, size: int) -> Column:
+    """The distinct pieces of ``size`` characters of a column that has at least so many."""
+    return F.array_distinct(_piece(size, text, F.length(text) - size + 1))
+
+
+def frequencies(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(cell, often): how many rows fall into each of ``CELLS`` cells of the keys' digests.
+
+    A sketch of fixed size: a cell's count is that of its pieces together, never less than that of any of them.  Tasks
+    count their rows first, so what moves is at most their cells.
+    """
+    return pieces.select(cell_of(keys)).groupBy("cell").agg(F.count("*").alias("often"))
+
+
+def cell_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias("cell")
+
+
+def rarest_anchors(short: DataFrame, pieces: DataFrame, on: list[str], size: int) -> DataFrame:
+    """(on, short_key, anchor): of every distinct short key the piece that the longer side has least, by its sketch."""
+    keys = [*on, "anchor"]
+    own = short.select(*on, "short_key").distinct().withColumn("anchor", F.explode(pieces_of("short_key", size)))
+    met = own.withColumn("cell", cell_of(keys)).join(frequencies(pieces, keys), "cell", "left")
+    rank = F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col("anchor"))
+    return met.groupBy(*on, "short_key").agg(F.min(rank)["anchor"].alias("anchor"))
+
+
 def key_pairs(short: DataFrame, long: DataFrame, on: list[str], min_length: int = 5) -> DataFrame:
     """Pairs, equal on ``on``, where ``long_key`` holds ``short_key`` (at least ``min_length`` characters).
 
-    Anchor: the first ``min_length`` characters of the short key, met by every piece of that length in the long key.
+    Anchor: the piece of ``min_length`` characters of the short key that is rarest among those of the long keys, so that
+    beginnings that many keys share don't bring them all together.
     """
-    left = short.filter(F.length("short_key") >= min_length).withColumn("anchor", F.substring("short_key", 1, min_length))
-    pieces = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.length("long_key") - min_length + 1), lambda i: F.substring(F.col("long_key"), i, F.lit(min_length))
-        )
-    )
-    right = long.filter(F.length("long_key") >= min_length).withColumn("anchor", F.explode(pieces))
+    left = short.filter(F.length("short_key") >= min_length)
+    right = long.filter(F.length("long_key") >= min_length).withColumn("anchor", F.explode(pieces_of("long_key", min_length)))
+    left = left.join(rarest_anchors(left, right.select(*on, "anchor"), on, min_length), [*on, "short_key"])
     return left.join(right, [*on, "anchor"]).filter(F.col("long_key").contains(F.col("short_key"))).drop("anchor")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidlens.functions import fixed_values as fv
 from bidlens.functions import text as tx
 from bidlens.operators import search as se
-from bidlens.session import materialize
 
 RUN = ["notice_id", "company_id"]
 UNMET = ["missing", "needs_review", "uncertain"]
@@ -54,19 +55,22 @@ def with_text_key(items: DataFrame) -> DataFrame:
     )
 
 
-def citations(texts: DataFrame, rules: DataFrame, postings: DataFrame, k: int = 3) -> DataFrame:
+def texts_of(items: DataFrame) -> DataFrame:
+    return items.select("requirement_key", "requirement_type", "requirement_text").distinct()
+
+
+def citations(texts: DataFrame, rules: DataFrame, search: Callable[[DataFrame, int], DataFrame], k: int = 3) -> DataFrame:
     """Up to k citations per distinct requirement text.
 
     Approved rules first.  Only texts without a ready rule citation go to the passage search, so the search side
-    shrinks to what is still open.
+    shrinks to what is still open.  ``search(queries, k)`` gives the best passages of (query_id, query) rows.
     """
     columns = ["requirement_key", "rank", "citation_candidate_id", "doc_id", "chunk_id", "score", "source_type", "rule_id"]
     primary = se.approved_topk(texts, rules, k).withColumn("source_type", F.lit("approved_rule_candidate")).select(*columns)
-    primary = materialize(primary)  # k rows per text at most; read twice below
     ready = primary.filter(se.review_ready(primary)).select("requirement_key").distinct()
     still_open = texts.join(ready, "requirement_key", "left_anti")
     queries = still_open.select(F.col("requirement_key").alias("query_id"), F.col("requirement_text").alias("query"))
-    fallback = se.topk(queries, postings, k).select(
+    fallback = search(queries, k).select(
         F.col("query_id").alias("requirement_key"), "rank",
         se.citation_id(F.col("doc_id"), F.col("chunk_id")).alias("citation_candidate_id"), "doc_id", "chunk_id",
         se.round4(F.col("score")).alias("score"), F.lit("basis_search").alias("source_type"), F.lit(None).cast("long").alias("rule_id"),
@@ -74,17 +78,51 @@ def citations(texts: DataFrame, rules: DataFrame, postings: DataFrame, k: int =
     return se.merge_citations(primary, fallback, k)
 
 
-def judgment_items(compared: DataFrame, rules: DataFrame, postings: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+class Memo:
+    """Citations by requirement text, stored for one version of the rules and passages.
+
+    A row is a text that was cited, with its citations, none included.  A run cites only texts that no run before it did
+    and appends them; over unchanged texts and rules it reads no passage.  Runs that cite the same text at once store it
+    twice, and alike.
+    """
+
+    CITATION = "position: int, citation_candidate_id: string, doc_id: long, chunk_id: long, score: double, source_type: string, rule_id: long"
+
+    def __init__(self, spark: SparkSession, path: str, version: str):
+        self.spark, self.path = spark, f"{path}/version={version}"
+
+    def rows(self) -> DataFrame:
+        schema = f"requirement_key string, citations array<struct<{self.CITATION}>>"
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path).dropDuplicates(["requirement_key"])
+
+    def cite_new(self, texts: DataFrame, cite: Callable[[DataFrame], DataFrame]) -> bool:
+        """Cites the texts that are not in the memo; whether there were any."""
+        fresh = texts.join(self.rows().select("requirement_key"), "requirement_key", "left_anti")
+        if fresh.isEmpty():
+            return False
+        found = cite(fresh).groupBy("requirement_key").agg(
+            F.array_sort(F.collect_list(F.struct("position", "citation_candidate_id", "doc_id", "chunk_id", "score", "source_type", "rule_id"))).alias("citations")
+        )
+        fresh.select("requirement_key").join(found, "requirement_key", "left").write.mode("append").parquet(self.path)
+        return True
+
+    def citations(self) -> DataFrame:
+        """One row per citation."""
+        return self.rows().select("requirement_key", F.explode("citations").alias("c")).select("requirement_key", "c.*")
+
+
+def judgment_items(compared: DataFrame, memo: Memo) -> tuple[DataFrame, DataFrame]:
     """(items, citations).
 
-    ``compared``: comparison items with required_evidence_types.  Citations depend on the requirement text alone, so they
-    are found once per distinct text, however many notices repeat it, and joined back.
+    ``compared``: comparison items with required_evidence_types and their text key.  Citations depend on the requirement
+    text alone, so they are found once per distinct text, however many notices and runs repeat it, and joined back.
     """
-    items = materialize(with_text_key(compared))
-    texts = materialize(items.select("requirement_key", "requirement_type", "requirement_text").distinct())
-    cited = materialize(citations(texts, rules, postings, k))
-    state = se.citation_readiness(texts.select("requirement_key"), cited)
-    rows = items.join(state, "requirement_key", "left").withColumn("match_status", judged(F.col("status")))
+    cited = memo.citations().join(compared.select("requirement_key").distinct(), "requirement_key", "left_semi")
+    state = se.citation_readiness(compared.select("requirement_key").distinct(), cited)
+    rows = compared.join(state, "requirement_key", "left").withColumn("match_status", judged(F.col("status")))
     ready = F.col("ready_count") > 0
     rows = rows.withColumns(
         {

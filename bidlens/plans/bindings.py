@@ -37,12 +37,19 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def version(self) -> str:
+        """Names the state of all given tables: changes when any of their files does."""
+        from bidlens import session
+
+        return session.fingerprint(self.spark, *(f"{self.sf_dir}/{name}.parquet" for name in TABLE_NAMES))
+
     def freeze(self, *names: str) -> "Tables":
-        """Write derived tables that a query reads several times (stored tables in production)."""
-        from bidlens.session import materialize
+        """Read derived tables, which a query needs several times, from where they are stored; written once a version."""
+        from bidlens import session
 
         for name in names:
-            self.__dict__[name] = materialize(getattr(self, name))
+            self.__dict__[name] = session.stored(self.spark, name.replace("_", "-"), self.version, lambda name=name: getattr(self, name))
         return self
 
     def freeze_passages(self) -> "Tables":
@@ -100,6 +107,12 @@ class Tables:
 
         return ix.searchable(self.labelled_chunks)
 
+    @cached_property
+    def passages_version(self) -> str:
+        from bidlens import session
+
+        return session.fingerprint(self.spark, *(f"{self.sf_dir}/{name}.parquet" for name in ("documents", "labels")))
+
     @cached_property
     def search_index(self) -> tuple[DataFrame, int]:
         """The stored block index of the searchable passages and its number of folders; written when the tables it comes
@@ -108,13 +121,12 @@ class Tables:
         from bidlens.operators import block_index as bi
 
         documents = self.basis_documents.select("doc_id", "category", "document_version")
-        key = session.fingerprint(self.spark, *(f"{self.sf_dir}/{name}.parquet" for name in ("documents", "labels")))
-        path, written = session.stored_at(self.spark, "search-index", key)
+        path, written = session.stored_at(self.spark, "search-index", self.passages_version)
         folders = 1 + self.documents.count() * 3 // bi.FOLDER_PASSAGES
-        index = bi.build(self.searchable_chunks, bi.span_of(documents), folders)
+        index = bi.build(self.searchable_chunks, 1 if written else bi.span_of(documents), folders)
         if not written:
             bi.write(index, path)
-        return session.stored(self.spark, path, index.schema), folders
+        return self.spark.read.schema(index.schema).parquet(path), folders
 
     @cached_property
     def benchmark_queries(self) -> DataFrame:
@@ -303,19 +315,33 @@ class Tables:
 
     @cached_property
     def judged(self):
-        """(items, citations) of every trade notice and its company."""
-        from bidlens.operators import index as ix
+        """(items, citations) of every trade notice and its company, as stored for this version of the tables.
+
+        Where they are not, texts are cited that the memo of these rules and passages doesn't know yet.
+        """
+        from bidlens import session
+        from bidlens.operators import judgment as ju
+
+        memo = ju.Memo(self.spark, session.stored_at(self.spark, "citations", "memo")[0], self.passages_version)
+        compared = lambda: ju.with_text_key(self.freeze("trade_requirements", "trade_profile").compared)
+        compared = session.stored(self.spark, "compared", self.version, compared)
+        memo.cite_new(ju.texts_of(compared), self._cite)
+        items, cited = ju.judgment_items(compared, memo)
+        return items.withColumn("item_pos", F.conv(F.substring(F.sha2("requirement_id", 256), 1, 12), 16, 10).cast("long")), cited
+
+    def _cite(self, texts: DataFrame) -> DataFrame:
+        """Citations of requirement texts, from the approved rules and the stored index."""
+        from bidlens.operators import block_index as bi
         from bidlens.operators import judgment as ju
         from bidlens.operators import search as se
 
         joined = F.concat_ws(
             " ", "condition_text", "target_scope", F.array_join("required_evidence_types", " "), F.array_join("related_profile_fields", " ")
         )
-        self.freeze_passages().freeze("rules", "trade_requirements", "trade_profile")
+        self.freeze_passages().freeze("rules")
         healthy = se.healthy_rules(self.rules, self.searchable_chunks, self.index_items).withColumn("rule_text", joined)
-        postings = ix.postings(self.searchable_chunks.select("doc_id", "chunk_id", "chunk_index", "chunk_text"))
-        items, cited = ju.judgment_items(self.compared, healthy, postings)
-        return items.withColumn("item_pos", F.conv(F.substring(F.sha2("requirement_id", 256), 1, 12), 16, 10).cast("long")), cited
+        index, folders = self.search_index
+        return ju.citations(texts, healthy, lambda queries, k: bi.topk(queries, index, k, folders))
 
     # ---- companies and their certificates --------------------------------------------------------------------
     @cached_property

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from bidlens.functions import fixed_values as fv
@@ -9,6 +11,7 @@ from bidlens.functions import text as tx
 from bidlens.plans import sql as q
 from bidlens.plans.registry import query
 
+
 def _per_document(t, **columns):
     return t.documents.select("doc_id", *[c.alias(n) for n, c in columns.items()])
 
@@ -56,9 +59,33 @@ def _(t):
     return _per_document(t, value=tx.reference_normalize(_rough()))
 
 
-@query("procurement_boundary_restore")
+_FLAT = ["입찰 공고 1. 목적 가. 나라.마을 12. A항 ", "나.다.라. 끝 (계약)2024. 5. 6 완료한다 - 다음 다다가 ", "34.나 5.6 7", "․ 다\t-끝 이다다 \n8. b 하\n가. c"]
+
+
+def _flat_sql() -> str:
+    """Lost line breaks, in letters of the binding: look-arounds are said by marks and passes over what they leave."""
+    letter = "[가-힣A-Za-z]"
+    text = rf"""regexp_replace(replace(concat(coalesce(text, ''), {', '.join(x for part in _FLAT for x in (_breaks(part), 'doc_id'))}), '․', '.'), '[ \t]{{2,}}|\t', ' ', 'g')"""
+    return rf"""WITH a AS (SELECT doc_id, string_split(regexp_replace({text}, '([0-9]+)(\.{q.WS}*{letter})', chr(1) || '\1' || chr(2) || '\2', 'g'), chr(1)) AS p FROM documents),
+    b AS (SELECT doc_id, p[1] || array_to_string(list_transform(p[2:], lambda x, i: CASE WHEN p[i][-1] = chr(10)
+      THEN substr(regexp_replace(split_part(x, chr(2), 1), '([0-9])', chr(10) || '\1', 'g'), 2) ELSE regexp_replace(split_part(x, chr(2), 1), '([0-9])', chr(10) || '\1', 'g') END
+      || substr(x, length(split_part(x, chr(2), 1)) + 2)), '') AS v FROM a),
+    c AS (SELECT doc_id, regexp_replace(v, '(^|[^\n])([가-힣]\.{q.WS}*{letter})', '\1' || chr(10) || '\2', 'g') AS v FROM b),
+    d AS (SELECT doc_id, regexp_replace(v, '(^|[^\n])([가-힣]\.{q.WS}*{letter})', '\1' || chr(10) || '\2', 'g') AS v FROM c),
+    e AS (SELECT doc_id, regexp_replace(v, '([가-힣)])([0-9]{{4}}\.{q.WS}*[0-9]{{1,2}}\.{q.WS}*[0-9]{{1,2}})', '\1' || chr(10) || '\2', 'g') AS v FROM d),
+    f AS (SELECT doc_id, regexp_replace(v, '다({q.WS}*[-가-힣])', '다' || chr(3) || '\1', 'g') AS v FROM e),
+    g AS (SELECT doc_id, replace(regexp_replace(v, '다({q.WS}*[-가-힣])', '다' || chr(3) || '\1', 'g'), chr(3), chr(10)) AS v FROM f)
+    SELECT doc_id, {q.basis_normalize('v')} AS value FROM g"""
+
+
+def _breaks(part: str) -> str:
+    return "(" + " || ".join(f"{q.s(x)}" if x not in ("\n", "\t") else f"chr({ord(x)})" for x in re.split("([\n\t])", part) if x) + ")"
+
+
+@query("procurement_boundary_restore", _flat_sql())
 def _(t):
-    return _per_document(t, value=tx.procurement_boundary_restore(F.col("text")))
+    parts = [x for part in _FLAT for x in (F.lit(part), F.col("doc_id").cast("string"))]
+    return _per_document(t, value=tx.procurement_boundary_restore(F.concat(F.coalesce("text", F.lit("")), *parts)))
 
 
 @query("evidence_normalize", f"SELECT doc_id, {q.evidence_normalize(_ROUGH_SQL)} AS value FROM documents")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
+FORMAT = 3  # of stored tables: a new one where their columns or meaning change
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -34,28 +35,19 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """Where named tables are stored: the cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
     context = spark.sparkContext
-    if not folder and context.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoint")
-    if folder:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoint"))
     return context.getCheckpointDir()
 
 
-def materialize(frame: DataFrame) -> DataFrame:
-    """Write an intermediate once and go on from there: for results that several branches of a plan read.
-
-    A reliable checkpoint: it outlives the executors that wrote it, and the plan above it stays short.
-    """
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def _file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -72,11 +64,18 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
 
 
 def stored_at(spark: SparkSession, name: str, key: str) -> tuple[str, bool]:
-    """(path of a named table in the shared folder, whether it is already written).  ``key`` names what it was made of."""
-    path = f"{checkpoint_dir(spark)}/{name}-{key}"
+    """(path of a named table in the shared folder, whether it is already written).  ``key`` names what it was made of.
+
+    Such tables outlive executors and sessions; who no longer needs one deletes its folder.
+    """
+    path = f"{shared_folder(spark)}/bidlens-{FORMAT}/{name}-{key}"
     files, where = _file_system(spark, f"{path}/_SUCCESS")
     return path, files.exists(where)
 
 
-def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def stored(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A named table: read where it is written, else made and written first."""
+    path, written = stored_at(spark, name, key)
+    if not written:
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
