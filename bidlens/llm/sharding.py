@@ -71,9 +71,23 @@ def cut(position: str, total: int, n_shards: int) -> list[Column]:
     return [shard.cast("int").alias("shard"), (at - first).cast("long").alias("slot")]
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder a shard, rows by slot."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(documents: DataFrame, path: str, n_shards: int = 24, seed: str = "shards") -> None:
+    """Writes every row with its text: a folder for each shard, rows by slot, a shard in as many files as its rows need.
+
+    Places are found without texts; then each row gets its text by what the place was found with (id, source, size and
+    CRC-32).  Repeated rows share one text, so their number moves no text.  Two different texts of one id, source, size and
+    CRC-32 would be taken for one.
+    """
+    key = ["doc_id", "source", "size", "text_crc32"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = documents.select(
+        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), text.alias("text"),
+    ).dropDuplicates(key)
+    placed, texts = shards(documents, n_shards, seed).alias("p"), texts.alias("t")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key]
+    rows = placed.join(texts, same).select("p.*", "t.text")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_table(documents: DataFrame, n_shards: int = 24) -> DataFrame:

@@ -392,6 +392,17 @@ def test_tree_matching_against_the_plain_program():
         assert size == plain_matching(a, b) and len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs}) == len(pairs)
 
 
+def test_written_shards_hold_every_text(spark, tmp_path):
+    rows = messy_texts() + [(50, "again " * 30, "en", None)] * 7 + [(100 + i, prose(i, 20), "en", None if i % 2 else "s") for i in range(60)]
+    frame = documents(spark, rows)
+    sharding.write_shards(frame, str(tmp_path / "shards"), n_shards=5)
+    got = spark.read.parquet(str(tmp_path / "shards")).collect()
+    want = sharding.shards(frame, 5).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((i or -1, t or "") for i, t, _, _ in rows)
+    assert sorted((r.shard, r.slot) for r in got) == sorted((r.shard, r.slot) for r in want)
+    assert all(zlib.crc32(r.text.encode()) == r.text_crc32 and len(r.text.encode()) + 8 == r.size for r in got)
+
+
 def test_texts_shorter_than_an_item(spark, monkeypatch):
     item = prose(77, 40).split()
     texts = [" ".join(item[:-1]), " ".join(item[1:]), " ".join(item[:33]), " ".join(item[:32]), " ".join(item[:20]), " ".join(item[:3]), " ".join(item)]
