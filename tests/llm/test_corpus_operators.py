@@ -200,3 +200,16 @@ def test_links_against_brute_force(spark, percent):
     assert {tuple(r) for r in pairs.collect()} == {(a, b) for a, b in near if rep[a] == a and rep[b] == b and sets[a] != sets[b]}
     counts = collections.Counter(i for pair in near for i in pair)
     assert {r.doc_id: r.n_links for r in jaccard_join.link_counts(pairs, members).collect()} == {i: counts[i] for i in sets}
+
+
+def test_one_row_of_an_id_stays(spark):
+    rows = [(1, prose(1, 40), "en", "a"), (1, prose(2, 40), "en", "a"), (1, prose(2, 40), "en", "a"), (2, prose(3, 40), "en", "b"), (2, prose(3, 40), "en", "b"),
+            (3, prose(4, 40), "en", None), (4, prose(4, 40), None, "c"), (None, prose(5, 30), "en", "a"), (None, prose(5, 30), "en", "a"), (5, None, "en", "a")]
+    frame = documents(spark, rows)
+    got = corpus_pipeline.drop_near_duplicates(spark, frame, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    digest = F.xxhash64(*corpus_pipeline.COLUMNS)
+    least = frame.filter("doc_id = 1").orderBy(digest).first().text
+    assert kept == sorted([(1, least), (2, prose(3, 40)), (3, prose(4, 40)), (None, prose(5, 30)), (None, prose(5, 30)), (5, None)], key=str)
+    assert corpus_pipeline.drop_near_duplicates(spark, empty(spark), "").count() == 0
