@@ -44,3 +44,17 @@ def test_stored_tables_follow_their_files(spark, tmp_path):
     assert read() == [1, 2, 3, 4, 5] and len(made) == 2
     with pytest.raises(Exception):
         session.fingerprint(spark, str(tmp_path / "missing.parquet"))
+
+
+def test_judged_items_are_read_once(spark, tmp_path):
+    columns = "requirement_key string, required_value string, label string, required_evidence_types array<string>, status string"
+    rows = [("a", "v", "l", ["e"], "prepared"), ("b", "w", "l", [], "possibly_missing"), ("c", "x", "l", [], "needs_review")]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "compared"))
+    memo = ju.Memo(spark, str(tmp_path / "memo"), "v1")
+    texts = spark.createDataFrame([(k, "license", k) for k in "abz"], TEXT)
+    memo.cite_new(texts, lambda t: spark.createDataFrame([(k, 1, f"basis:1:chunk:{k}", 1, 1, s, "basis_search", None) for k, s in (("a", 0.5), ("b", 0.1), ("z", 0.9))], CITED))
+    items, _cited = ju.judgment_items(spark.read.parquet(str(tmp_path / "compared")), memo)
+    got = {r.requirement_key: (r.citation_count, r.ready_count, r.citation_status) for r in items.collect()}
+    assert got == {"a": (1, 1, "candidate_found"), "b": (1, 0, "weak_candidate"), "c": (0, 0, "missing")}
+    scans = [line for line in items._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in line and "required_value" in line]
+    assert len(scans) == 1
