@@ -82,3 +82,14 @@ def test_index_of_nothing(spark):
     table = passages(spark, [])
     index = bi.build(table, bi.span_of(table.select("doc_id", "category", "document_version")))
     assert bi.topk(spark.createDataFrame([(1, "alpha")], "query_id long, query string"), index).count() == 0
+
+
+def test_no_count_of_a_passage_moves(spark):
+    rows = corpus(9, 300)
+    table = passages(spark, rows)
+    index = bi.build(table, bi.span_of(table.select("doc_id", "category", "document_version").distinct()))
+    tokens = bi._asked(questions(spark, rows, 25), 1)
+    found = bi.scored(bi.block_bounds(tokens, index), tokens, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    opened = plan.index("Generate explode(passages")  # above it in the plan, so after it in the run, nothing is exchanged
+    assert "Exchange" not in plan[:opened] and found.count() > 0
