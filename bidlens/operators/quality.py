@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,45 +18,91 @@ from bidlens.functions.dictionaries import KOREAN, Dictionaries
 
 MIN_LINE, MIN_ROW_RECALL = 12, 0.65
 
+# workers get what a task needs of this module from the driver
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _gram_codes(a: str, b: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every n-gram of two texts, the same for the same gram and for no other one."""
+    points = np.frombuffer((a + b).encode("utf-32-le"), np.uint32).astype(np.int64)
+    if points.max(initial=0) >= 1 << 62 // n:
+        points = np.unique(points, return_inverse=True)[1]
+    kinds, ends, codes = int(points.max(initial=0)) + 1, len(points) - n + 1, points[: max(len(points) - n + 1, 0)]
+    for i in range(1, n):
+        if int(codes.max(initial=0)) >= (1 << 62) // kinds:
+            codes = np.unique(codes, return_inverse=True)[1]
+        codes = codes * kinds + points[i : max(ends + i, i)]
+    return codes[: max(len(a) - n + 1, 0)], codes[len(a) :]  # without those that begin in one text and end in the other
+
+
+def _shared_grams(a: str, b: str, n: int) -> tuple[int, int, int]:
+    """(sum(min(n_a, n_b)), grams of a, grams of b); a text shorter than a gram is one gram, an empty one has none."""
+    sizes = [max(len(x) - n + 1, min(len(x), 1)) for x in (a, b)]
+    if min(len(a), len(b)) < n:
+        return int(a == b and a != ""), *sizes
+    (own, own_counts), (other, other_counts) = (np.unique(codes, return_counts=True) for codes in _gram_codes(a, b, n))
+    _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+    return int(np.minimum(own_counts[i], other_counts[j]).sum()), *sizes
+
+
+def ngram_recall(pairs: DataFrame, n: int = 5) -> DataFrame:
+    """``multiset_recall`` over all overlapping n-grams of the space-free texts; counted in numpy, a pair at a time."""
+    def count(batches):
+        for batch in batches:
+            ids, a, b = batch.columns
+            counts = [_shared_grams(x.as_py(), y.as_py(), n) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]], ["pair_id", "m", "sa", "sb"])
+
+    texts = pairs.select("pair_id", tx.space_compact(F.col("a")).alias("a"), tx.space_compact(F.col("b")).alias("b"))
+    kind = texts.schema["pair_id"].dataType.simpleString()
+    return _ratios(texts.mapInArrow(count, f"pair_id {kind}, m long, sa long, sb long"))
+
+
+def _piece_counts(a: pa.ListArray, b: pa.ListArray, unique: bool) -> list[np.ndarray]:
+    """The same three numbers of every row of two columns of pieces; ``unique`` counts each piece of a text once."""
+    n, sides = len(a), (a, b)
+    lengths = [pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False) for side in sides]
+    encoded = pa.concat_arrays([side.flatten() for side in sides]).dictionary_encode()
+    codes, kinds = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(encoded.dictionary), 1)
+    split = lengths[0].sum()
+    keys = [np.repeat(np.arange(n), size) * kinds + own for size, own in zip(lengths, (codes[:split], codes[split:]))]
+    (own, own_counts), (other, other_counts) = (np.unique(key, return_counts=True) for key in keys)
+    if unique:
+        own_counts[:], other_counts[:] = 1, 1
+    met, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+    parts = ((met, np.minimum(own_counts[i], other_counts[j])), (own, own_counts), (other, other_counts))
+    return [np.bincount(key // kinds, weights=count, minlength=n).astype(np.int64) for key, count in parts]
 
-def char_ngrams(text: Column, n: int = 5) -> Column:
-    """All overlapping n-grams of the space-free text; a shorter text is one gram.  One linear pass (look-ahead)."""
-    def grams(c):
-        return (
-            F.when(c == "", tx.str_array([])).when(F.length(c) < n, F.array(c))
-            .otherwise(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        )
 
-    return tx.let(tx.space_compact(text), grams)
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(1.0))
 
 
-def piece_counts(pairs: DataFrame, pieces) -> DataFrame:
-    """(pair_id, piece, n_a, n_b); a pair without pieces has one row without a piece.  Nothing is joined."""
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), pieces(F.col("a")).alias("p")), F.struct(F.lit(1).alias("side"), pieces(F.col("b")).alias("p"))
-    )
-    rows = pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", F.col("s.side").alias("side"), F.explode_outer("s.p").alias("piece"))
-    there = F.col("piece").isNotNull()
-    return rows.groupBy("pair_id", "piece").agg(
-        F.count_if(there & (F.col("side") == 0)).alias("n_a"), F.count_if(there & (F.col("side") == 1)).alias("n_b")
-    )
+def _ratios(rows: DataFrame, *kept: str) -> DataFrame:
+    return rows.select("pair_id", *kept, _ratio(F.col("m"), F.col("sa")).alias("recall_a"), _ratio(F.col("m"), F.col("sb")).alias("recall_b"))
 
 
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(1.0))
+def multiset_recall(pairs: DataFrame, pieces, carry: dict[str, Column] | None = None, unique: bool = False) -> DataFrame:
+    """sum(min(n_a, n_b)) / sum(n_a), and the other way round; 1.0 when the base is empty.
 
+    ``pairs``: pair_id (one row each), a, b; ``carry``: further columns made from them.  Both texts sit in the row of a
+    pair, so its pieces are counted in the task that has the row.
+    """
+    def count(batches):
+        for batch in batches:
+            *kept, a, b = batch.columns
+            counts = [pa.array(c) for c in _piece_counts(a, b, unique)]
+            yield pa.RecordBatch.from_arrays([*kept, *counts], [*batch.schema.names[:-2], "m", "sa", "sb"])
 
-def multiset_recall(pairs: DataFrame, pieces) -> DataFrame:
-    """sum(min(n_a, n_b)) / sum(n_a), and the other way round; 1.0 when the base is empty."""
-    a, b = F.col("n_a"), F.col("n_b")
-    rows = piece_counts(pairs, pieces).groupBy("pair_id").agg(F.sum(F.least(a, b)).alias("m"), F.sum(a).alias("sa"), F.sum(b).alias("sb"))
-    return rows.select("pair_id", _ratio(F.col("m"), F.col("sa")).alias("recall_a"), _ratio(F.col("m"), F.col("sb")).alias("recall_b"))
+    carried = [c.alias(name) for name, c in (carry or {}).items()]
+    rows = pairs.select("pair_id", *carried, pieces(F.col("a")).alias("a"), pieces(F.col("b")).alias("b"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
+    return _ratios(rows.mapInArrow(count, ", ".join([*kinds, "m long, sa long, sb long"])), *(carry or {}))
 
 
 def unique_recall(pairs: DataFrame, pieces) -> DataFrame:
-    a, b = F.col("n_a") > 0, F.col("n_b") > 0
-    rows = piece_counts(pairs, pieces).groupBy("pair_id").agg(F.count_if(a & b).alias("m"), F.count_if(a).alias("sa"), F.count_if(b).alias("sb"))
-    return rows.select("pair_id", _ratio(F.col("m"), F.col("sa")).alias("recall_a"), _ratio(F.col("m"), F.col("sb")).alias("recall_b"))
+    """The same over distinct pieces."""
+    return multiset_recall(pairs, pieces, unique=True)
 
 
 def _coverage(items: Column, target: Column) -> Column:

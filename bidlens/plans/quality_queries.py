@@ -56,7 +56,7 @@ def _gram_sql() -> str:
 
 @query("char_ngram_recall", _gram_sql())
 def _(t):
-    return qa.multiset_recall(_pairs(t), qa.char_ngrams)
+    return qa.ngram_recall(_pairs(t))
 
 
 @query("numeric_recall", _recall(q.numbers))
@@ -204,9 +204,7 @@ mt AS (SELECT pair_id, length(a)::BIGINT AS char_count, CASE WHEN coalesce(sa, 0
 
 
 def _metrics(t):
-    pairs = _pairs(t)
-    lengths = pairs.select("pair_id", F.length("a").cast("long").alias("char_count"))
-    return qa.multiset_recall(pairs, tx.tokenize).join(lengths, "pair_id")
+    return qa.multiset_recall(_pairs(t), tx.tokenize, {"char_count": F.length("a").cast("long")})
 
 
 @query(
