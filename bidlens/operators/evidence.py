@@ -45,13 +45,19 @@ def classify(text: Column, file_name: Column, rules=None) -> Column:
 
 def status(documents: DataFrame, rules=None) -> DataFrame:
     """Type, confidence and state of each certificate; a requested type other than auto is taken as it is."""
-    text = tx.evidence_normalize(F.col("text"))
-    rows = documents.withColumn("text", text).withColumn("_c", classify(F.col("text"), F.col("file_name"), rules))
+    added = ("document_type", "classification_confidence", "first_status")
+    rows = documents.drop(*added).withColumn("text", tx.evidence_normalize(F.col("text")))
     manual = ~F.coalesce("requested_type", F.lit("")).isin("", "auto")
-    kind = F.when(manual, F.col("requested_type")).otherwise(F.col("_c.document_type"))
-    sure = F.when(manual, F.greatest("_c.confidence", F.lit(0.8))).otherwise(F.col("_c.confidence"))
-    first = F.when(manual, "manual").when(F.col("_c.document_type") != "unknown", "classified").otherwise("needs_review")
-    return rows.withColumns({"document_type": kind, "classification_confidence": sure, "first_status": first}).drop("_c")
+
+    def decided(c):
+        kind = F.when(manual, F.col("requested_type")).otherwise(c["document_type"])
+        sure = F.when(manual, F.greatest(c["confidence"], F.lit(0.8))).otherwise(c["confidence"])
+        first = F.when(manual, "manual").when(c["document_type"] != "unknown", "classified").otherwise("needs_review")
+        return F.struct(*[value.alias(name) for name, value in zip(added, (kind, sure, first))])
+
+    # rows of a generator: a filter on the type stays above it, so that no certificate is classified twice or in the scan
+    found = F.transform(F.array(classify(F.col("text"), F.col("file_name"), rules)), decided)
+    return rows.select("*", F.inline(found))
 
 
 def final_status(rows: DataFrame) -> Column:

@@ -11,6 +11,7 @@ from bidlens.functions import fixed_values as fv
 from bidlens.operators import certificates as ce
 from bidlens.operators import evidence as ev
 from bidlens.plans import sql as q
+from bidlens.plans.bindings import spread_small
 from bidlens.plans.matching_queries import COMPANIES, EVIDENCE
 from bidlens.plans.registry import query
 
@@ -60,7 +61,7 @@ def certificates(t):
         F.col("n_name"), F.lit("\t님\n개업연월일 2010 년 5 월 "), (nation + 1).cast("string"), F.lit(" 일\n사업장 소재지 : "), F.col("n_name"), F.lit("도 "), seg,
         F.lit("구\n 3층 "), nation.cast("string"), F.lit("호\n본점 소재지 :"), case(_TAILS),
     )
-    rows = t.customer.join(t.nation, F.col("n_nationkey") == nation)
+    rows = spread_small(t.customer).join(t.nation, F.col("n_nationkey") == nation)
     return rows.select(
         F.col("c_custkey").alias("evidence_id"), F.when(bal > 9000, "").otherwise(body).alias("text"),
         F.concat(F.lit("scan-"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("file_name"),
@@ -147,7 +148,7 @@ def all_certificates(t):
     body = F.element_at(table, (key % _N).cast("string"))
     for mark, value in (("{name}", F.col("s_name")), ("{nation}", F.col("n_name")), ("{n}", F.lpad(key.cast("string"), 9, "2"))):
         body = F.replace(body, F.lit(mark), value)
-    more = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
+    more = spread_small(t.supplier).join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(
         (-1 - key).alias("evidence_id"), body.alias("text"),
         F.when(key % 5 != 0, F.concat(F.lit("scan"), (-1 - key).cast("string"), F.lit(".pdf"))).alias("file_name"),
         F.when(key % 11 == 0, "performance_certificate").when(key % 13 == 0, "strange_kind").otherwise("auto").alias("requested_type"),

@@ -111,3 +111,16 @@ def test_given_kind_lists(spark):
     assert got[0].types == ["건설업", "도매 및 소매업"]
     assert {"전기공사", "신재생에너지설비설치전문기업", "정보통신공사업", "토목공사업"} <= set(got[0].items)
     assert not any("종목" in item for item in got[0].items)
+
+
+def test_certificates_are_dealt_out_and_classified_once(spark):
+    from pyspark.sql import functions as F
+
+    from bidlens.plans import evidence_queries
+    from bidlens.plans.bindings import Tables
+
+    rows = ev.status(evidence_queries.all_certificates(Tables(spark, "/root/testdata/sf0.001")))
+    assert rows.filter("evidence_id > 0").select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    plan = rows.filter(F.col("document_type").isin("patent_certificate", "unknown"))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.split("\n") if "Filter " in line and "isnotnull" not in line]
+    assert filters and all(line.split("Filter ")[1].startswith("document_type#") for line in filters)
