@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidlens import session
 from bidlens.functions import fixed_values as fv
 from bidlens.functions.dictionaries import DEMO
 from bidlens.operators import requirements as rq
@@ -127,7 +128,10 @@ def _stored(t):
     UNION ALL SELECT 'dependent', o_orderkey, 'comparison', '' FROM orders WHERE o_orderkey NOT IN (SELECT notice_id FROM fresh)""",
 )
 def _(t):
-    fresh = t.notice_requirements.select("notice_id", "requirement_type", "required_value")
+    def mined():
+        return t.notice_requirements.select("notice_id", "requirement_type", "required_value")
+
+    fresh = session.stored(t.spark, "fresh-requirements", t.version, mined)  # read by every part
     comparisons = t.orders.select(
         F.col("o_orderkey").alias("notice_id"), F.lit("comparison").alias("requirement_type"), F.lit("").alias("required_value")
     )
