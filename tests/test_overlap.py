@@ -102,3 +102,11 @@ def test_pairs_are_neither_shuffled_nor_grouped(spark):
 def test_all_pairs_of_no_rules_or_no_texts(spark):
     assert se.match_scores(texts_of(spark, 2, 1), rules_of(spark, 0, 1)).count() == 0
     assert se.match_scores(texts_of(spark, 0, 1).limit(0), rules_of(spark, 5, 1)).count() == 0
+
+
+def test_tokens_of_rules_are_those_of_texts(spark):
+    """The rules' texts are split in Arrow: a rule shares as many tokens with its own text as that has."""
+    odd = ["Ab가b 1x ﾊﾝ", "İstanbul ẞtraße KELVIN \u212Aelvin ﬁsh", "가힣 힤가 ᄀ가", "a b c", "a_b-cd.EF ef", "😀ab😀cd", "ab\u00a0cd\u200bef", "é1 1é2 22é"]
+    texts = spark.createDataFrame([(f"t{i}", "license", x) for i, x in enumerate(odd)], "requirement_key string, requirement_type string, requirement_text string")
+    rules = spark.createDataFrame([(i, "license", 0.5, x) for i, x in enumerate(odd)], "rule_id long, rule_type string, confidence double, rule_text string")
+    assert sorted(map(tuple, se.match_scores(texts, rules).collect())) == counted_by_hand(texts, rules)

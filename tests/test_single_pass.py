@@ -1,7 +1,14 @@
 """Texts are cut and mined once by queries that need what they hold several times."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from bidlens.functions import text as tx
+from bidlens.operators import chunks as ch
 from bidlens.operators import rules as ru
+from bidlens.plans.bindings import Tables
 
 SF = "/root/testdata/sf0.001"
 GENERATED = """doc_id long, chunk_id long, chunk_index int, pos int, type_pos int, rule_type string, condition_text string, target_scope string,
@@ -46,3 +53,41 @@ def test_nothing_is_cut_twice(spark):
         assert "Generate" not in plan(queries[name](spark, SF)), name
     # windows, lines and types of the stored rules' passages; the passages they are checked against are only keys
     assert plan(queries["rule_approval_check"](spark, SF)).count("Generate ") == 3
+
+
+def test_a_line_is_made_compact_and_lower_once(spark):
+    """Every step of the miner on a line's text is one expression of the plan, not one a use."""
+    frame = Tables(spark, SF).mined_rules
+    text = plan(frame)
+    assert text.count("regexp_replace(coalesce(line") + text.count("regexp_replace(line") == 1
+    assert text.count("lower(line") == 1
+    assert text.count("substring(text#") == 1  # a passage is cut once, not for a filter and again
+
+
+def test_the_length_of_a_text_is_not_counted_for_each_window(spark):
+    docs = spark.createDataFrame([(1, "a" * 5000)], "doc_id long, text string").repartition(1)
+    out = ch.long_windows(docs)
+    assert plan(out).count("length(text#") == 1
+    assert [(r.char_start, r.char_end) for r in out.collect()] == [(0, 1600), (1420, 3020), (2840, 4440), (4260, 5000)]
+    ragged = spark.createDataFrame([(1, "\u3000\n " + "ab " * 600 + "\x85"), (2, None), (3, " \x1f"), (4, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.char_start, r.char_end, r.chunk_text) for r in ch.long_windows(ragged).collect())
+    whole = "\u3000\n " + "ab " * 600 + "\x85"
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (4, 0)]
+    assert all(g[4] == whole[g[2] : g[3]] == g[4].strip() for g in got[:2])
+
+
+def test_shortcuts_for_plain_texts_change_nothing(spark):
+    """Lines and normalised texts against the patterns without any test before them."""
+    odd = "\n\r\t \x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u200a\u200b’\u2028\u2029\u202f\u205f\u3000\xe9가\U0001f600\0"
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice(odd + "ab" * rnd.choice([1, 20])) for _ in range(rnd.randrange(40)))) for i in range(400)]
+    rows += [(-1, None), (-2, ""), (-3, "a\rb\r\nc\n\n\nd"), (-4, "a\u200b b"), (-5, "a ’ \n\u3000b")]
+    x, lines = F.col("x"), F.transform(F.split(F.coalesce("x", F.lit("")), tx.LINE_BREAK), tx.clean_text)
+    base = F.regexp_replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\0"), F.lit("")), r"\r\n?", "\n")
+    base = F.regexp_replace(F.regexp_replace(base, tx.RARE_BREAK, "\n"), r"[ \t]+", " ")
+    basis = tx.clean_text(F.regexp_replace(F.regexp_replace(base, f"{tx.BLANK}*\n{tx.BLANK}*", "\n"), "\n{3,}", "\n\n"))
+    evidence = tx.clean_text(F.regexp_replace(base, f"{tx.BLANK}*\n{tx.WS}*", "\n"))
+    frame = spark.createDataFrame(rows, "i long, x string").repartition(2)
+    got = frame.select("x", lines.alias("a"), tx.lines(x).alias("b"), basis.alias("c"), tx.basis_normalize(x).alias("d"), evidence.alias("e"), tx.evidence_normalize(x).alias("f"))
+    for r in got.collect():
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f), repr(r.x)
