@@ -93,7 +93,7 @@ def test_every_pair_equals_counting_by_hand(spark, monkeypatch, block, cells, gr
 
 def test_pairs_are_neither_shuffled_nor_grouped(spark):
     """Where a block of texts has met a group of rules, nothing follows but the score."""
-    frame = se.match_scores(texts_of(spark, 5, 1), rules_of(spark, 9, 1), groups=2)
+    frame = se.match_scores(texts_of(spark, 5, 1), rules_of(spark, 9, 1))
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
     assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Aggregate")
