@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidlens.operators import block_index as bi
@@ -93,3 +94,59 @@ def test_no_count_of_a_passage_moves(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     opened = plan.index("Generate explode(passages")  # above it in the plan, so after it in the run, nothing is exchanged
     assert "Exchange" not in plan[:opened] and found.count() > 0
+
+
+def test_queries_of_the_same_known_tokens_are_searched_once(spark, monkeypatch):
+    asked, before = [], bi.blocks_for
+    monkeypatch.setattr(bi, "blocks_for", lambda tokens, index, k: asked.append(tokens) or before(tokens, index, k))
+    rows = corpus(5, 200)
+    table = passages(spark, rows)
+    index = bi.build(table, bi.span_of(table.select("doc_id", "category", "document_version").distinct()))
+    queries = spark.createDataFrame([(i, f"common {rows[i % 2][5].split()[0]} nowhere{i}" + " neither" * (i % 3)) for i in range(50)], "query_id long, query string")
+    want = se.topk(queries, ix.postings(table.select("doc_id", "chunk_id", "chunk_index", "chunk_text")), 3)
+    columns = ["query_id", "rank", "doc_id", "chunk_id", "shared", "score"]
+    assert sorted(map(tuple, bi.topk(queries, index, 3).select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert asked[0].select("query_id").distinct().count() <= 2
+
+
+def test_where_all_share_as_much_only_the_newest_blocks_are_read(spark, monkeypatch):
+    monkeypatch.setattr(bi, "DOCUMENTS", 12)
+    table = passages(spark, [(i, i * 10, 0, "en", "v0", f"common word{i}") for i in range(1200)])
+    index = bi.build(table, bi.span_of(table.select("doc_id", "category", "document_version")))
+    asked = spark.createDataFrame([(1, "common")], "query_id long, query string")
+    tokens, first, rest = bi.chosen_blocks(asked, index, 5, folders=1)
+    assert bi.block_bounds(tokens, index).count() >= 90 and first.count() == 2 and rest.count() == 0
+    assert [r.doc_id for r in bi.topk(asked, index, 5).orderBy("rank").collect()] == [1199, 1198, 1197, 1196, 1195]
+
+
+def test_best_of_a_block_counted_in_slices(spark, monkeypatch):
+    """Few or many queries at once, passages that are listed twice, and fewer passages than k."""
+    rows = corpus(6, 120)
+    table = passages(spark, rows + rows[:9])
+    index = bi.build(table, bi.span_of(table.select("doc_id", "category", "document_version").distinct()))
+    tokens = bi._asked(questions(spark, rows, 15), 1)
+    chosen = bi.block_bounds(tokens, index)
+    place = W.partitionBy("query_id").orderBy(F.desc("shared"), F.desc("doc_id"), "chunk_index")
+    columns = ["query_id", "doc_id", "chunk_id", "chunk_index", "shared"]
+
+    def best(frame, k):
+        return sorted(map(tuple, frame.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= k).select(*columns).collect()))
+
+    for cells, k in ((1, 3), (4_000_000, 3), (500, 300)):
+        monkeypatch.setattr(bi, "CELLS", cells)
+        assert best(bi.best_of_blocks(chosen, tokens, index, k), k) == best(bi.scored(chosen, tokens, index), k)
+
+
+def test_index_is_made_once_to_be_written(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        made.add(1)
+        return text
+
+    rows = corpus(3, 100)
+    table = passages(spark, rows).withColumn("chunk_text", seen.asNondeterministic()("chunk_text"))
+    bi.write(bi.build(table, 50, folders=2), f"{tmp_path}/index")
+    assert made.value == len(rows)
+    assert spark.read.parquet(f"{tmp_path}/index").agg(F.sum(F.size("passages"))).first()[0] > 0

@@ -110,3 +110,17 @@ def test_tokens_of_rules_are_those_of_texts(spark):
     texts = spark.createDataFrame([(f"t{i}", "license", x) for i, x in enumerate(odd)], "requirement_key string, requirement_type string, requirement_text string")
     rules = spark.createDataFrame([(i, "license", 0.5, x) for i, x in enumerate(odd)], "rule_id long, rule_type string, confidence double, rule_text string")
     assert sorted(map(tuple, se.match_scores(texts, rules).collect())) == counted_by_hand(texts, rules)
+
+
+def test_texts_that_differ_in_unknown_tokens_are_scored_once(spark, monkeypatch):
+    asked, before = [], overlap.with_floor
+    monkeypatch.setattr(overlap, "with_floor", lambda texts, rules, k: asked.append(texts) or before(texts, rules, k))
+    rules = rules_of(spark, 300, 11)
+    rows = [(f"t{i}", ["license", "region", None][i % 3], f"c1 c2 w{i % 2} unknown{i}" + " more" * (i % 5 == 0)) for i in range(60)]
+    texts = spark.createDataFrame(rows, "requirement_key string, requirement_type string, requirement_text string")
+    got = se.approved_topk(texts, rules, 3)
+    order = W.partitionBy("requirement_key").orderBy(F.desc("score"), F.desc("updated_at"), F.desc("rule_id"))
+    every = se.match_scores(texts, rules, carry=("updated_at",)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 3)
+    columns = ["requirement_key", "rank", "rule_id", "shared", "score"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, every.select(*columns).collect()))
+    assert got.count() == 180 and asked[0].count() == 12  # type, known tokens, size
