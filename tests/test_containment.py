@@ -39,3 +39,29 @@ def test_keys_that_begin_alike_do_not_meet_there(spark):
 def test_nothing(spark):
     short, long = frames(spark, [], [])
     assert co.key_pairs(short, long, ["kind"]).count() == 0
+
+
+def texts(spark, needles, hays):
+    return spark.createDataFrame(needles, "needle_id long, needle string"), spark.createDataFrame(hays, "hay_id long, more string, hay string")
+
+
+def test_text_pairs_equal_comparing_everything(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = ["ab", "cd", "ef", "가나", "Xy", "z", "1", "a-b"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    hays = [(i, f"m{i}", text(rnd.randrange(40))) for i in range(300)] + [(900, "m", ""), (901, "m", None), (902, "m", "ab cd"), (903, None, "ab cd ef 가나 Xy ab cd ef 가나 Xy")]
+    cut = [t[2].split(" ") for t in hays[:200]]
+    needles = [(i, " ".join(w[3:3 + rnd.randrange(2, 14)])) for i, w in enumerate(cut)] + [(900, ""), (901, None), (902, "z"), (903, "b cd ef 가나 Xy a"), (904, "ab cd ef 가나 Xy")]
+    want = sorted((i, j, m) for i, a in needles for j, m, b in hays if a and b and a in b)
+    for bits in (20, 3):  # a table that is full lets everything through
+        monkeypatch.setattr(co, "BITS", bits)
+        got = co.text_pairs(*texts(spark, needles, hays)).collect()
+        assert sorted((r.needle_id, r.hay_id, r.more) for r in got) == want
+
+
+def test_only_runs_that_may_be_an_anchor_go_on(spark):
+    hays = [(i, "m", " ".join(f"w{i}x{j}" for j in range(50))) for i in range(400)]
+    needle, hay = texts(spark, [(1, " ".join(f"w7x{j}" for j in range(10, 20)))], hays)
+    runs = co.anchored(hay, spark.createDataFrame([("w7x12 w7x13 w7x14",)], "anchor string"))
+    assert 1 <= runs.count() <= 5 and runs.filter("anchor = 'w7x12 w7x13 w7x14'").count() == 1  # of 400 x 48
+    assert [r.hay_id for r in co.text_pairs(needle, hay).collect()] == [7]
