@@ -148,3 +148,12 @@ def test_index_is_made_once_to_be_written(spark, tmp_path):
     index = bi.build(passages(spark, corpus(3, 100)), 50, folders=2)
     bi.write(index.withColumn("token", seen.asNondeterministic()("token")), f"{tmp_path}/index")
     assert made.value == spark.read.parquet(f"{tmp_path}/index").count() == index.count() > 0
+
+
+def test_tokens_of_the_index_are_those_of_queries(spark):
+    """Passages are cut into tokens in Arrow."""
+    odd = ["Ab가b 1x ﾊﾝ", "İstanbul ẞtraße KELVIN Kelvin ﬁsh", "가힣 힤가 ᄀ가 가", "a b c", "a_b-cd.EF ef cd", "😀ab😀cd", "ab cd​ef", "é1 1é2 22é", "", None, "  ab  "]
+    table = passages(spark, [(i, i * 10, 0, "en", "v0", x) for i, x in enumerate(odd)])
+    want = ix.postings(table.select("doc_id", "chunk_id", "chunk_index", "chunk_text")).select("token", "doc_id")
+    got = bi.build(table, 100).select("token", F.explode("passages").alias("p")).select("token", "p.doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
