@@ -39,3 +39,25 @@ def test_only_rules_that_may_be_approved_are_mined(spark, monkeypatch):
     assert {r.doc_id for r in mined[0].select("doc_id").distinct().collect()} <= good
     assert mined[0].count() < t.searchable_chunks.count() / 2
     assert got.filter(F.size("tokens") == 0).count() == 0
+
+
+def test_guide_reads_its_items_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(n):
+        read.add(1)
+        return n
+
+    columns = "notice_id long, company_id long, match_status string, required_evidence_types array<string>, recommended_action string, label string, required_value string, citation_status string, item_pos long"
+    rows = [
+        (1, 1, "missing", ["a b", "", "A-B", "c"], "do citation", "l", "v", "missing", 5), (1, 1, "missing", ["c"], "do citation", "l", "w", "weak_candidate", 3),
+        (1, 1, "matched", ["z"], "no", "l", "v", "missing", 9), (1, 2, "uncertain", None, " ", "l", "v", "candidate_found", 1), (2, 2, None, ["q"], "x", None, "v", None, 1),
+    ]
+    items = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), columns).withColumn("item_pos", seen.asNondeterministic()("item_pos"))
+    got = sorted(tuple(r)[:3] + (r.item_pos, r.sub_pos, r.value) for r in ju.preparation_guide(items).collect())
+    assert read.value == len(rows)
+    assert got == [
+        (1, 1, "action", 3, 0, "do 근거"), (1, 1, "document", 3, 0, "c"), (1, 1, "document", 5, 0, "a b"),
+        (1, 1, "note", 3, 0, "l / w: 기준문서 근거 후보 점수가 낮아 원문 검토가 필요합니다."), (1, 1, "note", 5, 0, "l / v: 기준문서 근거 후보가 없습니다."),
+    ]
