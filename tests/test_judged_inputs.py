@@ -61,3 +61,14 @@ def test_guide_reads_its_items_once(spark):
         (1, 1, "action", 3, 0, "do 근거"), (1, 1, "document", 3, 0, "c"), (1, 1, "document", 5, 0, "a b"),
         (1, 1, "note", 3, 0, "l / w: 기준문서 근거 후보 점수가 낮아 원문 검토가 필요합니다."), (1, 1, "note", 5, 0, "l / v: 기준문서 근거 후보가 없습니다."),
     ]
+
+
+def test_priority_groups_move_once(spark):
+    columns = "notice_id long, company_id long, match_status string, requirement_type string, label string, required_value string, source_text string, requirement_id string, recommended_action string, gap_reason string, required_evidence_types array<string>, item_pos long"
+    rows = [(1, 1, s, "license", "l", "v", "t", f"r{n}", f"do {n} citation", f"why {n}", [f"d{n}"], n) for s, n in (("missing", 7), ("uncertain", 4), ("matched", 1), ("needs_review", 9))]
+    rows += [(1, 1, "missing", "money", "m", "12", "t", "r2", "pay", None, [], 2), (2, 1, "matched", "money", "m", "12", "t", "r3", "pay", None, [], 2)]
+    groups = ju.priority_groups(spark.createDataFrame(rows, columns))
+    got = sorted((r.position, r.item_count, r.first_pos, r.first_requirement, r.next_step, r.reason, r.documents, r.related_ids) for r in groups.collect())
+    assert got == [(1, 1, 2, "r2", "pay", None, [], ["r2"]), (2, 3, 4, "r4", "do 4 근거", "why 4", ["d4"], ["r4", "r7", "r9"])]
+    plan = groups._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
